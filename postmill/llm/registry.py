@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from postmill.llm import exact_dedup, packing
+from postmill.llm import exact_dedup, ngram_join, packing, quality
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_packing": packing.op10_packing,
 }
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from postmill.llm import exact_dedup, ngram_join, packing, quality
+from postmill.llm import exact_dedup, media, ngram_join, packing, quality, secret_scan
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op7_media_columns": media.op7_media_columns,
     "op10_packing": packing.op10_packing,
 }
 

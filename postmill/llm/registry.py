@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.llm import exact_dedup, media, ngram_join, packing, quality, secret_scan
+from postmill.llm import exact_dedup, lexicon, media, ngram_join, packing, quality, secret_scan
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op7_media_columns": media.op7_media_columns,
+    "op9_bpe_lexicon": lexicon.op9_bpe_lexicon,
     "op10_packing": packing.op10_packing,
 }
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from postmill.llm import exact_dedup, lexicon, media, ngram_join, packing, quality, secret_scan
+from postmill.llm import chat, exact_dedup, lexicon, license_scan, media, ngram_join, packing, quality, secret_scan
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_chat_format": chat.op2_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat_format": chat.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postmill.llm import chat, exact_dedup, lexicon, license_scan, media, ngram_join, packing, quality, secret_scan
+from postmill.llm import chat, exact_dedup, lexicon, license_scan, lm_score, media, ngram_join, packing, quality, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_chat_format": chat.op2_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op3_secret_scan": secret_scan.op3_secret_scan,

@@ -250,15 +250,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = materialise(shingle_sets(docs, words, percent), "shingle-sets")
 
     # equal sets are one row from here on
-    reps = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n_shingles", "signatures")).alias("one"))
-    signed = reps.select("rep", F.col("one.n_shingles").alias("n"), F.explode("one.signatures").alias("block"))
+    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-groups")
+    one = sets.join(groups, (sets["set_key"] == groups["set_key"]) & (sets["doc_id"] == groups["rep"]))
+    signed = one.select("rep", F.col("n_shingles").alias("n"), F.explode("signatures").alias("block"))
 
     # blocks of several sets; each set is tested against the block's first
     several = signed.groupBy("block").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("first_n")).where("first <> last").drop("last")
     members = materialise(signed.join(several, "block"), "members")
     near = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
     pairs = members.where((F.col("rep") != F.col("first")) & near).groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.lit(1).alias("one")).drop("one")
-    stars = materialise(star_links(pairs, docs, words, percent), "star-links")
+    # only texts that share a block are read again, gathered once
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    stars = materialise(star_links(pairs, texts, words, percent), "star-links")
     first_round = materialise(components(stars), "star-components")
 
     # the rest: blocks that still hold several components, each member set once
@@ -289,12 +293,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         "block", "rep", "component", "asks", own.alias("own"),
         F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))).alias("chunk"),
     ).withColumn("held", F.col("own") == F.col("chunk"))
-    searched = spread.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "chunk", "rep", "component", "asks", "held", "text")
-    rest = star_links(untested, docs, words, percent).unionByName(chunk_links(searched, words, percent).distinct())
+    searched = spread.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "chunk", "rep", "component", "asks", "held", "text")
+    rest = star_links(untested, texts, words, percent).unionByName(chunk_links(searched, words, percent).distinct())
     links = stars.unionByName(rest)
     final = materialise(components(materialise(links, "links")), "components").select(F.col("node").alias("rep"), F.col("component").alias("found"))
 
-    named = reps.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("found", "rep").alias("component_id"))
+    named = groups.join(final, "rep", "left").select("set_key", F.coalesce("found", "rep").alias("component_id"))
     return sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

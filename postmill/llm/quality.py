@@ -176,18 +176,23 @@ def feature_rows(docs: DataFrame, *carried: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     """Fit on at most ``most`` trusted positives and ``most`` unlabelled
     texts.  Labels of the held-out fold are not read."""
-    named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chance = F.xxhash64("text")
-    few = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("chance", chance)
-    labelled = labels.select(F.col("doc_id").alias("l_id")).where("l_id IS NOT NULL").distinct()
-    good = few.join(named.where("quality = 1").drop("quality"), "doc_id", "left_semi").select("chance", "text").orderBy("chance").limit(most)
-    web = few.join(labelled, few["doc_id"] == F.col("l_id"), "left_anti").select("chance", "text").orderBy("chance").limit(most)
-
-    def table(rows: DataFrame) -> np.ndarray:
-        got = feature_rows(rows, "chance").drop("chance").toArrow().column("features").to_pylist()
-        return np.array(got, np.float64).reshape(len(got), len(FEATURES))
-
-    return fit(table(good), table(web))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    trusted = known.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
+    # what is drawn from: ids and hashes only, equal texts once
+    keys = materialise(docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("chance")), "text-keys")
+
+    def drawn(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.groupBy("chance").agg(F.min("doc_id").alias("doc_id")).orderBy("chance").limit(most).withColumn("kind", F.lit(kind))
+
+    good = drawn(keys.join(trusted, "doc_id", "left_semi"), 1)
+    web = drawn(keys.join(labels.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_anti"), 0)
+    picked = materialise(good.unionByName(web), "picked")  # at most 2 * most rows
+    texts = docs.select(F.col("doc_id").alias("d_id"), "text", F.xxhash64("text").alias("d_chance"))
+    met = texts.join(F.broadcast(picked), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_chance") == F.col("chance")))
+    got = feature_rows(met.select("kind", "chance", "text"), "kind", "chance").dropDuplicates(["kind", "chance"]).orderBy("kind", "chance").drop("chance").toArrow()
+    kind = got.column("kind").to_numpy()
+    table = np.array(got.column("features").to_pylist(), np.float64).reshape(len(kind), len(FEATURES))
+    return fit(table[kind == 1], table[kind == 0])
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -49,7 +49,7 @@ from postmill.llm.tokens import _byte_of_symbol
 MOST_WORDS = 60_000
 
 #: Chunks of text that a worker remembers the ids of at most.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 400_000
 
 
 #: Unicode White_Space, which the vocabulary file's ``\\s`` means; Python's own
@@ -83,6 +83,8 @@ class WordBpe:
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character (no final-sigma rule)."""
+        if text.isascii():
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
@@ -96,23 +98,19 @@ class WordBpe:
         if not parts:
             return []
         parts[-1] += self.end
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
-            i = ranks.index(best)
-            pair = (parts[i], parts[i + 1])
-            out, k = parts[:i], i
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == pair[0] and parts[k + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
+            i = ranks.index(best)  # the leftmost of the lowest rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts]
 
 
@@ -215,32 +213,35 @@ class Encoder:
     def __init__(self, vocabulary: str, lexicon: Lexicon):
         self.bpe, self.lexicon, self.seen = WordBpe(vocabulary), lexicon, {}
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and joined token strings of a chunk without white space."""
-        found = self.seen.get(chunk)
-        if found is None:
-            ids: list[int] = []
-            for word in self.bpe.words(chunk):
-                hit = self.lexicon.find(word.encode("utf-8", "surrogatepass"))
-                ids.extend(self.bpe.merge(word) if hit is None else hit)
-            found = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-            if len(self.seen) < MOST_CHUNKS:
-                self.seen[chunk] = found
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk without white space."""
+        ids: list[int] = []
+        for word in self.bpe.words(chunk):
+            hit = self.lexicon.find(word.encode("utf-8", "surrogatepass"))
+            ids.extend(self.bpe.merge(word) if hit is None else hit)
+        found = np.array(ids, "<u4").tobytes()
+        if len(self.seen) < MOST_CHUNKS:
+            self.seen[chunk] = found
         return found
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.bpe.strings[i] for i in ids])
+    def decode(self, ids: bytes) -> str:
+        strings = self.bpe.strings
+        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
     def text(self, text: str) -> tuple[bytes, str]:
         """Ids (little-endian unsigned 32-bit) and decoded text."""
-        parts = self.bpe.cut.split(text) if self.bpe.cut and any(s in text for s in self.bpe.special) else [text]
-        pairs = []
+        special, seen = self.bpe.special, self.seen
+        parts = self.bpe.cut.split(text) if any(s in text for s in special) else [text]
+        found = []
         for part in parts:
-            if part in self.bpe.special:
-                pairs.append((np.array([self.bpe.special[part]], "<u4").tobytes(), part))
+            if part in special:
+                found.append(np.array([special[part]], "<u4").tobytes())
             else:
-                pairs.extend(map(self.chunk, chunks_of(part)))
-        return b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]])
+                for chunk in chunks_of(part):
+                    ids = seen.get(chunk)
+                    found.append(self.chunk(chunk) if ids is None else ids)
+        ids = b"".join(found)
+        return ids, self.decode(ids)
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = MOST_WORDS) -> list[str]:

@@ -1,4 +1,6 @@
 """Registered queries of the reference operators, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from postmill.plans import base, scalars  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES

@@ -16,8 +16,8 @@ starts after a boundary token whose count is the number of texts.
    blocks of documents, and shuffled once, by the hash of the bigram.
 3. In each partition of that shuffle the bigram count table is built by
    summing, joined to the exploded rows it came from (they are in the same
-   partition already), and summed per document; a last aggregation adds the
-   parts of a document.
+   partition already), and summed per document: one row of sums per block of
+   documents, not one per document.  A last shuffle by block adds them.
 
 A bigram costs at most a row per document, so no frequent one makes a hot
 partition; the number of hash partitions follows the number of tokens, which
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ from postmill.llm.tokens import byte_bpe
 BACKOFF, LEAST = 0.4, 2
 
 #: Tokens of the corpus per hash partition.
-TOKENS_PER_BUCKET = 3_000_000
+TOKENS_PER_BUCKET = 4_000_000
 
 EDGE, NO_ID = 0xFFFF, np.iinfo(np.int64).min
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +54,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct bigrams (earlier token in the high half) and their counts."""
-    before = np.concatenate([[EDGE], ids[:-1]]).astype(np.uint32)
+    before = np.append(np.uint32(EDGE), ids)[: len(ids)].astype(np.uint32)
     return np.unique(before << np.uint32(16) | ids.astype(np.uint32), return_counts=True)
 
 
@@ -80,63 +81,89 @@ def unigram_counts(docs: DataFrame, vocabulary: str) -> np.ndarray:
 
 
 def exploded(docs: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
-    """Blocks of documents as (bucket, doc_ids, row, grams, counts): for each
-    bucket the block's bigrams, which of its documents has them, how often."""
+    """Blocks of documents as (bucket, block, row, grams, counts): for each
+    bucket the block's bigrams, which of its documents has them, how often.
+    One row of each block also carries its doc_ids and their token numbers.
+    A block is named by the hash of its ids, so a task that runs again names
+    it alike, and blocks of the same ids add up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary)
         for block in blocks(batches):
             ids = block.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-            grams, counts, lengths = [], [], []
+            name = xxhash.xxh3_64_intdigest(ids) >> 1
+            grams, counts, lengths, tokens = [], [], [], []
             for t in texts_of(block):
-                tokens = bpe.ids(t)
-                g, n = bigrams(tokens) if len(tokens) else (np.array([0xFFFFFFFF], np.uint32), np.zeros(1, np.int64))
+                found = bpe.ids(t)
+                g, n = bigrams(found)
                 grams.append(g)
                 counts.append(n)
                 lengths.append(len(g))
+                tokens.append(len(found))
             gram, count = np.concatenate(grams), np.concatenate(counts).astype(np.uint32)
             row = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
             bucket = ((gram * _SPREAD >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
             order = np.argsort(bucket, kind="stable")
             gram, count, row, bucket = gram[order], count[order], row[order], bucket[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(edges[1:], len(bucket))
-            cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(edges, ends)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array([ids] * len(edges), pa.binary()), cut(row), cut(gram), cut(count)], ["bucket", "doc_ids", "row", "grams", "counts"])
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+            ends = np.append(edges[1:], len(bucket))[: len(edges)]
+            cut = lambda a: [a[i:j].tobytes() for i, j in zip(edges, ends)] + [b""]
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*bucket[edges].tolist(), name % buckets], pa.int32()), pa.array([name] * (n + 1), pa.int64()), *(pa.array(cut(a), pa.binary()) for a in (row, gram, count)),
+                    pa.array([None] * n + [ids], pa.binary()), pa.array([None] * n + [np.array(tokens, "<i8").tobytes()], pa.binary()),
+                ],
+                ["bucket", "block", "row", "grams", "counts", "doc_ids", "tokens"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "bucket int, doc_ids binary, row binary, grams binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "bucket int, block long, row binary, grams binary, counts binary, doc_ids binary, tokens binary")
 
 
 def bucket_scores(unigrams: np.ndarray, backoff: float = BACKOFF, least: int = LEAST):
     """The count table of one hash partition, joined to the rows it came from
-    and summed per document."""
+    and summed per document of each block (millionths)."""
     tokens = max(int(unigrams[:EDGE].sum()), 1)
 
     def scores(table: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        gram, count = np.concatenate(read("grams", np.uint32)), np.concatenate(read("counts", np.uint32)).astype(np.int64)
-        doc = np.concatenate([ids[row] for ids, row in zip(read("doc_ids", "<i8"), read("row", np.uint16))])
-        keys, at = np.unique(gram, return_inverse=True)
+        grams, counts, rows = read("grams", np.uint32), read("counts", np.uint32), read("row", np.uint16)
+        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+        count = np.concatenate(counts).astype(np.int64)
         total = np.bincount(at, count, len(keys))
         left, right = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
         share = np.where(total >= least, total / np.maximum(unigrams[left], 1), backoff * unigrams[right] / tokens)
         micro = np.rint(np.log10(np.maximum(share, 1e-300)) * 1e6).astype(np.int64)
-        ids, of = np.unique(doc, return_inverse=True)
-        sums, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        np.add.at(sums, of, micro[at] * count)
-        np.add.at(n, of, count)
-        return pa.table({"doc_id": ids, "micro": sums, "n": n})
+        part, ends, sums = micro[at] * count, np.cumsum([len(g) for g in grams]), []
+        for row, end in zip(rows, ends):
+            s = np.zeros(int(row[-1]) + 1 if len(row) else 0, np.int64)  # rows are in order
+            np.add.at(s, row, part[end - len(row) : end])
+            sums.append(s.tobytes())
+        return pa.table({"block": table.column("block"), "sums": pa.array(sums, pa.binary()), "doc_ids": table.column("doc_ids"), "tokens": table.column("tokens")})
 
     return scores
 
 
+def add_blocks(table: pa.Table) -> pa.Table:
+    """One block's sums added; its ids once, its token numbers added."""
+    ids, tokens = None, 0
+    for i, n in zip(table.column("doc_ids").to_pylist(), table.column("tokens").to_pylist()):
+        if i is not None:
+            ids, tokens = np.frombuffer(i, "<i8"), tokens + np.frombuffer(n, "<i8")
+    micro = np.zeros(len(ids), np.int64)
+    for s in table.column("sums").to_pylist():
+        part = np.frombuffer(s, np.int64)
+        micro[: len(part)] += part
+    return pa.table({"doc_id": ids, "micro": micro, "n": tokens})
+
+
 def lm_scores(docs: DataFrame, vocabulary: str, backoff: float = BACKOFF, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, log10_score, mean_log10 per document."""
     rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     unigrams = unigram_counts(rows, vocabulary)
-    buckets = max(1, -(-int(unigrams[:EDGE].sum()) // TOKENS_PER_BUCKET))
-    buckets = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = exploded(rows, vocabulary, buckets).groupBy("bucket").applyInArrow(bucket_scores(unigrams, backoff, least), "doc_id long, micro long, n long")
+    buckets = max(8, -(-int(unigrams[:EDGE].sum()) // TOKENS_PER_BUCKET))
+    summed = exploded(rows, vocabulary, buckets).groupBy("bucket").applyInArrow(bucket_scores(unigrams, backoff, least), "block long, sums binary, doc_ids binary, tokens binary")
+    parts = summed.groupBy("block").applyInArrow(add_blocks, "doc_id long, micro long, n long")
     total = parts.groupBy("doc_id").agg(F.sum("micro").alias("micro"), F.sum("n").alias("n_tokens"))
     return total.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),

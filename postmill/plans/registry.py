@@ -1,6 +1,6 @@
 """Registered queries of the reference operators, by name."""
 
-from postmill.plans import base, scalars  # noqa: F401
+from postmill.plans import base, scalars, tables  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -346,7 +346,7 @@ y AS (SELECT seq, 50.0 AS research_fit,
   50.0 + CASE WHEN known THEN 10 + CASE WHEN students > 0 THEN 10 ELSE 0 END + CASE WHEN students > 3 THEN 5 ELSE 0 END + CASE WHEN grants THEN 5 ELSE 0 END ELSE 0 END AS lab_fit,
   70.0 AS eligibility, CASE WHEN contains(context, 'EUR') THEN 90.0 ELSE 20.0 END AS funding, 80.0 AS career_alignment, 100.0 AS freshness,
   50.0 + CASE WHEN known AND hiring THEN 15 ELSE 0 END + CASE WHEN known AND students > 2 THEN 10 ELSE 0 END AS opportunity_strength, 60.0 AS institutional_fit FROM x),
-z AS (SELECT seq, round(research_fit * 0.25 + method_fit * 0.15 + supervisor_fit * 0.15 + lab_fit * 0.1 + eligibility * 0.1 + funding * 0.1 + career_alignment * 0.05 + freshness * 0.03 + opportunity_strength * 0.05 + institutional_fit * 0.02, 4) AS overall FROM y)
+z AS (SELECT seq, round(CAST(research_fit * 0.25 + method_fit * 0.15 + supervisor_fit * 0.15 + lab_fit * 0.1 + eligibility * 0.1 + funding * 0.1 + career_alignment * 0.05 + freshness * 0.03 + opportunity_strength * 0.05 + institutional_fit * 0.02 AS DOUBLE), 4) AS overall FROM y)
 SELECT seq, overall, CASE WHEN overall >= 85 THEN 'HIGH' WHEN overall >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM z
 """)
 def rank_positions(spark, d):

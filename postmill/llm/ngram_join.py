@@ -252,13 +252,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # equal sets are one row from here on
     groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-groups")
     one = sets.join(groups, (sets["set_key"] == groups["set_key"]) & (sets["doc_id"] == groups["rep"]))
-    signed = one.select("rep", F.col("n_shingles").alias("n"), F.explode("signatures").alias("block"))
+    signed = one.select("rep", F.explode("signatures").alias("block"))
 
     # blocks of several sets; each set is tested against the block's first
-    several = signed.groupBy("block").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("first_n")).where("first <> last").drop("last")
+    several = signed.groupBy("block").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(signed.join(several, "block"), "members")
-    near = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
-    pairs = members.where((F.col("rep") != F.col("first")) & near).groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.lit(1).alias("one")).drop("one")
+    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.lit(1).alias("one")).drop("one")
     # only texts that share a block are read again, gathered once
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
@@ -267,7 +266,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # the rest: blocks that still hold several components, each member set once
     label = first_round.select(F.col("node").alias("rep"), F.col("component").alias("found"))
-    placed = materialise(members.join(label, "rep", "left").select("block", "rep", "n", F.coalesce("found", "rep").alias("component")), "placed")
+    placed = materialise(members.join(label, "rep", "left").select("block", "rep", F.coalesce("found", "rep").alias("component")), "placed")
     per = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("who"))
     mixed_blocks = (
         per.groupBy("block")
@@ -281,10 +280,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # few members: their untested pairs, each once, at most SMALL / 2 a member
     few = open_rows.where(F.col("members") <= SMALL)
-    left = few.select("block", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"))
-    right = few.select("block", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"))
-    fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    untested = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    left = few.select("block", F.col("rep").alias("a"), F.col("component").alias("a_c"))
+    right = few.select("block", F.col("rep").alias("b"), F.col("component").alias("b_c"))
+    untested = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
 
     # many members: chunks of an index, asked by all outside the largest component
     many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most")).withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))

@@ -170,12 +170,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+#: Conversations of more characters stay records of one turn each.
+MOST_CHARS = 1_000_000
+
+
 def records_of(conversations: DataFrame) -> DataFrame:
-    """The conversations table as JSON records of one turn each, and the
-    control conversation -7."""
+    """The conversations table as JSON records in the layouts that such data
+    comes in: question and answer as prompt and response, three turns with a
+    system text as instruction, others as arrays of turns under either naming,
+    long ones and the control conversation -7 as a record per turn."""
     table = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     control = conversations.sparkSession.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return table.unionByName(control).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+    turns = table.unionByName(control).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+
+    t, roles = F.col("t"), F.transform("t", lambda x: F.coalesce(x["role"], F.lit("")))
+    same = lambda *names: roles == F.array(*map(F.lit, names))
+    json = lambda *fields: F.to_json(F.struct(F.col("conv_id").alias("id"), *fields), {"ignoreNullFields": "false"})
+    text = lambda i, name: t[i]["text"].alias(name)
+    given = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"), F.lit("system"), F.lit("system"))
+    whole = (
+        F.when(same("user", "assistant"), json(text(0, "prompt"), text(1, "response")))
+        .when(same("system", "user", "assistant"), json(text(0, "instruction"), text(1, "input"), text(2, "output")))
+        .when((F.col("conv_id") % 2 == 0) & F.forall(roles, lambda r: r.isin("user", "assistant", "system")), json(F.transform(t, lambda x: F.struct(given[x["role"]].alias("from"), x["text"].alias("value"))).alias("conversations")))
+        .otherwise(json(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    )
+    by_turn = (F.col("conv_id") == -7) | (F.col("chars") > MOST_CHARS) | F.col("conv_id").isNull()
+    rows = turns.where(by_turn).select("conv_id", F.explode("t").alias("x")).select(F.to_json(F.struct("conv_id", "x.role", "x.text", "x.turn"), {"ignoreNullFields": "false"}).alias("body"))
+    return turns.where(~by_turn).select(whole.alias("body")).unionByName(rows)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ from postmill.functions.urls import canonical
 
 
 def first_wins(rows: DataFrame, *keys: Column, order: str = "seq") -> DataFrame:
-    """The first row of each key; the order makes it repeatable."""
+    """The first row of each key; the order makes it repeatable.  An
+    aggregate, so a key with many rows moves one row per task."""
     names = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns(dict(zip(names, keys)))
-    return keyed.withColumn("__rn", F.row_number().over(Window.partitionBy(*names).orderBy(order))).where("__rn = 1").drop("__rn", *names)
+    first = F.min_by(F.struct(*rows.columns), F.col(order)).alias("r")
+    return rows.withColumns(dict(zip(names, keys))).groupBy(*names).agg(first).select("r.*")
 
 
 def longest_context(rows: DataFrame, key: Column | None = None) -> DataFrame:

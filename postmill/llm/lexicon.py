@@ -28,9 +28,11 @@ import json
 import mmap
 import os
 import re
+import sys
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,9 +48,10 @@ from postmill.llm.shared import blocks, bounded_batches, documents, texts_of
 from postmill.llm.tokens import _byte_of_symbol
 
 #: Words that the lexicon holds at most.
-MOST_WORDS = 60_000
+MOST_WORDS = 120_000
 
-#: Chunks of text that a worker remembers the ids of at most.
+#: Chunks of text that a worker remembers the ids of at most (and half as
+#: many words).
 MOST_CHUNKS = 400_000
 
 
@@ -184,44 +187,60 @@ class Lexicon:
         for kind, n in ((np.int32, states + 1), (np.int32, arcs), (np.int32, arcs), (np.int32, words + 1), (np.int32, ids), (np.uint8, arcs), (np.uint8, states)):
             views.append(memoryview(np.frombuffer(buffer, kind, n, at)))
             at += n * np.dtype(kind).itemsize
-        self.first, self.targets, self.outputs, self.start, self.ids, self.labels, self.finals = views
+        self.first, self.targets, self.outputs, self.start, self.ids, labels, self.finals = views
+        self.labels = bytes(labels)  # searched by bytes.find
         self.root, self.words = root, words
 
     def find(self, word: bytes) -> list[int] | None:
         """The word's ids, or None where the lexicon does not hold it."""
-        state, number, first, labels = self.root, 0, self.first, self.labels
+        state, number, first, arc_of = self.root, 0, self.first, self.labels.find
+        targets, outputs = self.targets, self.outputs
         for b in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                mid = (low + high) >> 1
-                if labels[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[state + 1] or labels[low] != b:
+            arc = arc_of(b, first[state], first[state + 1])
+            if arc < 0:
                 return None
-            number += self.outputs[low]
-            state = self.targets[low]
+            number += outputs[arc]
+            state = targets[arc]
         if not self.finals[state]:
             return None
         return self.ids[self.start[number] : self.start[number + 1]].tolist()
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Texts to ids with a lexicon; what a worker holds."""
 
     def __init__(self, vocabulary: str, lexicon: Lexicon):
-        self.bpe, self.lexicon, self.seen = WordBpe(vocabulary), lexicon, {}
+        self.bpe, self.lexicon, self.seen, self.met = WordBpe(vocabulary), lexicon, {}, {}
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word: the lexicon's, else merged."""
+        ids = self.met.get(word)
+        if ids is None:
+            ids = self.lexicon.find(word.encode("utf-8", "surrogatepass"))
+            if ids is None:
+                ids = self.bpe.merge(word)
+            if len(self.met) >= MOST_CHUNKS // 2:
+                self.met.clear()
+            self.met[word] = ids
+        return ids
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space."""
         ids: list[int] = []
         for word in self.bpe.words(chunk):
-            hit = self.lexicon.find(word.encode("utf-8", "surrogatepass"))
-            ids.extend(self.bpe.merge(word) if hit is None else hit)
-        found = np.array(ids, "<u4").tobytes()
-        if len(self.seen) < MOST_CHUNKS:
-            self.seen[chunk] = found
+            ids += self.word(word)
+        found = _packed(ids)
+        if len(self.seen) >= MOST_CHUNKS:
+            self.seen.clear()  # frequent chunks are back at once, rare ones make room
+        self.seen[chunk] = found
         return found
 
     def decode(self, ids: bytes) -> str:
@@ -235,7 +254,7 @@ class Encoder:
         found = []
         for part in parts:
             if part in special:
-                found.append(np.array([special[part]], "<u4").tobytes())
+                found.append(_packed([special[part]]))
             else:
                 for chunk in chunks_of(part):
                     ids = seen.get(chunk)

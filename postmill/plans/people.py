@@ -8,7 +8,7 @@ from postmill.operators import people as ops
 from postmill.plans.base import query
 from postmill.plans.tables import _GATED, C, gated, row_count
 from postmill.sources import scans, sinks
-from postmill.sources.postings import postings, table
+from postmill.sources.postings import postings, spread_postings, table
 
 
 def _people(spark, d):
@@ -141,7 +141,7 @@ SELECT source, count(*) AS total, count(*) FILTER (reason = 'ok') AS kept, count
 """)
 def run_counters(spark, d):
     ok, fit = C("reason") == "ok", C("fit")
-    return gated(postings(spark, d)).groupBy("source").agg(
+    return gated(spread_postings(spark, d)).groupBy("source").agg(
         row_count().alias("total"), F.count_if(ok).alias("kept"), F.count_if(ok & (fit >= 75)).alias("high"), F.count_if(ok & (fit >= 55) & (fit < 75)).alias("medium"), F.count_if(~ok).alias("failed")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates, gates, titles, urls
 from postmill.plans.base import AS_OF, query
-from postmill.sources.postings import postings, table
+from postmill.sources.postings import postings, spread_postings, table
 
 C = F.col
 
@@ -189,7 +189,7 @@ FROM dl
 """)
 def deadlines(spark, d):
     as_of = F.lit(AS_OF).cast("date")
-    rows = postings(spark, d).select("seq", "context", dates.deadline(C("context"), as_of).alias("d"))
+    rows = spread_postings(spark, d).select("seq", "context", dates.deadline(C("context"), as_of).alias("d"))
     return rows.select("seq", C("d.value").cast("string").alias("value"), "d.status", dates.is_rolling(C("context")).alias("rolling"), dates.days_left(C("d.value"), as_of).alias("days_left"), "d.confidence")
 
 
@@ -204,7 +204,7 @@ FROM dl
 def listing_dates(spark, d):
     as_of, c = F.lit(AS_OF).cast("date"), C("context")
     status = F.when(dates.is_rolling(c), F.lit("rolling")).otherwise(C("d.status"))
-    return postings(spark, d).select("seq", "context", dates.deadline(c, as_of).alias("d")).select(
+    return spread_postings(spark, d).select("seq", "context", dates.deadline(c, as_of).alias("d")).select(
         "seq", F.regexp_extract(c, r"Deadline: (\d{4}-\d{2}-\d{2})", 1).alias("captured"),
         dates.date_by_formats(F.regexp_extract(c, r"Apply by (\d{1,2} [A-Z][a-z]{2} \d{4})", 1)).cast("string").alias("by_format"),
         dates.deadline_line(status, C("d.value"), as_of).alias("line"),

@@ -9,7 +9,7 @@ from postmill.functions import dates, gates, titles, urls
 from postmill.operators import dedupe, pages, ranking, scoring
 from postmill.plans.base import AS_OF, query
 from postmill.plans.scalars import _DATE_ORACLE
-from postmill.sources.postings import CRAWL_LOGS_ORACLE, SOURCE_RUNS_ORACLE, crawl_logs, postings, source_runs, table
+from postmill.sources.postings import CRAWL_LOGS_ORACLE, SOURCE_RUNS_ORACLE, crawl_logs, postings, source_runs, spread_postings, table
 
 C = F.col
 
@@ -71,7 +71,7 @@ FROM w
 def published(spark, d):
     """Gates, longest-context dedupe, rank, number: the flagship query.  Only
     rows that pass every gate reach the shuffle."""
-    kept = gated(postings(spark, d)).where("reason = 'ok'").select("seq", "title", "university", "country", "url", "context", "fit", C("deadline.status").alias("status"), C("deadline.value").alias("value"))
+    kept = gated(spread_postings(spark, d)).where("reason = 'ok'").select("seq", "title", "university", "country", "url", "context", "fit", C("deadline.status").alias("status"), C("deadline.value").alias("value"))
     best = dedupe.longest_context(kept)
     n = F.row_number().over(Window.orderBy(F.desc("fit"), "seq"))  # the published list: one row per live URL, not per posting
     return best.withColumn("n", n).select(
@@ -83,17 +83,17 @@ def published(spark, d):
 @query("g01_gate_funnel", _GATED + "SELECT count(*) AS total_in, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS \"{n}\"" for n, r in (("rejected_role", "role"), ("rejected_field", "field"), ("rejected_not_doctoral", "not-doctoral"), ("rejected_deadline", "deadline"), ("rejected_offtopic", "offtopic"), ("kept", "ok"))) + " FROM g")
 def funnel(spark, d):
     named = (("rejected_role", "role"), ("rejected_field", "field"), ("rejected_not_doctoral", "not-doctoral"), ("rejected_deadline", "deadline"), ("rejected_offtopic", "offtopic"), ("kept", "ok"))
-    return gated(postings(spark, d)).agg(row_count().alias("total_in"), *(F.count_if(C("reason") == r).alias(n) for n, r in named))
+    return gated(spread_postings(spark, d)).agg(row_count().alias("total_in"), *(F.count_if(C("reason") == r).alias(n) for n, r in named))
 
 
 @query("s01_topic_fit", _GATED + "SELECT seq, CASE WHEN reason IN ('role', 'field', 'not-doctoral') THEN 0 ELSE fit END AS fit, reason FROM g")
 def topic_fit(spark, d):
-    return gated(postings(spark, d)).select("seq", "fit", "reason")
+    return gated(spread_postings(spark, d)).select("seq", "fit", "reason")
 
 
 @query("f02_f03_deadline_thin_gates", _DATE_ORACLE + "SELECT seq, status <> 'expired' AS live, seq % 3 = 0 AND regexp_matches(lower(title), 'phd|doctoral|studentship') AND NOT contains(title, 'Chemistry') AND length(context) < 120 AS waits FROM dl")
 def deadline_gate(spark, d):
-    rows = postings(spark, d)
+    rows = spread_postings(spark, d)
     source = F.when(C("seq") % 3 == 0, F.lit("applykite")).otherwise(C("source"))
     return rows.select("seq", (dates.deadline(C("context"), as_of())["status"] != "expired").alias("live"), gates.thin_context(source, C("title"), C("context")).alias("waits"))
 
@@ -194,7 +194,7 @@ def coverage(spark, d):
 
 @query("g07_g08_reason_histogram", _GATED + "SELECT country, reason, count(*) AS n FROM g GROUP BY country, reason")
 def reasons(spark, d):
-    return gated(postings(spark, d)).groupBy("country", "reason").agg(row_count().alias("n"))
+    return gated(spread_postings(spark, d)).groupBy("country", "reason").agg(row_count().alias("n"))
 
 
 @query("g10_people_by_works", """
@@ -283,7 +283,7 @@ g AS (SELECT source, page_no, count(*) AS total, count(*) FILTER (contains(conte
 SELECT source, page_no, total, rolling, open, expired, total - rolling - open - expired AS unknown, open > 0 OR rolling > 0 AS has_live, expired = total AS all_expired FROM g
 """)
 def page_freshness(spark, d):
-    rows = postings(spark, d).select("source", "seq", "context")
+    rows = spread_postings(spark, d).select("source", "seq", "context")
     page = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("seq")) - 1) / 20).cast("int") + 1
     c = C("context")
     listing = rows.withColumn("page_no", page).withColumn("status", F.when(dates.is_rolling(c), "rolling").otherwise(dates.deadline(c, as_of())["status"]))
@@ -526,7 +526,7 @@ def evidence(spark, d):
 SELECT seq, reason IN ('offtopic', 'deadline') AND length(context) >= 60 AS looked_at, CASE WHEN reason = 'offtopic' AND length(context) >= 60 THEN 'rescued' ELSE reason END AS outcome FROM g
 """)
 def rescue(spark, d):
-    g = gated(postings(spark, d))
+    g = gated(spread_postings(spark, d))
     long = F.length("context") >= 60
     return g.select("seq", (C("reason").isin("offtopic", "deadline") & long).alias("looked_at"), F.when((C("reason") == "offtopic") & long, "rescued").otherwise(C("reason")).alias("outcome"))
 

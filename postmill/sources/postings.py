@@ -58,6 +58,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(POSTINGS, **{t: table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")})
 
 
+def spread(rows: DataFrame, fact: DataFrame) -> DataFrame:
+    """Rows dealt out before costly expressions, where the fact table lies in
+    fewer files than there are cores (one file is often one row group, and so
+    one task); as it is where there are files enough."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(fact.inputFiles()) < cores else rows
+
+
+def spread_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(postings(spark, sf_dir), table(spark, sf_dir, "lineitem"))
+
+
 def source_runs(rows: DataFrame) -> DataFrame:
     """Per-source run summary: odd sources failed and returned nothing."""
     odd = F.right("source", F.lit(1)).cast("int") % 2 == 1

@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import pytest
 from messy import ROWS
-from pyspark.sql import functions as F
 
 from postmill.llm import exact_dedup, ngram_join
 from postmill.llm.components import components

@@ -1,8 +1,8 @@
 """Operator 9, BPE encoding and decoding over a minimal acyclic transducer.
 
 1. A pass over all texts counts their words (map-side per block, one
-   shuffle), and the ``MOST_WORDS`` most frequent ones go to the driver, a
-   bounded list.
+   shuffle), and the most frequent ones, at most ``MOST_WORDS``, go to the
+   driver, a bounded list.
 2. They are compiled into a minimal acyclic automaton: words in sorted order,
    states with equal suffixes shared, and integer outputs on the arcs that add
    up to a word's number; the number points at the word's token ids.  The
@@ -44,7 +44,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import blocks, bounded_batches, documents, texts_of
+from postmill.llm.shared import blocks, bounded_batches, documents, materialise, texts_of
 from postmill.llm.tokens import _byte_of_symbol
 
 #: Words that the lexicon holds at most.
@@ -264,7 +264,8 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int = MOST_WORDS) -> list[str]:
-    """The most frequent words of all texts, ties by the word."""
+    """The most frequent words of all texts: those above the smallest count
+    that leaves at most ``most`` of them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, chunks = _word_bpe(vocabulary), Counter()
@@ -285,7 +286,18 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = MOST_WORDS) ->
         yield flush()
 
     counts = bounded_batches(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = materialise(counts, "word-counts")
+    # a histogram of counts in 64 steps per doubling (some thousand rows at
+    # most) tells from which count on the words are few enough to collect
+    step = F.floor(F.log2("n") * 64).cast("int")
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, total = None, 0
+    for r in sorted(histogram, key=lambda r: -r.step):
+        total += r.words
+        if total > most:
+            break
+        least = r.step
+    return [] if least is None else [r.word for r in counts.where(step >= least).select("word").collect()]
 
 
 @lru_cache(maxsize=1)

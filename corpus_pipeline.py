@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from postmill.llm import exact_dedup, ngram_join, packing, quality, secret_scan
 from postmill.llm.shared import documents, materialise
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -26,8 +28,9 @@ def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join."""
-    return ngram_join.keep_first(docs)
+    """One document of each component of the n-gram Jaccard join, over
+    shingles of five words at a similarity of 0.8."""
+    return ngram_join.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import pytest
 from messy import ROWS
 
@@ -114,3 +115,17 @@ def test_block_signatures_meet_for_all_pairs_at_the_threshold():
                 b = np.sort(np.append(a[drop:], rng.integers(0, 2**63, drop // 2, dtype=np.uint64)))
                 if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) and len(a) != len(b):
                     assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b)), (size, drop)
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    """Five words at 0.8; one word in 45 to 57 is enough for a near copy."""
+    rng, rows = random.Random(11), []
+    for g, n in enumerate([12, 45, 46, 49, 52, 56, 57, 90, 300]):
+        base = " ".join(f"v{g}_{k}" for k in range(n))
+        middle = base.split()
+        middle[n // 2] = "changed"
+        rows += [(100 * g, base), (100 * g + 1, " ".join(middle))] + [(100 * g + k, edited(rng, base, rng.randrange(0, 8))) for k in range(2, 20)]
+    want = {c for _, _, c in brute_components(rows, 5, 80)}
+    assert want != {c for _, _, c in brute_components(rows, 3, 90)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, df, "").collect()) == sorted(want)

@@ -251,7 +251,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # equal sets are one row from here on
     groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-groups")
-    one = sets.join(groups, (sets["set_key"] == groups["set_key"]) & (sets["doc_id"] == groups["rep"]))
+    # a row for each set, also where its representative is repeated
+    of = groups.select(F.col("set_key").alias("of_key"), "rep")
+    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["doc_id"] == of["rep"])).select("of_key", "rep", "signatures").dropDuplicates(["of_key", "rep"])
     signed = one.select("rep", F.explode("signatures").alias("block"))
 
     # blocks of several sets; each set is tested against the block's first
@@ -260,7 +262,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.lit(1).alias("one")).drop("one")
     # only texts that share a block are read again, gathered once
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = materialise(docs.join(wanted, "doc_id", "left_semi").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"]).drop("print"), "texts")
     stars = materialise(star_links(pairs, texts, words, percent), "star-links")
     first_round = materialise(components(stars), "star-components")
 

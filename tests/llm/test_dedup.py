@@ -129,3 +129,14 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert want != {c for _, _, c in brute_components(rows, 3, 90)}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, df, "").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [4, 1024])
+def test_jaccard_join_of_a_table_united_with_itself(spark, chunk):
+    rng, rows = random.Random(5), []
+    for g in range(8):
+        base = " ".join(f"v{rng.randrange(400)}" for _ in range(rng.choice([11, 40, 200])))
+        rows += [(100 * g + k, edited(rng, base, rng.randrange(0, 6))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df.unionAll(df), chunk=chunk).collect())
+    assert got == sorted(2 * brute_components(rows))

@@ -31,7 +31,10 @@ reaches ``threshold``; a component is what is reachable by links.
 Defined results: null text counts as empty; a text without words has an empty
 set, size 0, and is its own component; a text with fewer words than a shingle
 has the whole sequence as its one shingle; repeated rows are each returned; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; further columns are ignored.  A row with a
+null doc_id is a document of its own text: it links as any other, its
+component is named by the smallest doc_id that is not null, and by null where
+no row of the component has one.
 """
 
 from __future__ import annotations
@@ -132,8 +135,13 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: doc_id, or a hash of the text where it is null."""
+    return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), signatures."""
+    """doc_id, key, n_shingles, set_key (128 bits of the whole set), signatures."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -143,10 +151,10 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 n.append(len(found))
                 key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signatures(found, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "signatures"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "set_key", "signatures"])
 
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sets, "doc_id long, n_shingles long, set_key binary, signatures array<long>")
+    rows = with_key(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.mapInArrow(sets, "doc_id long, key long, n_shingles long, set_key binary, signatures array<long>")
 
 
 def t_occurrence(query: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -243,17 +251,18 @@ def chunk_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("block", "chunk").applyInArrow(search, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
-    smallest doc_id that links reach)."""
+def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key, n_shingles, component_id, and
+    ``first_key``, the key of the component's document to keep."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialise(shingle_sets(docs, words, percent), "shingle-sets")
+    docs = with_key(docs).select(F.col("key").alias("doc_id"), "text")
 
     # equal sets are one row from here on
-    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set-groups")
+    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.min("doc_id").alias("known")), "set-groups")
     # a row for each set, also where its representative is repeated
     of = groups.select(F.col("set_key").alias("of_key"), "rep")
-    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["doc_id"] == of["rep"])).select("of_key", "rep", "signatures").dropDuplicates(["of_key", "rep"])
+    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("of_key", "rep", "signatures").dropDuplicates(["of_key", "rep"])
     signed = one.select("rep", F.explode("signatures").alias("block"))
 
     # blocks of several sets; each set is tested against the block's first
@@ -298,16 +307,35 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = stars.unionByName(rest)
     final = materialise(components(materialise(links, "links")), "components").select(F.col("node").alias("rep"), F.col("component").alias("found"))
 
-    named = groups.join(final, "rep", "left").select("set_key", F.coalesce("found", "rep").alias("component_id"))
-    return sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = groups.join(final, "rep", "left").select("set_key", "known", F.coalesce("found", "rep").alias("first_key"))
+    if groups.where("known IS NULL").limit(1).count():  # a key that is no doc_id names no component that has one
+        least = named.groupBy("first_key").agg(F.min("known").alias("component_id"))
+        named = named.drop("known").join(least, "first_key").select("set_key", "component_id", F.coalesce("component_id", "first_key").alias("first_key"))
+    else:
+        named = named.select("set_key", F.col("first_key").alias("component_id"), "first_key")
+    rows = sets.select("doc_id", "key", "n_shingles", "set_key").join(named, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    return rows.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("key")).otherwise(F.col("first_key")).alias("first_key"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
+    smallest doc_id that links reach)."""
+    return keyed_components(docs, words, percent, chunk).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest
-    doc_id (same columns)."""
-    found = jaccard_components(docs, words, percent)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    doc_id (same columns).  Of a component whose doc_ids are all null one row
+    is kept; texts without words are all kept, each a component of its own."""
+    found = keyed_components(docs, words, percent)
+    firsts = materialise(found.where("key = first_key").select(F.col("key").alias("__kept"), F.col("doc_id").isNull().alias("__null")).distinct(), "kept")
+    known = docs.where("doc_id IS NOT NULL").join(firsts.where("NOT __null"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    unnamed = docs.where("doc_id IS NULL")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    keyed = unnamed.where(~wordless).withColumn("__key", F.xxhash64("text"))
+    once = keyed.join(firsts.where("__null"), F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return known.unionAll(once).unionAll(unnamed.where(wordless))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

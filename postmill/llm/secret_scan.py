@@ -141,9 +141,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text",
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every secret replaced by a mask; n_chars follows."""
-    per_doc = scan(docs, findings).where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(per_doc, docs["doc_id"] == F.col("__id"), "left")
+    """``docs`` with every secret replaced by a mask; n_chars follows.  Rows
+    match their secrets by doc_id, those with a null doc_id by their text."""
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string"))))
+    found = scan(keyed, findings, doc_id="__key").where("is_secret")
+    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets")).withColumnRenamed("doc_id", "__id")
+    joined = keyed.join(per_doc, F.col("__key") == F.col("__id"), "left")
     clean = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
     return joined.withColumn("text", clean).withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from messy import ROWS
 
-from postmill.llm import exact_dedup, ngram_join
+from postmill.llm import exact_dedup, ngram_join, secret_scan
 from postmill.llm.components import components
 
 
@@ -140,3 +140,32 @@ def test_jaccard_join_of_a_table_united_with_itself(spark, chunk):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df.unionAll(df), chunk=chunk).collect())
     assert got == sorted(2 * brute_components(rows))
+
+
+def test_rows_with_null_ids_link_and_are_kept_once(spark):
+    base = " ".join(f"n{k}" for k in range(80))
+    other = base.replace("n", "m")
+    rows = [
+        (None, "alone and unique"), (None, "Alone and UNIQUE"), (None, base), (7, base + " tail"), (None, other), (None, other + " tail"), (None, other),
+        (None, None), (None, " \t"), (8, "eight words"), (None, "eight words"), (9, "nine"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.component_id or 0) for r in ngram_join.jaccard_components(df).collect())
+    assert got == sorted([("None", 0)] * 7 + [("None", 7), ("7", 7), ("8", 8), ("None", 8), ("9", 9)])
+    kept = ngram_join.keep_first(df).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id) == [7, 8, 9]
+    left = [r.text for r in kept if r.doc_id is None]
+    assert len(left) == 4 and None in left and " \t" in left
+    assert len([t for t in left if t and t.lower() == "alone and unique"]) == 1 and len([t for t in left if t and t.startswith("m0")]) == 1
+
+
+def test_messy_table_keeps_its_null_id(docs):
+    assert [r.text for r in ngram_join.keep_first(docs).where("doc_id IS NULL").collect()] == ["a null id"]
+
+
+def test_redact_masks_rows_with_null_ids(spark):
+    secret, tame = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a null row without any"
+    rows = [(None, f'token = "{secret}"', "en", "a.env", 60), (None, tame, "en", "b", 22), (None, None, "en", "b", 0), (1, f'token = "{secret}"', "en", "a.env", 60)]
+    got = secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert len(got) == 4 and not any(secret in (r.text or "") for r in got)
+    assert sum("<SECRET>" in (r.text or "") for r in got) == 2 and tame in {r.text for r in got}

@@ -2,7 +2,8 @@
 
 A payload is stored losslessly as 8-bit mono samples of a WAV file by the
 ``wave`` module.  Features come from the stored bytes, read back: a
-short-time Fourier transform of half-overlapping Hann windows, the strongest
+short-time Fourier transform of half-overlapping Hann windows, the last one
+filled with silence, so that no sample is left out; the strongest
 local peaks of each frame, and hashes of peak pairs (frequency, frequency,
 time between) with the time of the first, the fingerprint that a matcher joins
 on.  The job is one narrow stage; a recording is worked through in stretches
@@ -59,8 +60,7 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers and frequency bins of each frame's strongest local
     maxima, in time order (lower bin first on ties)."""
-    if len(samples) < FRAME:
-        samples = np.append(samples, np.full(FRAME - len(samples), 128, np.uint8))
+    samples = np.append(samples, np.full(max(FRAME - len(samples), (FRAME - len(samples)) % HOP), 128, np.uint8))  # silence up to the last frame's end
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     times, bins = [], []
     for start in range(0, len(frames), STRETCH):

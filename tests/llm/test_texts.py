@@ -166,3 +166,11 @@ def test_nonnegative_risk_learns_from_positives_and_unlabelled():
     model = quality.fit(good[:1500], np.vstack([good[1500:], bad]))
     assert abs(model["prior"] - 0.6) < 0.15
     assert (quality.score(good, model) >= quality.THRESHOLD).mean() > 0.95 and (quality.score(bad, model) < quality.THRESHOLD).mean() > 0.95
+
+
+def test_media_frames_reach_the_last_samples():
+    for n in range(64, 1025, 64):
+        flat = np.full(n, 128, np.uint8)
+        other = flat.copy()
+        other[-64:] = 128 + (60 * np.sin(np.arange(64))).astype(np.int64)
+        assert not len(media.peaks(flat)[0]) and len(media.peaks(other)[0]), n

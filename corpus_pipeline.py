@@ -39,10 +39,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two length."""
+    """Sequences of power-of-two length: their token ids and a checksum of them."""
     import public_tokenizers
 
-    return packing.packed_digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -68,3 +68,16 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     left = [labels[r.doc_id] for r in kept.collect() if r.doc_id in labels]
     assert sum(left) / len(left) > 0.95
+
+
+def test_packing_stage_returns_the_tokens(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "one two three", 2: "", 3: "word " * 3000}
+    rows = corpus_pipeline.pack(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()
+    for i, text in texts.items():
+        ids = b"".join(bytes(r.ids) for r in sorted(rows, key=lambda r: r.start) if r.doc_id == i)
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]

@@ -2,19 +2,21 @@
 
 Templates are short license notices and permission texts.  Their word
 k-grams are winnowed (the smallest hash of every ``WINDOW`` neighbours) into
-an inverted index from fingerprint to (template, position); the index is of
-the size of the template table, which is code, not data.  A text's words are
-hashed, winnowed the same way and looked up; hits near one diagonal are a
-candidate region, and a banded alignment of the region with the template gives
-the matched words, the coverage and the span.  A shared run of
-``GRAM + WINDOW - 1`` words is always found.
+an inverted index from fingerprint to (template, position), and so many of
+their longest words (anchors) that a match at the coverage must hold one; the
+index is of the size of the template table, which is code, not data.  A text's
+words are hashed and looked up the same way; where a window around a hit's
+diagonal holds words enough, banded alignments of it with the template give
+the matched words, the coverage and the span.  What lies before and after an
+accepted span is aligned again, so every place has its row.  Any alignment
+within ``BAND`` words of a diagonal that reaches the coverage is found.
 
 The whole job is one narrow stage over the texts: no shuffle, memory bounded
-by one text's words.  Templates below that length (three words at least) are
-looked up by every k-gram of the text instead of the winnowed ones.
+by one text's words.
 
 Defined results: null and empty texts give no row; a template that occurs
-several times in a text gives a row for each place; among overlapping regions
+several times in a text gives a row for each place (spans of one template do
+not overlap); among overlapping regions
 of several templates all that reach the coverage are reported; repeated rows
 repeat their findings; an empty table gives an empty result; further columns
 are ignored.
@@ -23,7 +25,8 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -134,25 +137,31 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]
 
 
 class Index:
-    """Inverted fingerprints of templates, and apart from them the k-grams of
-    templates too short for a fingerprint to be certain."""
+    """Inverted fingerprints and anchor words of templates, and the words that
+    each must match."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.words = [word_hashes(templates[n])[0] for n in self.names]
-        short = [len(h) < GRAM + WINDOW - 1 for h in self.words]
-        self.winnowed = self._posted([(f, t, p) for t, h in enumerate(self.words) if not short[t] for f, p in zip(*winnow(grams(h)))])
-        self.every = self._posted([(f, t, p) for t, h in enumerate(self.words) if short[t] for p, f in enumerate(grams(h))])
+        self.need = [next((n for n in range(1, len(h) + 1) if n / len(h) >= coverage), len(h) + 1) for h in self.words]
+        self.winnowed = self._posted([(f, t, p) for t, h in enumerate(self.words) for f, p in zip(*winnow(grams(h)))])
+        self.anchors = self._posted([(self.words[t][p], t, p) for t, n in enumerate(self.names) for p in self._longest(templates[n])[: len(self.words[t]) - self.need[t] + 1]])
+
+    @staticmethod
+    def _longest(template: str) -> list[int]:
+        """Positions of the template's words, the longest first."""
+        words = [w for w in map(bare, _WORD.findall(template)) if w]
+        return sorted(range(len(words)), key=lambda p: (-len(words[p]), p))
 
     @staticmethod
     def _posted(found: list) -> tuple[np.ndarray, list[tuple[int, int]]]:
         found = sorted(found)
         return np.array([f for f, _, _ in found], np.uint64), [(t, int(p)) for _, t, p in found]
 
-    def hits(self, g: np.ndarray) -> list[tuple[int, int, int]]:
+    def hits(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, position in the template, position in the text)."""
         out = []
-        for (prints, postings), (seen, at) in ((self.winnowed, winnow(g)), (self.every, (g, np.arange(len(g))))):
+        for (prints, postings), (seen, at) in ((self.winnowed, winnow(grams(h))), (self.anchors, (h, np.arange(len(h))))):
             if not len(prints) or not len(seen):
                 continue
             low = np.searchsorted(prints, seen)
@@ -165,8 +174,8 @@ class Index:
 
 
 @lru_cache(maxsize=4)
-def _index(items: tuple) -> Index:
-    return Index(dict(items))
+def _index(items: tuple, coverage: float) -> Index:
+    return Index(dict(items), coverage)
 
 
 def banded(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
@@ -192,39 +201,57 @@ def banded(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return top[0], -top[1], end
 
 
-def regions(index: Index, h: np.ndarray, band: int = BAND) -> list[tuple[int, int]]:
-    """Candidate (template, shift) of a hashed text: the middle diagonal of
-    each run of hits whose diagonals lie within a band."""
-    by: dict[int, list[int]] = defaultdict(list)
-    for t, p, q in index.hits(grams(h)):
-        by[t].append(q - p)
-    out = []
-    for t, shifts in by.items():
-        shifts.sort()
-        start = 0
-        for i in range(1, len(shifts) + 1):
-            if i == len(shifts) or shifts[i] - shifts[start] > band:
-                out.append((t, shifts[(start + i - 1) // 2]))
-                start = i
-    return out
-
-
-def findings(text: str, index: Index, coverage: float = COVERAGE, band: int = BAND) -> list[tuple[str, int, int, float, int, int]]:
+def best_near(words: np.ndarray, h: np.ndarray, inside: np.ndarray, lo: int, hi: int, shift: int, need: int, tried: set, band: int) -> tuple[int, int, int]:
+    """The best alignment on the diagonals within ``band`` of ``shift`` that
+    were not tried: matched words and span in ``h``; (0, 0, 0) if none has
+    ``need`` words.  ``inside`` counts the text's words that are template words."""
+    best, wide = (0, 0, 0), slice(max(lo, shift - 2 * band), max(lo, min(hi, shift + len(words) + 2 * band)))
+    if inside[wide.stop] - inside[wide.start] < need or (Counter(words.tolist()) & Counter(h[wide].tolist())).total() < need:
+        return best
+    for middle in sorted(range(shift - band, shift + band + 1), key=lambda c: abs(c - shift)):
+        if middle in tried:
+            continue
+        tried.add(middle)
+        low, top = max(lo, middle - band), min(hi, middle + len(words) + band)
+        if top <= low or inside[top] - inside[low] < need:
+            continue
+        matched, first, last = banded(words, h[low:top], middle - low, band)
+        if matched >= need and matched > best[0]:
+            best = matched, low + first, low + last
+            if matched == len(words):
+                break
+    return best
+
+
+def places(words: np.ndarray, h: np.ndarray, hits: list[tuple[int, int]], need: int, band: int = BAND) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first, last) of every place of a template in a hashed
+    text; ``hits``: sorted (position in the text, diagonal)."""
+    inside, left = np.append(0, np.cumsum(np.isin(h, words))), [(0, len(h), 0, len(hits))]
+    while left:
+        lo, hi, i, j = left.pop()
+        tried: set[int] = set()
+        for k in range(i, j):
+            matched, first, last = best_near(words, h, inside, lo, hi, hits[k][1], need, tried, band) if hits[k][1] not in tried else (0, 0, 0)
+            if matched:
+                yield matched, first, last
+                left += [(lo, first, k, bisect_left(hits, (first,), k, j)), (last, hi, bisect_left(hits, (last,), k, j), j)]
+                break
+
+
+def findings(text: str, index: Index, band: int = BAND) -> list[tuple[str, int, int, float, int, int]]:
     """(template, matched words, template words, coverage, start, end) of a
     text; start and end are code points of the text."""
     h, numbers = word_hashes(text)
-    out, spans = set(), None
-    for t, shift in regions(index, h, band):
+    by: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for t, p, q in index.hits(h):
+        by[t].add((q, q - p))
+    out, spans = [], None
+    for t, hits in by.items():
         words = index.words[t]
-        low = max(0, shift - band)
-        part = h[low : shift + len(words) + band]
-        matched, first, last = banded(words, part, shift - low, band)
-        share = matched / len(words)
-        if share >= coverage:
+        for matched, first, last in places(words, h, sorted(hits), index.need[t], band):
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(text)]
-            a, b = numbers[low + first], numbers[low + last - 1]
-            out.add((index.names[t], matched, len(words), share, spans[a][0], spans[b][1]))
+            out.append((index.names[t], matched, len(words), matched / len(words), spans[numbers[first]][0], spans[numbers[last - 1]][1]))
     return sorted(out)
 
 
@@ -234,11 +261,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverag
     items = tuple(sorted(templates.items()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        index = _index(items, coverage)
         for block in blocks(batches):
             of, found = [], []
             for i, t in enumerate(texts_of(block)):
-                for f in findings(t, index, coverage):
+                for f in findings(t, index):
                     of.append(i)
                     found.append(f)
             columns = list(zip(*found)) or [[]] * 6

@@ -174,3 +174,34 @@ def test_media_frames_reach_the_last_samples():
         other = flat.copy()
         other[-64:] = 128 + (60 * np.sin(np.arange(64))).astype(np.int64)
         assert not len(media.peaks(flat)[0]) and len(media.peaks(other)[0]), n
+
+
+def test_license_scan_finds_every_place():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    of = lambda text, name: [text[f[4] : f[5]] for f in license_scan.findings(text, index) if f[0] == name]
+    for n in range(1, 8):
+        assert of(" ".join(["All rights reserved."] * n), "all-rights-reserved") == ["All rights reserved."] * n
+        assert of("\n".join(["Released under the MIT License."] * n), "MIT-notice") == ["Released under the MIT License."] * n
+    assert of("under the MIT License. Released under the MIT License.", "MIT-notice") == ["Released under the MIT License.", "under the MIT License."][::-1]
+    assert of("Released under an MIT License", "MIT-notice") == ["Released under an MIT License"]
+
+
+def test_license_scan_against_brute_force_alignment():
+    rng, index, met = np.random.default_rng(6), license_scan.Index(license_scan.TEMPLATES), 0
+    short = [t for t, h in enumerate(index.words) if len(h) <= 15]
+    for _ in range(300):
+        t = int(rng.choice(short))
+        words = license_scan.TEMPLATES[index.names[t]].split()
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 2))] = ["other"] * int(rng.integers(0, 3))
+            words = words or ["other"]
+        text = " ".join(["before"] * int(rng.integers(0, 4)) + words + ["after"] * int(rng.integers(0, 4)))
+        h, found = license_scan.word_hashes(text)[0], {f[0]: f[1] for f in license_scan.findings(text, index)}
+        for u in short:
+            w = index.words[u]
+            best = max(license_scan.banded(w, h, shift)[0] for shift in range(-len(w), len(h)))
+            want = best / len(w) >= license_scan.COVERAGE
+            assert (index.names[u] in found) == want and (not want or found[index.names[u]] == best), (index.names[u], text)
+            met += want
+    assert met > 60

@@ -3,7 +3,10 @@
 The model counts token bigrams of the whole corpus; tokens are those of a
 public byte-level BPE vocabulary, so that a bigram is an exact 32-bit key and
 the unigram table is bounded by the vocabulary (at most 65,535 entries, which
-bounds its broadcast).  The score of a token w after v is
+bounds its broadcast).  The query scores with every count above 0 (``least``
+1); a caller may hold bigrams below ``least`` for unseen, and the function's
+own default does so for those that occur once.  The score of a token w after
+v is
 
     count(v w) / count(v)            if count(v w) >= least
     0.4 * count(w) / tokens          otherwise
@@ -176,4 +179,4 @@ def lm_scores(docs: DataFrame, vocabulary: str, backoff: float = BACKOFF, least:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), least=1)

@@ -205,3 +205,18 @@ def test_license_scan_against_brute_force_alignment():
             assert (index.names[u] in found) == want and (not want or found[index.names[u]] == best), (index.names[u], text)
             met += want
     assert met > 60
+
+
+def test_lm_query_scores_bigrams_that_occur_once(spark):
+    sf = "/root/testdata/sf0.001"
+    tokens = {r.doc_id: ids_of(BYTE, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    uni, bi = Counter(), Counter()
+    for v in tokens.values():
+        uni.update(v)
+        uni["edge"] += bool(v)
+        bi.update(zip(["edge", *v], v))
+    assert 1 in bi.values()
+    for r in lm_score.op5_lm_score(spark, sf).collect():
+        v = tokens[r.doc_id]
+        want = sum(round(1e6 * math.log10(bi[a, b] / uni[a])) for a, b in zip(["edge", *v], v)) / 1e6
+        assert abs(r.log10_score - want) < 1e-4 and r.n_tokens == len(v)

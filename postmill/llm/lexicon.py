@@ -2,23 +2,29 @@
 
 1. A pass over all texts counts their words (map-side per block, one
    shuffle), and the most frequent ones, at most ``MOST_WORDS``, go to the
-   driver, a bounded list.
+   driver, a bounded list.  A word is a lower-case piece of plain ASCII, or a
+   run without ASCII white space, as the text spells it, if it holds others.
 2. They are compiled into a minimal acyclic automaton: words in sorted order,
    states with equal suffixes shared, and integer outputs on the arcs that add
-   up to a word's number; the number points at the word's token ids.  The
+   up to a word's number; the number points at the word's token ids.  Its arcs
+   lie in one array (a state's arc for byte b in slot ``base[state] + b``).  The
    automaton is a flat file, shipped with ``SparkContext.addFile`` and
-   memory-mapped by every worker.
-3. Encoding is one narrow stage: a text's words are looked up in the
-   automaton; a word it does not hold is merged exactly, pair of lowest rank
-   first, as the vocabulary's merge list says.
-
-Words are what the vocabulary's own pre-tokenizer makes of the normalised text
-(NFC, white space to blanks, lower case), so ids equal those of the
-``tokenizers`` library, special tokens in a text included; decoding joins the
-tokens' strings with blanks, as a vocabulary without a decoder does.
-
-Defined results: null text counts as empty and has no ids; repeated rows are
-each returned; an empty table gives an empty result (and an empty lexicon).
+   memory-mapped by every worker, which reads it in place.
+3. Encoding is one narrow stage: all words of a block of texts walk the
+   automaton together, a byte a step; a word that it does not hold is
+   normalised and merged exactly, pair of lowest rank first, as the
+   vocabulary's merge list says.
+
+A word's ids are those of the pieces that the vocabulary's own pre-tokenizer
+makes of the normalised word (NFC, other white space to blanks, lower case), so
+ids equal those of the ``tokenizers`` library, special tokens in a text
+included; decoding joins the tokens' strings with blanks, as a vocabulary
+without a decoder does.
+
+Defined results: null text counts as empty and has no ids; a null doc_id stays
+null; a text of any length is encoded whole; repeated rows are each returned;
+an empty table gives an empty result (and an empty lexicon); further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +34,16 @@ import json
 import mmap
 import os
 import re
-import sys
 import tempfile
 import unicodedata
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +52,9 @@ from pyspark.sql import functions as F
 from postmill.llm.shared import blocks, bounded_batches, documents, materialise, texts_of
 from postmill.llm.tokens import _byte_of_symbol
 
-#: Words that the lexicon holds at most.
-MOST_WORDS = 120_000
-
-#: Chunks of text that a worker remembers the ids of at most (and half as
-#: many words).
-MOST_CHUNKS = 400_000
+#: Words that the lexicon holds at most, and bytes that each has at most
+#: (longer ones are merged).
+MOST_WORDS, MOST_BYTES = 250_000, 48
 
 
 #: Unicode White_Space, which the vocabulary file's ``\\s`` means; Python's own
@@ -68,6 +70,18 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+#: ASCII pieces of a lower-case word, as ``PIECES`` makes them of a word
+#: without what ``_UNEVEN`` finds: marks, apostrophes, special tokens.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE, _UNEVEN = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+"), re.compile(rb"[\x1c-\x1f\x80-\xff'<]")
+
+
+def entries(word: bytes) -> list[bytes]:
+    """What the lexicon is asked for a word of a text: its lower-case pieces
+    if it is plain ASCII, else the word itself."""
+    return [word] if _UNEVEN.search(word) else _PIECE.findall(word.lower())
+
+
 class WordBpe:
     """The parts of a word-end BPE file that encoding needs."""
 
@@ -80,8 +94,13 @@ class WordBpe:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.symbol = {b: c for c, b in _byte_of_symbol().items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(_BLANKS.search(t) for t in self.special):
+            raise ValueError("a special token of this vocabulary holds white space")
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", WHITE))
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if pattern != PIECES:
+            raise ValueError("the words of this vocabulary are cut by another pattern")
+        self.pieces = regex.compile(pattern.replace(r"\s", WHITE))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def normal(self, text: str) -> str:
@@ -91,12 +110,20 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
-    def words(self, chunk: str) -> list[str]:
-        """Words of a chunk without white space."""
-        return self.pieces.findall(self.normal(chunk))
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, piece by piece."""
+        ids: list[int] = []
+        for part in self.cut.split(text) if any(t in text for t in self.special) else [text]:
+            if part in self.special:
+                ids.append(self.special[part])
+            else:
+                for chunk in chunks_of(part):
+                    for piece in self.pieces.findall(self.normal(chunk)):
+                        ids += self.merge(piece)
+        return ids
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word: its bytes' symbols, merged by falling priority."""
+        """Ids of one piece: its bytes' symbols, merged by falling priority."""
         parts = [self.symbol[b] for b in word.encode("utf-8", "surrogatepass")]
         if not parts:
             return []
@@ -117,6 +144,73 @@ class WordBpe:
         return [self.vocab[p] for p in parts]
 
 
+class Merger:
+    """Merges many pieces together: a row of symbols for each, in each
+    round the leftmost pair of lowest rank of every row."""
+
+    ROWS, WIDE = 4096, 256  # rows of a round; bytes of a piece
+
+    def __init__(self, bpe: WordBpe):
+        self.none = len(bpe.rank)
+        pairs = sorted((bpe.vocab[a] << 32 | bpe.vocab[b], rank, bpe.vocab[a + b]) for (a, b), rank in bpe.rank.items())
+        self.pair, rank, made = (np.array(x, np.int64) for x in zip(*pairs, (1 << 62, 0, 0)))
+        self.rank = rank.astype(np.int32)
+        self.made = np.zeros(self.none + 1, np.int64)
+        self.made[rank[:-1]] = made[:-1]
+        self.inner = np.array([bpe.vocab[bpe.symbol[b]] for b in range(256)], np.int64)
+        self.last = np.array([bpe.vocab[bpe.symbol[b] + bpe.end] for b in range(256)], np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; ``none`` for pairs that never merge, such as
+        those with -1, which stands after a row's end."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pair, key)
+        return np.where((self.pair[np.minimum(at, self.none)] == key) & (right >= 0), self.rank[np.minimum(at, self.none)], self.none).astype(np.int32)
+
+    def merge(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces raw[at : at + length], normalised and not empty,
+        one after another, and how many each has."""
+        order, count, rows = np.argsort(length, kind="stable"), np.zeros(len(at), np.int64), []
+        for first in range(0, len(order), self.ROWS):
+            part = order[first : first + self.ROWS]
+            ids = self._rows(raw, at[part], length[part])
+            count[part] = (ids >= 0).sum(1)
+            rows.append(ids[ids >= 0])
+        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        out, to = np.empty(len(flat), np.int32), np.cumsum(count) - count
+        out[_runs(to[order], count[order])] = flat
+        return out, count
+
+    def _rows(self, raw: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row of ids for each piece, filled up with -1."""
+        n, width = len(sizes), int(sizes.max()) + 1
+        at = np.arange(width)
+        symbols = raw[np.minimum(start[:, None] + at, len(raw) - 1)]
+        ids = np.where(at < sizes[:, None] - 1, self.inner[symbols], np.where(at == sizes[:, None] - 1, self.last[symbols], -1))
+        rank = np.full((n, width), self.none, np.int32)
+        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        done, live = np.full((n, width), -1, np.int32), np.arange(n)
+        while True:
+            best = rank.argmin(1)
+            lowest = rank[np.arange(len(rank)), best]
+            on = lowest < self.none
+            done[live[~on], : ids.shape[1]] = ids[~on]
+            rows = np.flatnonzero(on)
+            if not len(rows):
+                return done
+            # the pair becomes one symbol, what follows moves up, the last column goes
+            live, best, lowest, at = live[rows], best[rows], lowest[rows], at[:-1]
+            shift = at + (at > best[:, None])
+            ids, rank = ids[rows[:, None], shift], rank[rows[:, None], shift]
+            row = np.arange(len(rows))
+            ids[row, best] = self.made[lowest]
+            after = np.minimum(best + 1, len(at) - 1)
+            rank[row, best] = np.where(after > best, self.ranks(ids[row, best], ids[row, after]), self.none)
+            inner = best > 0
+            row, best = row[inner], best[inner]
+            rank[row, best - 1] = self.ranks(ids[row, best - 1], ids[row, best])
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """A minimal acyclic automaton over ``words`` as a flat file.
 
@@ -158,146 +252,250 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     close(0)
     root = state(path[0][0], tuple(path[0][1]))
 
-    first = np.zeros(len(shapes) + 1, np.int32)
-    labels, targets, outputs, finals = [], [], [], []
+    base, slots = _placed([[label for label, _ in arcs] for _, arcs in shapes])
+    check, target, output = np.full(slots, -1, np.int32), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
     for i, (final, arcs) in enumerate(shapes):
         before = int(final)
-        finals.append(final)
         for label, to in arcs:
-            labels.append(label)
-            targets.append(to)
-            outputs.append(before)
+            slot = base[i] + label
+            check[slot], target[slot], output[slot] = i, to, before
             before += counts[to]
-        first[i + 1] = len(labels)
     ids = [words[w] for w in order]
     at = np.zeros(len(ids) + 1, np.int32)
     at[1:] = np.cumsum([len(x) for x in ids]) if ids else 0
     flat = np.array([x for one in ids for x in one], np.int32)
-    head = np.array([root, len(shapes), len(labels), len(ids), len(flat)], np.int32)
-    return b"".join([head.tobytes(), first.tobytes(), np.array(targets, np.int32).tobytes(), np.array(outputs, np.int32).tobytes(), at.tobytes(), flat.tobytes(), np.array(labels, np.uint8).tobytes(), np.array(finals, np.uint8).tobytes()])
+    head = np.array([root, len(shapes), slots, len(ids), len(flat)], np.int32)
+    final = np.array([f for f, _ in shapes], np.int32)
+    return b"".join(x.tobytes() for x in (head, np.array(base, np.int32), final, check, target, output, at, flat))
+
+
+def _placed(labels: list[list[int]]) -> tuple[list[int], int]:
+    """A base for each state so that no two arcs share a slot: the states with
+    most arcs first, each at the first place that fits; and the slots needed."""
+    free = np.ones(2 * sum(map(len, labels)) + 1024, bool)
+    base, low, end = [0] * len(labels), 0, 0
+    for i in sorted(range(len(labels)), key=lambda i: -len(labels[i])):
+        own = labels[i]
+        if len(own) < 2:
+            break
+        start = low
+        while True:
+            if len(free) < start + 2048:
+                free = np.append(free, np.ones(len(free), bool))
+            fits = free[start : start + 512].copy()
+            for label in own[1:]:
+                fits &= free[start + label - own[0] : start + label - own[0] + 512]
+            found = int(fits.argmax())
+            if fits[found]:
+                break
+            start += 512
+        if start > low + 1024:
+            low += 512  # crowded; what is free there is left to the single arcs
+        at = start + found
+        for label in own:
+            free[at + label - own[0]] = False
+        base[i] = at - own[0] + 256  # never below 0
+        end = max(end, at + own[-1] - own[0])
+    single = [i for i, own in enumerate(labels) if len(own) == 1]
+    free = np.append(free, np.ones(len(single), bool))
+    for i, at in zip(single, np.flatnonzero(free)[: len(single)].tolist()):
+        base[i] = at - labels[i][0] + 256
+        end = max(end, at)
+    return base, end + 256 + 257
 
 
 class Lexicon:
-    """A compiled lexicon over a buffer, such as a memory-mapped file."""
+    """A compiled lexicon over a buffer, such as a memory-mapped file; its
+    arrays are views of it."""
 
     def __init__(self, buffer):
-        root, states, arcs, words, ids = np.frombuffer(buffer, np.int32, 5).tolist()
-        at = 20
-        views = []
-        for kind, n in ((np.int32, states + 1), (np.int32, arcs), (np.int32, arcs), (np.int32, words + 1), (np.int32, ids), (np.uint8, arcs), (np.uint8, states)):
-            views.append(memoryview(np.frombuffer(buffer, kind, n, at)))
-            at += n * np.dtype(kind).itemsize
-        self.first, self.targets, self.outputs, self.start, self.ids, labels, self.finals = views
-        self.labels = bytes(labels)  # searched by bytes.find
-        self.root, self.words = root, words
+        self.root, states, slots, self.words, ids = np.frombuffer(buffer, np.int32, 5).tolist()
+        views, at = [], 20
+        for n in (states, states, slots, slots, slots, self.words + 1, ids):
+            views.append(np.frombuffer(buffer, np.int32, n, at))
+            at += 4 * n
+        self.base, self.final, self.check, self.target, self.output, self.start, self.ids = views
+
+    def find_all(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The numbers of the words raw[at : at + length], -1 where the lexicon
+        does not hold one."""
+        out = np.full(len(at), -1, np.int32)
+        word = np.flatnonzero(length <= MOST_BYTES)
+        pos, left = at[word], length[word].astype(np.int32)
+        state, number = np.full(len(word), self.root, np.int32), np.zeros(len(word), np.int32)
+        while len(word):
+            done = left == 0
+            if done.any():
+                held = done & (self.final[state] > 0)
+                out[word[held]] = number[held]
+                on = ~done
+                word, pos, left, state, number = word[on], pos[on], left[on], state[on], number[on]
+                if not len(word):
+                    break
+            slot = self.base[state] + raw[pos]
+            on = self.check[slot] == state
+            slot, word, pos, left, number = slot[on], word[on], pos[on] + 1, left[on] - 1, number[on]
+            state, number = self.target[slot], number + self.output[slot]
+        return out
 
     def find(self, word: bytes) -> list[int] | None:
         """The word's ids, or None where the lexicon does not hold it."""
-        state, number, first, arc_of = self.root, 0, self.first, self.labels.find
-        targets, outputs = self.targets, self.outputs
-        for b in word:
-            arc = arc_of(b, first[state], first[state + 1])
-            if arc < 0:
-                return None
-            number += outputs[arc]
-            state = targets[arc]
-        if not self.finals[state]:
-            return None
-        return self.ids[self.start[number] : self.start[number + 1]].tolist()
-
-
-def _packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+        n = int(self.find_all(np.frombuffer(word + b"\0", np.uint8), np.zeros(1, np.int64), np.array([len(word)]))[0])
+        return None if n < 0 else self.ids[self.start[n] : self.start[n + 1]].tolist()
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+#: Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other, 4 uneven.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[28:32] = _KIND[128:] = _KIND[[39, 60]] = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def entries_of(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``entries`` of all words of the texts in ``raw``: their bytes (lower
+    case where plain) and each entry's start and length there."""
+    kind = _KIND[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[ends], edge[0] = True, True
+    before = np.append(np.uint8(0), kind[:-1])[: len(raw)]
+    begins = (kind > 0) & ((before == 0) | edge[:-1])  # of words
+    at = np.flatnonzero(begins)
+    uneven = np.zeros(len(at), bool)
+    if len(at):
+        uneven[np.searchsorted(at, np.flatnonzero(kind == 4), "right") - 1] = True
+    within = np.repeat(uneven, np.diff(np.append(at, len(raw))))  # from the first word on
+    within = np.append(np.zeros(int(at[0]) if len(at) else len(raw), bool), within)
+    starts = begins | ((kind > 0) & ~within & ((kind != before) | (kind == 2)))
+    stops = (kind == 0) | starts
+    at = np.flatnonzero(starts)
+    stop = np.append(np.flatnonzero(stops | edge[:-1]), len(raw))
+    length = stop[np.searchsorted(stop, at, "right")] - at if len(at) else at
+    return np.where(within, raw, _LOWER[raw]), at, length
 
 
 class Encoder:
     """Texts to ids with a lexicon; what a worker holds."""
 
     def __init__(self, vocabulary: str, lexicon: Lexicon):
-        self.bpe, self.lexicon, self.seen, self.met = WordBpe(vocabulary), lexicon, {}, {}
-
-    def word(self, word: str) -> list[int]:
-        """Ids of one word: the lexicon's, else merged."""
-        ids = self.met.get(word)
-        if ids is None:
-            ids = self.lexicon.find(word.encode("utf-8", "surrogatepass"))
-            if ids is None:
-                ids = self.bpe.merge(word)
-            if len(self.met) >= MOST_CHUNKS // 2:
-                self.met.clear()
-            self.met[word] = ids
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space."""
-        ids: list[int] = []
-        for word in self.bpe.words(chunk):
-            ids += self.word(word)
-        found = _packed(ids)
-        if len(self.seen) >= MOST_CHUNKS:
-            self.seen.clear()  # frequent chunks are back at once, rare ones make room
-        self.seen[chunk] = found
-        return found
-
-    def decode(self, ids: bytes) -> str:
-        strings = self.bpe.strings
-        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-    def text(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32-bit) and decoded text."""
-        special, seen = self.bpe.special, self.seen
-        parts = self.bpe.cut.split(text) if any(s in text for s in special) else [text]
-        found = []
-        for part in parts:
-            if part in special:
-                found.append(_packed([special[part]]))
+        self.bpe, self.lexicon = WordBpe(vocabulary), lexicon
+        self.merger, self.special = Merger(self.bpe), [t.encode() for t in self.bpe.special]
+        self.strings = [self.bpe.strings.get(i, "") for i in range(max(self.bpe.strings) + 1)]
+
+    def merged(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries raw[at : at + length] that the lexicon does not
+        hold, one after another, and how many each has."""
+        odd = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(_KIND[raw] == 4, out=odd[1:])
+        own = np.flatnonzero((odd[at + length] > odd[at]) | (length > self.merger.WIDE))
+        plain = np.ones(len(at), bool)
+        plain[own] = False
+        some, count = np.flatnonzero(plain), np.zeros(len(at), np.int64)
+        ids, count[some] = self.merger.merge(raw, at[some], length[some])
+        # the others are normalised and cut first
+        pieces, of, exact = [], [], {}
+        for i, a, n in zip(own.tolist(), at[own].tolist(), length[own].tolist()):
+            word = raw[a : a + n].tobytes()
+            text = word.decode("utf-8", "surrogatepass")
+            cut = [] if b"<" in word and any(t in word for t in self.special) else [x.encode("utf-8", "surrogatepass") for c in chunks_of(text) for x in self.bpe.pieces.findall(self.bpe.normal(c))]
+            if cut and max(map(len, cut)) <= self.merger.WIDE:
+                pieces += cut
+                of += [i] * len(cut)
             else:
-                for chunk in chunks_of(part):
-                    ids = seen.get(chunk)
-                    found.append(self.chunk(chunk) if ids is None else ids)
-        ids = b"".join(found)
-        return ids, self.decode(ids)
-
-
-def frequent_words(docs: DataFrame, vocabulary: str, most: int = MOST_WORDS) -> list[str]:
+                exact[i] = self.bpe.encode(text)
+        sizes, of = np.array([len(x) for x in pieces], np.int64), np.array(of, np.int64)
+        more, each = self.merger.merge(np.frombuffer(b"".join(pieces) or b"\0", np.uint8), np.cumsum(sizes) - sizes, sizes)
+        np.add.at(count, of, each)
+        for i, found in exact.items():
+            count[i] = len(found)
+        to = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        out[_runs(to[some], count[some])] = ids
+        if len(of):
+            first = np.unique(of)  # pieces of an entry follow each other
+            out[_runs(to[first], count[first])] = more
+        for i, found in exact.items():
+            out[to[i] : to[i] + len(found)] = found
+        return out, count
+
+    def texts(self, raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of ``raw``, UTF-8 bytes of which text i ends
+        before ends[i]."""
+        raw, at, length = entries_of(raw, ends)
+        number = self.lexicon.find_all(raw, at, length)
+        held, start, known = number >= 0, self.lexicon.start, self.lexicon.ids
+        more, each = self.merged(raw, at[~held], length[~held])
+        count = np.empty(len(at), np.int64)
+        count[held], count[~held] = start[number[held] + 1] - start[number[held]], each
+        to = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), "<u4")
+        ids[_runs(to[held], count[held])] = known[_runs(start[number[held]], count[held])]
+        ids[_runs(to[~held], each)] = more
+        edges = np.append(to, len(ids))[np.searchsorted(at, np.append(0, ends))]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+
+
+def bytes_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a batch's texts in a row (null as empty) and where
+    each ends."""
+    texts = pc.fill_null(batch.column(name).cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    return raw, at[1:] - at[0]
+
+
+def frequent_words(docs: DataFrame, most: int = MOST_WORDS) -> list[bytes]:
     """The most frequent words of all texts: those above the smallest count
-    that leaves at most ``most`` of them."""
+    that leaves at most ``most`` of them; where already the highest counts have
+    more words, an even share of these by hash."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, chunks = _word_bpe(vocabulary), Counter()
+        words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in bpe.words(chunk):
-                    words[w] += n
-            chunks.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            found: Counter = Counter()
+            for word, n in words.items():
+                for entry in entries(word):
+                    found[entry] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
         for block in blocks(batches):
             for t in texts_of(block):
-                chunks.update(chunks_of(t))
-            if len(chunks) > 200_000:
+                words.update(t.encode("utf-8", "surrogatepass").split())
+            if len(words) > 500_000:
                 yield flush()
         yield flush()
 
-    counts = bounded_batches(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = bounded_batches(docs).select("text").mapInArrow(counted, "word binary, n long").where(F.octet_length("word") <= MOST_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "word-counts")
     # a histogram of counts in 64 steps per doubling (some thousand rows at
     # most) tells from which count on the words are few enough to collect
     step = F.floor(F.log2("n") * 64).cast("int")
     histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
-    least, total = None, 0
+    least, total, share = None, 0, 1
     for r in sorted(histogram, key=lambda r: -r.step):
         total += r.words
         if total > most:
+            if least is None:
+                least, share = r.step, -(-2 * total // max(most, 1))
             break
         least = r.step
-    return [] if least is None else [r.word for r in counts.where(step >= least).select("word").collect()]
+    if least is None:
+        return []
+    return [bytes(r.word) for r in counts.where((step >= least) & (F.pmod(F.xxhash64("word"), F.lit(share)) == 0)).select("word").collect()]
 
 
 @lru_cache(maxsize=1)
@@ -311,14 +509,14 @@ def _encoder(vocabulary: str, name: str) -> Encoder:
         return Encoder(vocabulary, Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
 
 
-def ship_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str:
+def ship_lexicon(spark: SparkSession, words: list[bytes], vocabulary: str) -> str:
     """Compile ``words`` and send the file to all executors, late ones
     included; its name there."""
     bpe = _word_bpe(vocabulary)
-    folder = tempfile.mkdtemp(prefix="postmill-")
+    folder = tempfile.mkdtemp(prefix="postmill-")  # of the driver, which serves it
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with open(os.path.join(folder, name), "wb") as f:
-        f.write(compile_lexicon({w.encode("utf-8"): bpe.merge(w) for w in words}))
+        f.write(compile_lexicon({w: bpe.encode(w.decode("utf-8", "surrogatepass")) for w in words}))
     spark.sparkContext.addFile(os.path.join(folder, name))
     return name
 
@@ -327,20 +525,22 @@ def encode(docs: DataFrame, vocabulary: str, most_words: int = MOST_WORDS, outpu
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256,
     decoded, decoded_sha256; ``outputs=False`` leaves ids and decoded null."""
     rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    name = ship_lexicon(docs.sparkSession, frequent_words(rows, vocabulary, most_words), vocabulary)
+    name = ship_lexicon(docs.sparkSession, frequent_words(rows, most_words), vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, name)
         for block in blocks(batches):
-            both = [encoder.text(t) for t in texts_of(block)]
+            found = encoder.texts(*bytes_of(block))
+            ids = [i.tobytes() for i in found]
+            decoded = [encoder.decode(i) for i in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id"),
-                    pa.array([len(i) // 4 for i, _ in both], pa.int64()),
-                    pa.array([i if outputs else None for i, _ in both], pa.binary()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i, _ in both]),
-                    pa.array([d if outputs else None for _, d in both], pa.string()),
-                    pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in both]),
+                    pa.array([len(i) for i in found], pa.int64()),
+                    pa.array(ids if outputs else [None] * len(ids), pa.binary()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    pa.array(decoded if outputs else [None] * len(ids), pa.string()),
+                    pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]),
                 ],
                 ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"],
             )

@@ -56,7 +56,7 @@ def test_lexicon_is_minimal_and_exact():
     assert all(lex.find(w) == v for w, v in words.items())
     assert lex.find(b"wal") is None and lex.find(b"walks") is None and lex.find(b"\xff") is None
     twice = lexicon.Lexicon(lexicon.compile_lexicon({p + s: [1] for p in (b"a", b"b", b"c") for s in (b"ing", b"ed")}))
-    assert len(twice.finals) == 6  # root, one shared middle, and the suffixes once
+    assert len(twice.final) == 6  # root, one shared middle, and the suffixes once
     assert lexicon.Lexicon(lexicon.compile_lexicon({})).find(b"a") is None
 
 

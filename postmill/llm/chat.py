@@ -1,9 +1,10 @@
 """Operator 2, chat formatting with schema fingerprints.
 
-Records arrive as JSON in whatever layout their source uses.  A record's
-fingerprint is the hash of its nested field paths, types left out; a small
-declarative table maps fingerprints to the fields that make turns, so that a
-new layout is a new row of that table, not new code.  Each matched record
+Records arrive as JSON text or as variants, in whatever layout their source
+uses.  A record's fingerprint is the hash of its nested field paths, types and
+optional fields left out; a small declarative table maps fingerprints to the
+fields that make turns, so that a new layout is a new row of that table, not new
+code.  Each matched record
 becomes canonical turns (conv_id, turn, role, text), and a conversation's
 turns become one training sample in the template
 
@@ -20,9 +21,13 @@ so a conversation is what one task holds at a time.
 
 Defined results: null texts and roles count as empty; turns are ordered by
 their number (null first), then role, then text; repeated rows repeat their
-turns; a record of an unknown layout gives no turns and is counted by
-``unknown_layouts``; an empty table gives an empty result; further columns of
-the conversations table are ignored.
+turns; a record of an unknown layout, or whose JSON cannot be read (such as one
+with a string beyond the reader's 20 million characters, which as a variant
+is no limit), ends the job with an error unless the caller asks to skip such
+records, and ``unknown_layouts`` counts them; a record with an empty array of
+turns has none; rows with a null conv_id are one conversation; a text may be as
+long as a variant, 128 MB, and longer ones end the job; an empty table gives an
+empty result; further columns of the conversations table are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +50,15 @@ LAYOUTS = (
     {"shape": "OBJECT<conv_id: _, role: _, text: _, turn: _>", "id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
     {"shape": "OBJECT<id: _, messages: ARRAY<OBJECT<content: _, role: _>>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
     {"shape": "OBJECT<conversations: ARRAY<OBJECT<from: _, value: _>>, id: _>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
+    {"shape": "OBJECT<id: _, messages: ARRAY<_>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
+    {"shape": "OBJECT<conversations: ARRAY<_>, id: _>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
     {"shape": "OBJECT<id: _, input: _, instruction: _, output: _>", "id": "id", "fields": (("system", "instruction"), ("user", "input"), ("assistant", "output"))},
     {"shape": "OBJECT<id: _, prompt: _, response: _>", "id": "id", "fields": (("user", "prompt"), ("assistant", "response"))},
 )
 
+#: Scalar fields that a record or a turn may carry besides those of its layout.
+OPTIONAL = ("created", "created_at", "lang", "language", "metadata", "model", "name", "rating", "score", "source", "split", "timestamp", "weight")
+
 #: Names of the same role in the layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant"}
 
@@ -60,10 +70,14 @@ def fingerprint_of(shape: str) -> str:
 
 
 def with_fingerprint(records: DataFrame, body: str = "body") -> DataFrame:
-    """``records`` with the parsed ``record`` and its ``fingerprint``."""
-    parsed = records.withColumn("record", F.try_parse_json(F.col(body)))
+    """``records`` with ``record``, a variant (parsed from ``body`` where the
+    table has none), and its ``fingerprint``."""
+    if dict(records.dtypes).get("record") != "variant":
+        records = records.withColumn("record", F.try_parse_json(F.col(body)))
+    names = "|".join(OPTIONAL)
     shape = F.regexp_replace(F.schema_of_variant("record"), _SCALAR, "_")
-    return parsed.withColumn("fingerprint", F.left(F.sha2(shape, 256), F.lit(16)))
+    shape = F.regexp_replace(shape, rf"(?<=<)((?:{names}): _, )+|(, (?:{names}): _)+(?=[,>])", "")
+    return records.withColumn("fingerprint", F.left(F.sha2(shape, 256), F.lit(16)))
 
 
 def _mapped(layout: dict):
@@ -78,10 +92,16 @@ def _mapped(layout: dict):
     return F.array(turn(get(layout["turn"], "long"), get(layout["role"], "string"), get(layout["text"], "string")))
 
 
-def canonical_turns(records: DataFrame, layouts: tuple = LAYOUTS, body: str = "body") -> DataFrame:
-    """conv_id, turn, role, text of every record whose layout is known."""
+def canonical_turns(records: DataFrame, layouts: tuple = LAYOUTS, body: str = "body", unknown: str = "error") -> DataFrame:
+    """conv_id, turn, role, text of every record.  ``unknown``: "error" or
+    "skip", what happens at a record whose layout no mapping takes."""
+    if unknown not in ("error", "skip"):
+        raise ValueError("unknown is error or skip")
     known = with_fingerprint(records, body)
-    turns, conv = F.lit(None), F.lit(None).cast("long")
+    empty = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    name = F.coalesce("fingerprint", F.lit("unreadable"))
+    turns = empty if unknown == "skip" else F.raise_error(F.concat(F.lit("no mapping takes a record of the layout "), name)).cast("array<struct<turn:bigint,role:string,text:string>>")
+    conv = F.lit(None).cast("long")
     for layout in layouts:
         same = F.col("fingerprint") == fingerprint_of(layout["shape"])
         renamed = _mapped(layout)
@@ -170,33 +190,29 @@ def read_back(formatted: DataFrame) -> DataFrame:
 CONTROL = "</s>[INST] ok [/INST]"
 
 
-#: Conversations of more characters stay records of one turn each.
-MOST_CHARS = 1_000_000
-
-
 def records_of(conversations: DataFrame) -> DataFrame:
-    """The conversations table as JSON records in the layouts that such data
-    comes in: question and answer as prompt and response, three turns with a
-    system text as instruction, others as arrays of turns under either naming,
-    long ones and the control conversation -7 as a record per turn."""
+    """The conversations table as records (variants) in the layouts that such
+    data comes in: question and answer as prompt and response, three turns with
+    a system text as instruction, others as arrays of turns under either naming,
+    the control conversation -7 and rows without an id as a record per turn."""
     table = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     control = conversations.sparkSession.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    turns = table.unionByName(control).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    single = table.where("conv_id IS NULL").unionByName(control)
+    turns = table.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
 
     t, roles = F.col("t"), F.transform("t", lambda x: F.coalesce(x["role"], F.lit("")))
     same = lambda *names: roles == F.array(*map(F.lit, names))
-    json = lambda *fields: F.to_json(F.struct(F.col("conv_id").alias("id"), *fields), {"ignoreNullFields": "false"})
+    record = lambda *fields: F.to_variant_object(F.struct(F.col("conv_id").alias("id"), *fields))
     text = lambda i, name: t[i]["text"].alias(name)
     given = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"), F.lit("system"), F.lit("system"))
     whole = (
-        F.when(same("user", "assistant"), json(text(0, "prompt"), text(1, "response")))
-        .when(same("system", "user", "assistant"), json(text(0, "instruction"), text(1, "input"), text(2, "output")))
-        .when((F.col("conv_id") % 2 == 0) & F.forall(roles, lambda r: r.isin("user", "assistant", "system")), json(F.transform(t, lambda x: F.struct(given[x["role"]].alias("from"), x["text"].alias("value"))).alias("conversations")))
-        .otherwise(json(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+        F.when(same("user", "assistant"), record(text(0, "prompt"), text(1, "response")))
+        .when(same("system", "user", "assistant"), record(text(0, "instruction"), text(1, "input"), text(2, "output")))
+        .when((F.col("conv_id") % 2 == 0) & F.forall(roles, lambda r: r.isin("user", "assistant", "system")), record(F.transform(t, lambda x: F.struct(given[x["role"]].alias("from"), x["text"].alias("value"))).alias("conversations")))
+        .otherwise(record(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
     )
-    by_turn = (F.col("conv_id") == -7) | (F.col("chars") > MOST_CHARS) | F.col("conv_id").isNull()
-    rows = turns.where(by_turn).select("conv_id", F.explode("t").alias("x")).select(F.to_json(F.struct("conv_id", "x.role", "x.text", "x.turn"), {"ignoreNullFields": "false"}).alias("body"))
-    return turns.where(~by_turn).select(whole.alias("body")).unionByName(rows)
+    rows = single.select(F.to_variant_object(F.struct("conv_id", "role", "text", "turn")).alias("record"))
+    return turns.select(whole.alias("record")).unionByName(rows)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_layouts_meet_in_the_same_turns(spark):
         {"id": 6, "question": "unknown"},
     ]
     df = spark.createDataFrame([(json.dumps(r),) for r in records] + [("not json",), (None,)], "body string")
-    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df).collect())
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df, unknown="skip").collect())
     assert got == [
         (1, 0, "user", "hi"), (1, 1, "assistant", ""), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"),
         (4, 0, "system", "be"), (4, 1, "user", "hi"), (4, 2, "assistant", "yo"), (5, 0, "user", "hi"), (5, 1, "assistant", "yo"),
@@ -46,6 +46,32 @@ def test_layouts_meet_in_the_same_turns(spark):
     assert chat.unknown_layouts(df).agg(F.sum("n")).head()[0] == 3
 
 
+def test_unknown_layouts_end_the_job(spark):
+    for body in ('{"id": 6, "question": "unknown"}', "not json"):
+        with pytest.raises(Exception, match="no mapping takes a record"):
+            chat.canonical_turns(spark.createDataFrame([(body,)], "body string")).collect()
+
+
+def test_optional_fields_and_empty_arrays(spark):
+    records = [
+        {"id": 1, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "assistant", "content": "yo", "name": None}], "source": "s"},
+        {"created": 5, "id": 2, "messages": []},
+        {"id": 3, "model": "m", "conversations": [{"from": "human", "value": "hi", "weight": 1}]},
+        {"id": 4, "prompt": "hi", "response": "yo", "score": 0.5},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "body string")
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo")]
+    assert chat.unknown_layouts(df).count() == 0
+
+
+def test_very_long_turns_are_kept(spark):
+    rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "assistant")], "conv_id long, turn long, role string")
+    long = rows.withColumn("text", F.when(F.expr("conv_id = 1"), F.expr("repeat('ab[<', 5250000)")).otherwise("short"))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(chat.canonical_turns(chat.records_of(long)))).collect()}
+    assert set(got) == {-7, 1, 2} and got[1].n_turns == 2 and got[1].loss_chars == 21_000_000
+
+
 def test_chat_on_edges(spark):
     schema = "conv_id long, turn long, role string, text string, body string"
     empty = spark.createDataFrame([], schema)

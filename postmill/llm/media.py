@@ -9,9 +9,10 @@ time between) with the time of the first, the fingerprint that a matcher joins
 on.  The job is one narrow stage; a recording is worked through in stretches
 of frames, so that memory is bounded by the payload itself.
 
-Defined results: null text counts as empty and gives 64 zero bytes; equal
-texts give equal values; repeated rows are each returned; an empty table gives
-an empty result.
+Defined results: null text counts as empty and gives 64 zero bytes; a null
+doc_id stays null; a very long text is one recording, read whole; equal texts
+give equal values; repeated rows are each returned; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,9 +69,13 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power = np.abs(np.fft.rfft(part, axis=1))
         inner = power[:, 1:-1]
         local = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
-        strongest = np.argpartition(-local, PEAKS - 1, axis=1)[:, :PEAKS]
-        strongest.sort(axis=1)
-        real = np.take_along_axis(local, strongest, 1) > 1e-3
+        strongest, real, row = np.empty((len(part), PEAKS), np.int64), np.empty((len(part), PEAKS), bool), np.arange(len(part))
+        for k in range(PEAKS):
+            strongest[:, k] = local.argmax(1)  # the first of equals
+            real[:, k] = local[row, strongest[:, k]] > 1e-3
+            local[row, strongest[:, k]] = -1
+        order = strongest.argsort(1)
+        strongest, real = np.take_along_axis(strongest, order, 1), np.take_along_axis(real, order, 1)
         at = np.broadcast_to(np.arange(start, start + len(part))[:, None], strongest.shape)
         times.append(at[real])
         bins.append(strongest[real] + 1)

@@ -8,8 +8,9 @@ length form the buckets that a trainer draws whole batches from.  The job is
 one narrow stage: no shuffle, and memory bounded by one text.
 
 Defined results: null text counts as empty and gives the one piece that holds
-the end id; repeated rows give their pieces again under other sequence ids; an
-empty table gives an empty result.
+the end id; a null doc_id stays null; a very long text is cut whole; repeated
+rows give their pieces again under other sequence ids; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations

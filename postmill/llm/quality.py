@@ -200,15 +200,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def scored(docs: DataFrame, model: dict, *carried: str) -> DataFrame:
-    """The carried columns and ``score`` for every row."""
+def scored(docs: DataFrame, model: dict, *carried: str, name: str = "score") -> DataFrame:
+    """The carried columns and the score, under ``name``, for every row."""
     fields = {f.name: f for f in docs.schema.fields}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carried), pa.array(score(matrix(texts_of(block)), model), pa.float64())], [*carried, "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carried), pa.array(score(matrix(texts_of(block)), model), pa.float64())], [*carried, name])
 
-    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in carried), "score double"])
+    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in carried), f"`{name}` double"])
     inputs = list(dict.fromkeys([*carried, "text"]))
     return bounded_batches(docs).select(*inputs).mapInArrow(rows, schema)
 

@@ -21,13 +21,15 @@ BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none, as in local tests, a local folder is made
-    once and noted in the session.
+    Where a local session names none, as in tests, a local folder is made once
+    and noted in the session; on a cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("postmill.shared.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("postmill.shared.dir", named)
     return named.rstrip("/")

@@ -96,6 +96,12 @@ def test_pipeline(spark):
     assert sum(left) / len(left) > 0.95
 
 
+def test_quality_stage_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("s")).withColumn("features", F.lit(1))
+    kept = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
 def test_packing_stage_returns_the_tokens(spark):
     import numpy as np
     import public_tokenizers

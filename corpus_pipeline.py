@@ -19,7 +19,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, *docs.columns).where(F.col("score") >= quality.THRESHOLD).drop("score")
+    return quality.scored(docs, model, *docs.columns, name="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions import fixed
+
 _MONTHS = "january|february|march|april|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _CUE = (
     r"deadline|closing\s+date|closes?\s+(?:on|in)?|application\s+deadline|apply\s+(?:by|before|until)|applications?\s+(?:are\s+)?due|"
@@ -166,7 +168,34 @@ def cache_age_days(fetched_at: Column, now: Column) -> Column:
     return F.coalesce(F.floor(seconds / 86_400).cast("int"), F.lit(-1))
 
 
-def date_by_formats(text: Column) -> Column:
-    """A date in one of the formats that boards print."""
-    formats = ("d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "d.M.yyyy")
-    return F.coalesce(*(F.try_to_date(text, f) for f in formats))
+#: Formats of stated dates: day first, with four or two digits of the year.
+DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")
+
+
+def date_by_formats(text: Column, formats=DAY_FIRST) -> Column:
+    """A date in the first of the formats that fits; two-digit years are 1969
+    to 2068."""
+    one = F.regexp_replace(F.trim(text), r"\s+", " ")
+
+    def read(form: str) -> Column:
+        found = F.try_to_date(one, form)
+        return F.when(F.year(found) > 2068, F.add_months(found, -1200)).otherwise(found) if form.endswith("/yy") or form.endswith("-yy") else found
+
+    return F.coalesce(*map(read, formats))
+
+
+def stated_deadline(text: Column, patterns=fixed.STATED_DEADLINES, formats=DAY_FIRST) -> Column:
+    """The date of the first pattern whose match is a date in one of the
+    formats, null without one."""
+    found = (F.nullif(F.regexp_extract(text, fixed.rule(p), 1), F.lit("")) for p in patterns)
+    return F.coalesce(*(date_by_formats(x, formats) for x in found))
+
+
+def element_deadline(text: Column) -> Column:
+    """The deadline in the text of an element that holds one."""
+    return stated_deadline(text, fixed.BARE_DEADLINES, ("d/M/yyyy", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d"))
+
+
+def listed_deadline(text: Column) -> Column:
+    """The deadline that a listing card prints, as it prints it."""
+    return F.trim(F.regexp_extract(text, fixed.rule(fixed.LISTED_DEADLINE), 1))

@@ -63,14 +63,13 @@ def url_pattern(url: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(segments(url), part), "/"))
 
 
-def normalise(url: Column, base: Column) -> Column:
-    """Absolute http(s) URL: lower-case host, no fragment, no tracking
-    parameters, no trailing slash; empty where it is none."""
+def absolute(url: Column, base: Column) -> Column:
+    """A link's address as seen from the page at ``base``, without fragment."""
     raw = F.substring_index(F.trim(url), "#", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z]+):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
-    absolute = (
+    return (
         F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
         .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
         .when(raw.startswith("/"), F.concat(root, raw))
@@ -78,16 +77,22 @@ def normalise(url: Column, base: Column) -> Column:
         .when(raw == "", F.substring_index(base, "#", 1))
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), raw))
     )
+
+
+def normalise(url: Column, base: Column) -> Column:
+    """Absolute http(s) URL: lower-case host, no fragment, no tracking
+    parameters, no trailing slash; empty where it is none."""
+    whole = absolute(url, base)
     kept = F.filter(
-        F.split(F.regexp_extract(absolute, r"\?(.*)$", 1), "&"),
+        F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"),
         lambda kv: (kv != "") & ~F.lower(F.trim(F.substring_index(kv, "=", 1))).rlike("^(" + "|".join(TRACKING) + ")"),
     )
-    bare = F.rtrim(path(absolute), F.lit("/"))
+    bare = F.rtrim(path(whole), F.lit("/"))
     clean = F.concat(
-        F.lower(F.regexp_extract(absolute, r"^([A-Za-z]+)://", 1)), F.lit("://"), host(absolute), F.when(bare == "", F.lit("/")).otherwise(bare),
+        F.lower(F.regexp_extract(whole, r"^([A-Za-z]+)://", 1)), F.lit("://"), host(whole), F.when(bare == "", F.lit("/")).otherwise(bare),
         F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")),
     )
-    return F.when(url.isNull() | (F.trim(url) == ""), F.lit("")).when(absolute.rlike(r"(?i)^https?://[^/?#]+"), clean).otherwise(F.lit(""))
+    return F.when(url.isNull() | (F.trim(url) == ""), F.lit("")).when(whole.rlike(r"(?i)^https?://[^/?#]+"), clean).otherwise(F.lit(""))
 
 
 def unwrap_redirect(url: Column) -> Column:

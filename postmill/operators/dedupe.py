@@ -55,3 +55,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     leaves the old value."""
     mine = [F.coalesce(F.nullif(F.col(f"n.{c}"), F.lit("")) if t == "string" else F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c, t in old.dtypes if c != key]
     return old.alias("o").join(new.alias("n"), key, "full").select(key, *mine)
+
+
+def merged_interests(old: Column, new: Column) -> Column:
+    """Both interest lists as one sorted set."""
+    return F.array_sort(F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))))
+
+
+def unsubscribe(subscribers: DataFrame, leavers: DataFrame, key: str) -> DataFrame:
+    """``subscribers`` with the flag set for those who leave."""
+    gone = leavers.select(F.col(key).alias("__key"), F.lit(True).alias("__gone")).dropDuplicates(["__key"])
+    met = subscribers.join(gone, F.col(key) == F.col("__key"), "left")
+    return met.withColumn("unsubscribed", F.coalesce("__gone", "unsubscribed")).drop("__key", "__gone")
+
+
+def active() -> Column:
+    return F.col("confirmed") & ~F.col("unsubscribed")

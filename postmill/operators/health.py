@@ -1,4 +1,4 @@
-"""Probe verdicts and source health."""
+"""Probe verdicts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def classify_probe(status: Column, links: Column, needs_browser: Column) -> Column:
-    """Verdict on a source from its probe."""
-    return F.when(status >= 400, F.lit("broken")).when(links < 1, F.lit("empty")).when(needs_browser, F.lit("browser")).otherwise(F.lit("http"))
+def classify_probe(status: Column, n_bytes: Column, links: Column, error: Column) -> Column:
+    """struct(verdict, reason) of a source from its probe; an unresolved name
+    first, then the status, then how much the page offers."""
+
+    def told(verdict: str, *reason) -> Column:
+        words = F.concat(*(r.cast("string") if isinstance(r, Column) else F.lit(r) for r in reason))
+        return F.struct(F.lit(verdict).alias("verdict"), words.alias("reason"))
+
+    size, found = F.coalesce(n_bytes, F.lit(0)), F.coalesce(links, F.lit(0))
+    return (
+        F.when(F.lower(error).contains("resolve"), told("dns_blocked", "Domain does not resolve from this network"))
+        .when(status == 403, told("cloudflare_403", "Site healthy, bot blocked — needs Playwright"))
+        .when(status >= 500, told("server_error", "Upstream returned ", status))
+        .when((status == 200) & (found >= 3), told("crawlable", "200 OK, ", found, " candidate links"))
+        .when((status == 200) & (size > 50_000), told("crawlable_spa", "200 OK with content, but no listing links in raw HTML (SPA)"))
+        .when(status == 200, told("thin", "200 OK but only ", size, " bytes — likely a redirect shell"))
+        .when(F.coalesce(status, F.lit(0)) != 0, told("redirect_or_error", "HTTP ", status))
+        .otherwise(told("failed", F.when(F.coalesce(error, F.lit("")) == "", "no response").otherwise(error)))
+    )

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions import gates, urls
-from postmill.functions.dates import deadline
+from postmill.functions import fixed, gates, titles, urls
+from postmill.functions.dates import deadline, is_rolling
+from postmill.functions.fixed import rule
 
 ANCHOR = r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a\s*>"
 
@@ -53,21 +54,99 @@ def rank_links(links: DataFrame) -> DataFrame:
 
 
 def vacancy_links(pages: DataFrame) -> DataFrame:
-    """Links whose text reads like a vacancy."""
+    """Links whose address and text read like a vacancy, the first of each;
+    ``is_phd`` tells doctoral roles."""
     t = F.col("text")
-    good = (F.length(t) >= 15) & (F.length(t) <= 240) & ~t.rlike("(?i)^(browse|support|view all|see all)") & t.rlike(r"(?i)\b(phd|doctoral|studentship|position|researcher|fellow)")
-    return first_links(anchors(pages).where("url <> ''").where(good))
+    good = (
+        (F.length(t) >= 15) & (F.length(t) <= 240) & ~t.rlike(rule(fixed.BROWSE_TEXT)) & ~t.rlike(rule(fixed.STUDENT_SUPPORT))
+        & F.col("url").rlike(rule(fixed.DETAIL_LINK)) & t.rlike(rule(fixed.ROLE_TITLE))
+    )
+    kept = anchors(pages).where("url <> ''").where(good).withColumn("key", urls.vacancy_key(F.col("url")))
+    first = kept.groupBy("page_id", "key").agg(F.min(F.struct("pos", "url", "text")).alias("f")).select("page_id", "f.*")
+    return first.withColumn("is_phd", F.col("text").rlike(rule(fixed.DOCTORAL_ROLE)))
+
+
+def recovered_links(pages: DataFrame, most: int = 200) -> DataFrame:
+    """Links with a job-like title of 20 characters or more and no noise, the
+    first of each address, at most ``most`` a page."""
+    t = F.col("text")
+    good = (F.length(t) >= 20) & ~t.rlike(rule(fixed.NOISE_TEXT)) & (t.rlike(rule(fixed.DOCTORAL_TEXT)) | t.rlike(rule(fixed.JOB_TEXT)))
+    first = first_links(anchors(pages).where("url <> ''").where(good))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most)
+    return ranked.select("page_id", "n", "url", F.left("text", F.lit(200)).alias("title"))
+
+
+def result_links(pages: DataFrame, base_host: Column) -> DataFrame:
+    """Hits of a search-result page: redirects unwrapped, on the wanted host
+    only, the first of each; ``base_host`` may use the page's columns."""
+    hosted = anchors(pages.select("page_id", "url", "html")).withColumn("url", urls.unwrap_redirect(F.col("url")))
+    wanted = pages.select("page_id", base_host.alias("wanted"))
+    kept = hosted.where(F.col("url").startswith("http")).join(wanted, "page_id").where(urls.in_scope(F.col("url"), F.col("wanted")))
+    return first_links(kept).select("page_id", "pos", "url", F.left("text", F.lit(200)).alias("title"))
 
 
-def harvest(pages: DataFrame, limit: int = 80) -> DataFrame:
-    """Postings of listing pages: relevant links that are no furniture, their
-    deadline, first per key, capped per page in page order."""
-    as_of = F.lit("1998-06-01").cast("date")
+def careers_links(pages: DataFrame, most: int = 5) -> DataFrame:
+    """The first links of a homepage whose text names careers."""
     t = F.col("text")
-    rows = anchors(pages).where("url <> ''").where(gates.is_posting_link(F.col("url"), t) & ~gates.is_chrome(t) & ~gates.is_banner(t))
-    kept = first_links(rows.withColumn("url", urls.canonical(F.col("url"))))
-    ranked = kept.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit)
-    return ranked.select("page_id", "n", "url", F.left("text", F.lit(180)).alias("title"), deadline(t, as_of)["status"].alias("deadline_status"))
+    first = first_links(anchors(pages).where("url <> ''").where(t.rlike(rule(fixed.CAREERS_TEXT)) & ~t.rlike(rule(fixed.NOT_CAREERS_TEXT))))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most).select("page_id", "n", "url", "text")
+
+
+def harvest(pages: DataFrame, as_of: Column, limit: int = 80, around: int = 400) -> DataFrame:
+    """Postings of listing pages: links that look like postings in a relevant
+    card and are no furniture or banner; a title that is furniture comes from
+    the address; the deadline comes from the card; the first of each key, in
+    page order, at most ``limit``.  A link's card is what stands between it and
+    the next link, at most ``around`` characters."""
+    parts = F.split(F.col("html"), r"(?i)<a\b")
+    cards = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.left(plain(F.regexp_replace(F.concat(F.lit("<a"), x), "<[^>]*$", " ")), F.lit(around)))
+    # the n-th piece starts with the n-th <a, of which those with an address are anchors
+    own = pages.select("page_id", "url", F.posexplode(F.arrays_zip(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.lit("<a"), x)).alias("a"), cards.alias("card"))).alias("pos", "c"))
+    href = F.regexp_extract("c.a", r"(?is)^<a\b[^>]*href\s*=\s*[\"']([^\"'#]+)[\"'][^>]*>", 1)
+    found = own.select("page_id", "pos", urls.canonical(urls.normalise(href, F.col("url"))).alias("url"), plain(F.regexp_extract("c.a", r"(?is)^<a\b[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text"), F.col("c.card").alias("card")).where("url <> ''")
+    t = F.col("text")
+    title = F.when(gates.is_chrome(t), titles.title_from_slug(F.col("url"), F.lit(""))).otherwise(t)
+    good = gates.is_posting_link(F.col("url"), t) & gates.relevance(F.concat_ws(" ", "text", "card")) & ~gates.is_banner(t)
+    rows = found.where(good).withColumn("title", title).where("title <> ''")
+    ranked = first_links(rows).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit)
+    d = deadline(F.col("card"), as_of)
+    return ranked.select("page_id", "n", "url", F.left("title", F.lit(180)).alias("title"), F.left("card", F.lit(700)).alias("context"), d["raw"].alias("deadline"), d["value"].alias("deadline_date"), d["status"].alias("deadline_status"))
+
+
+def verified_boards(pages: DataFrame, as_of: Column) -> DataFrame:
+    """page_id, postings, verified of fetched board pages: a board yields
+    postings or lists vacancies."""
+    counts = harvest(pages, as_of).groupBy("page_id").agg(F.count(F.lit(1)).alias("postings"))
+    n = F.coalesce("postings", F.lit(0).cast("long"))
+    return pages.join(counts, "page_id", "left").select("page_id", n.alias("postings"), ((n > 0) | gates.lists_positions(F.col("html"))).alias("verified"))
+
+
+def enrich(postings: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
+    """Postings with what their detail page adds: description, deadline (the
+    page's where it states one), funding flag, country, organisation and
+    heading.  ``postings``: url, title, context, country and any others;
+    ``pages``: url, html, one row for each url."""
+    detail = pages.select(F.col("url").alias("page_url"), "html")
+    rows = postings.join(detail, postings["url"] == detail["page_url"], "left")
+    text = rows.withColumn("enriched", F.col("page_url").isNotNull()).withColumn("description_full", description(F.coalesce("html", F.lit(""))))
+    blob = text.withColumn("blob", F.concat_ws(" ", "title", "context", "description_full"))
+    found = F.when(F.col("enriched"), deadline(F.col("blob"), as_of))
+    dated = blob.withColumn("page_deadline", F.explode(F.array(found)))
+    status = F.when(is_rolling(F.col("blob")), F.lit("rolling")).otherwise(F.col("page_deadline.status"))
+    return dated.select(
+        *postings.drop("country").columns, "enriched", "description_full", F.col("page_deadline.raw").alias("page_deadline_raw"), F.col("page_deadline.value").alias("page_deadline_date"),
+        F.when(F.col("page_deadline.raw") != "", status).otherwise("unknown").alias("page_deadline_status"), F.when(F.col("enriched"), titles.has_funding(F.col("blob"))).otherwise(False).alias("has_funding_evidence"),
+        F.coalesce(F.nullif(F.when(F.col("enriched"), titles.infer_country(F.col("url"), F.col("blob"))), F.lit("")), "country").alias("country"),
+        F.left(F.regexp_extract("html", r"(?is)<meta\b[^>]*(?:og:site_name|application-name)[^>]*content\s*=\s*[\"']([^\"']*)", 1), F.lit(90)).alias("org_hint"), heading(F.col("html")).alias("page_heading"),
+    )
+
+
+def enrichment_counts(enriched: DataFrame) -> DataFrame:
+    """How many rows were enriched, have a country, a deadline, funding."""
+    return enriched.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("enriched").alias("enriched"), F.count_if(F.coalesce("country", F.lit("")) != "").alias("with_country"),
+        F.count_if(F.coalesce("page_deadline_raw", F.lit("")) != "").alias("with_deadline"), F.count_if("has_funding_evidence").alias("with_funding"),
+    )
 
 
 def description(html: Column, least: int = 200, most: int = 4000, keep: int = 2500) -> Column:
@@ -75,8 +154,7 @@ def description(html: Column, least: int = 200, most: int = 4000, keep: int = 25
     that is no boilerplate; the first among equals."""
     body = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|noscript)\b.*?</\1\s*>", " ")
     blocks = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<(?:p|div|section)\b[^>]*>((?:(?!<(?:p|div|section)\b|</(?:p|div|section)).)*)"), F.lit(1)), plain)
-    junk = r"(?i)(cookie|privacy|terms of use|all rights reserved|subscribe|newsletter|follow us|©)"
-    good = F.filter(blocks, lambda b: (F.length(b) > least) & (F.length(b) < most) & ~b.rlike(junk))
+    good = F.filter(blocks, lambda b: (F.length(b) > least) & (F.length(b) < most) & ~b.rlike(rule(fixed.BOILERPLATE)))
     best = F.aggregate(good, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     return F.left(best, F.lit(keep))
 
@@ -86,29 +164,45 @@ def heading(html: Column) -> Column:
 
 
 def next_page(links: DataFrame) -> DataFrame:
-    """Per page the first link to the following page: a pager word or a higher
-    page number, on the same path, never the page itself."""
-    u, own = F.col("url"), F.col("page_url")
-    word = F.lower(F.trim("text")).rlike(r"^(next|next page|weiter|suivant|siguiente|›|»|>)$")
-    further = F.coalesce(urls.page_number(u), F.lit(0)) == F.coalesce(urls.page_number(own), F.lit(1)) + 1
-    same = urls.unpaged(u) == urls.unpaged(own)
-    good = links.where((u != "") & (u != own) & same & (word | further))
-    return good.groupBy("page_id").agg(F.min_by("url", "pos").alias("next_url"))
-
-
-def by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fields of pages by per-host extraction rules: ``rules`` has host, field
-    and pattern (first group is the value) and is a small dimension."""
+    """Per page the first link to a following page: a pager word or a page
+    number in the address; never a template, the page itself, a page before it
+    or, from a numbered page, another listing."""
+    own, href = F.col("page_url"), F.col("href")
+    u = urls.absolute(href, own)
+    pager = F.trim("text").rlike(rule(fixed.PAGER_WORDS)) | href.rlike(r"[?&](page|p|offset|start)=\d+") | href.rlike(r"/page/\d+")
+    template = href.rlike(r"[?&](page|p|offset|start)=\s*(#|$)") | href.rlike(r"/page/\s*(#|$)")
+    here, there = urls.page_number(own), urls.page_number(u)
+    backward = F.coalesce(there <= here, F.lit(False))
+    elsewhere = here.isNotNull() & (F.rtrim(urls.unpaged(u), F.lit("/")) != F.rtrim(urls.unpaged(own), F.lit("/")))
+    good = links.withColumn("next", u).where(u.startswith("http") & (u != own) & pager & ~template & ~backward & ~elsewhere)
+    return good.groupBy("page_id").agg(F.min_by("next", "pos").alias("next_url"))
+
+
+def by_rules(pages: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields of pages by per-host extraction rules, a column for each of
+    ``fields``; ``rules`` has host, field and pattern (the first group is the
+    value)."""
     hosted = pages.withColumn("host", urls.host(F.col("url")))
-    found = hosted.join(F.broadcast(rules), "host").select("page_id", "field", F.nullif(plain(F.expr("regexp_extract(html, pattern, 1)")), F.lit("")).alias("value"))
-    return found.groupBy("page_id").pivot("field", ["title", "first_link"]).agg(F.first("value"))
-
-
-def line_record(text: Column, marker: str) -> Column:
-    """Fields of a card given as lines: the lines after the marker line."""
-    lines = F.split(text, "\n")
-    at = F.array_position(lines, marker).cast("int")
-    return F.struct(F.get(lines, at).alias("org"), F.get(lines, at + 1).alias("title"), F.get(lines, at + 2).alias("department"))
+    found = hosted.join(rules, "host").select("page_id", "field", F.nullif(plain(F.expr("regexp_extract(html, pattern, 1)")), F.lit("")).alias("value"))
+    return found.groupBy("page_id").pivot("field", fields).agg(F.first("value"))
+
+
+def line_record(text: Column) -> Column:
+    """Fields of a card given as lines, around the line that says when it was
+    posted: org, posted, title, department, field, country, city, description;
+    null without such a line."""
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    at = F.array_position(F.transform(lines, lambda x: x.contains("Posted on:")), True).cast("int")
+    line = F.get(lines, at - 1)
+    after = lambda label: F.coalesce(F.trim(F.replace(F.try_element_at(F.filter(lines, lambda x: x.startswith(label)), F.lit(-1)), F.lit(label), F.lit(""))), F.lit(""))
+    place = r"Number of offers:\s*\d+,\s*([^,]+),\s*([^,\n]+)"
+    record = F.struct(
+        F.trim(F.regexp_replace(line, "Posted on:.*$", "")).alias("org"), F.trim(F.regexp_extract(line, r"Posted on:\s*(.+)", 1)).alias("posted"),
+        F.coalesce(F.get(lines, at), F.lit("")).alias("title"), after("Department:").alias("department"), after("Research Field:").alias("field"),
+        F.trim(F.regexp_extract(text, place, 1)).alias("country"), F.trim(F.regexp_extract(text, place, 2)).alias("city"),
+        F.left(F.array_join(F.slice(lines, at + 2, 3), " "), F.lit(400)).alias("description"),
+    )
+    return F.when(at > 0, record)
 
 
 def requirements(html: Column, most: int = 20) -> Column:

@@ -5,20 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.titles import is_university_email
+from postmill.functions import gates
+from postmill.functions.dates import stated_deadline
+from postmill.functions.gates import any_of
+from postmill.functions.titles import funding_snippet, is_university_email, university_country
 from postmill.operators.ranking import top_per
 
 # Trust in an address by where it was found, best first.
 EMAIL_SOURCES = (("profile", 1.0), ("lab", 0.95), ("department", 0.95), ("orcid", 0.8), ("scholar", 0.75))
 
 
-def topic_fit(topic: str, works: Column, keywords: Column, has_orcid: Column, institution: Column) -> Column:
-    """Fit of a person found by topic: 40 + 20 + 15 + 15 + 10 points."""
-    named = F.exists(keywords, lambda k: F.lower(k).contains(topic))
-    return (
-        F.when(named, 40).otherwise(0) + F.when(works >= 50, 20).when(works >= 10, 10).otherwise(0) + F.when(F.size(keywords) >= 3, 15).otherwise(0)
-        + F.when(has_orcid, 15).otherwise(0) + F.when(F.coalesce(institution, F.lit("")) != "", 10).otherwise(0)
-    )
+def topic_fit(topic: Column, paper_titles: Column, concepts: tuple, methods: tuple, has_orcid: Column, citations: Column) -> Column:
+    """Fit of a person found by topic: 40, and 20 for a wanted concept or 15
+    for a method in topic and paper titles, 15 for an ORCID, 10 for more than
+    1,000 citations."""
+    blob = F.lower(F.concat_ws(" ", topic, paper_titles))
+    lower = lambda words: tuple(w.lower() for w in words)
+    rules = ((any_of(blob, lower(concepts)), 20), (any_of(blob, lower(methods)), 15), (has_orcid, 15), (citations > 1000, 10))
+    return F.least(sum((F.when(c, n).otherwise(0) for c, n in rules), F.lit(40)), F.lit(100))
+
+
+def by_name(people: DataFrame, name: str, least: int = 30) -> DataFrame:
+    """People whose name holds the words, with more than ``least`` works, and
+    their first institution; ``people``: person, name, works, citations,
+    institutions (array of struct name, country)."""
+    first = F.get("institutions", F.lit(0))
+    good = F.lower("name").contains(name.lower()) & (F.col("works") > least)
+    return people.where(good).select("person", "name", "works", "citations", first["name"].alias("institution"), first["country"].alias("country"))
+
+
+def positions_from_hits(hits: DataFrame) -> DataFrame:
+    """Search hits as raw positions: hosts that never carry one are skipped,
+    deadline and funding come from snippet and title; ``hits``: url, title,
+    snippet, university and any others."""
+    text = F.concat_ws(" ", F.coalesce("snippet", F.lit("")), F.coalesce("title", F.lit("")))
+    kept = hits.where((F.coalesce("url", F.lit("")) != "") & ~gates.is_skipped(F.col("url")))
+    return kept.withColumns({
+        "source_name": F.lit("ddgs"), "source_url": F.col("url"), "application_url": F.col("url"), "title": F.left("title", F.lit(500)), "description": F.left("snippet", F.lit(1000)),
+        "country": university_country(F.col("university")), "application_deadline": stated_deadline(text), "funding_info": funding_snippet(text),
+    }).drop("url", "snippet")
+
+
+def grants(funded: DataFrame, most: int = 10) -> DataFrame:
+    """Distinct grants (funder, award) of each author in order of appearance,
+    the first ``most``; ``funded``: person, seq, funder, award, title."""
+    key = ["person", "funder", "award"]
+    first = funded.groupBy(*key).agg(F.min(F.struct("seq", "title")).alias("f")).select(*key, "f.*")
+    return top_per(first, "person", [F.col("seq"), F.col("funder"), F.col("award")], most)
 
 
 def discover(people_by_topic: DataFrame, least: int) -> DataFrame:
@@ -58,3 +91,14 @@ def best_page(pages: DataFrame) -> DataFrame:
     best = pages.groupBy("university").agg(F.max_by(F.struct("page_id", "vacancies"), F.struct(F.col("vacancies"), -F.col("page_id"))).alias("b"), F.sum("vacancies").alias("total"))
     n = F.col("b.vacancies")
     return best.select("university", F.col("b.page_id").alias("page_id"), n.alias("vacancies"), F.when(n >= 3, "JOB_LIST").when(n > 0, "LANDING").otherwise("NONE").alias("status"), "total")
+
+
+def board_report(boards: DataFrame, by: str) -> DataFrame:
+    """How many boards of each group were crawled, gave data, were silent or
+    skipped, and the postings found; ``boards``: status (skipped or not), found
+    and the grouping column."""
+    skipped, found = F.col("status") == "skipped", F.coalesce("found", F.lit(0))
+    return boards.groupBy(by).agg(
+        F.count(F.lit(1)).alias("boards"), F.count_if(~skipped).alias("crawled"), F.count_if(~skipped & (found > 0)).alias("with_data"), F.count_if(~skipped & (found == 0)).alias("silent"), F.count_if(skipped).alias("skipped"),
+        F.sum(F.when(skipped, 0).otherwise(found)).alias("postings"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,16 @@ def build_queries(people: DataFrame, key: str, templates: tuple, fields: tuple,
 def top_per(rows: DataFrame, parent: str, order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each parent in the given order."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(*order))).where(F.col("rank") <= most)
+
+
+def excludes(text: Column, exclusions: Column) -> Column:
+    """Does a profile's exclusion occur in the text?"""
+    low = F.lower(text)
+    return F.exists(exclusions, lambda e: low.contains(F.lower(e)))
+
+
+def funded_by_country(rows: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``funded_words``: does the text hold a funding word of the
+    row's country?  ``keywords``: country, funding_keywords, a row for each."""
+    met = rows.join(keywords.withColumnRenamed("country", "__country"), F.col("country") == F.col("__country"), "left")
+    return met.withColumn("funded_words", F.coalesce(F.exists("funding_keywords", lambda w: F.col(text).contains(w)), F.lit(False))).drop("__country", "funding_keywords")

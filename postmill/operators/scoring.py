@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from postmill.functions import fixed
 from postmill.functions.gates import any_of
+from postmill.functions.titles import normal_text
 
-# Weights of the ten scores (they add to 1) and tier bounds.
-WEIGHTS = {
-    "research_fit": 0.25, "method_fit": 0.15, "supervisor_fit": 0.15, "lab_fit": 0.10, "eligibility": 0.10, "funding": 0.10,
-    "career_alignment": 0.05, "freshness": 0.03, "opportunity_strength": 0.05, "institutional_fit": 0.02,
-}
+WEIGHTS = fixed.RANKING_WEIGHTS
+# Universities of the institutional fit.
 TOP_UNIVERSITIES = (
     "toronto", "ubc", "mcgill", "waterloo", "alberta", "amsterdam", "delft", "leiden", "utrecht", "groningen", "munich", "heidelberg", "berlin",
     "bonn", "freiburg", "helsinki", "aalto", "turku", "tampere", "auckland", "otago", "victoria", "canterbury",
@@ -88,24 +89,25 @@ def tier(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, F.lit("HIGH")).when(score >= medium, F.lit("MEDIUM")).otherwise(F.lit("LOW"))
 
 
-def crawler_fit(text: Column) -> Column:
-    """Fit that a crawler gives before the gates: 40, 25, 20 and 15 points."""
-    low = F.lower(text)
-    return (
-        F.when(any_of(low, ("biomechanic", "gait", "motor control")), 40).otherwise(0) + F.when(any_of(low, ("machine learning", "deep learning")), 25).otherwise(0)
-        + F.when(any_of(low, ("motion capture", "wearable", "sensor")), 20).otherwise(0) + F.when(any_of(low, ("phd", "doctoral")), 15).otherwise(0)
-    )
+def crawler_fit(title: Column, context: Column) -> Column:
+    """Fit that a crawler gives before the gates: 40, and 25 for a topic word
+    in the title, 20 for learning and 15 for sensors in the context."""
+    low, around = F.lower(title), F.lower(context)
+    some = lambda text, words, worth: F.when(any_of(text, words), worth).otherwise(0)
+    return F.least(F.lit(40) + some(low, fixed.CRAWLER_TOPICS, 25) + some(around, fixed.CRAWLER_LEARNING, 20) + some(around, fixed.CRAWLER_SENSORS, 15), F.lit(100))
 
 
-def record_confidence(has_deadline: Column, has_country: Column, description_length: Column, official: Column) -> Column:
+def record_confidence(source: Column, enriched: Column, has_deadline: Column, funded: Column) -> Column:
     """Confidence in a published record, 0.50 to 0.98."""
-    total = F.lit(0.5) + F.when(has_deadline, 0.15).otherwise(0.0) + F.when(has_country, 0.1).otherwise(0.0) + F.when(description_length > 180, 0.15).otherwise(0.0) + F.when(official, 0.1).otherwise(0.0)
-    return F.round(F.least(total, F.lit(0.98)), 2)
+    hundredths = F.lit(50) + sum(
+        (F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for c, n in ((source.isin(*fixed.OFFICIAL_SOURCES), 20), (enriched, 20), (has_deadline, 5), (funded, 5))), F.lit(0)
+    )
+    return F.least(hundredths, F.lit(98)) / 100.0
 
 
 def token_sets(a: Column, b: Column) -> Column:
     """Sorted distinct word sets: struct(common, only_a, only_b)."""
-    left, right = (F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")) for x in (a, b))
+    left, right = (F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != "")) for x in (a, b))
     return F.struct(
         F.array_join(F.array_sort(F.array_intersect(left, right)), " ").alias("common"),
         F.array_join(F.array_sort(F.array_except(left, right)), " ").alias("only_a"),
@@ -113,25 +115,91 @@ def token_sets(a: Column, b: Column) -> Column:
     )
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two names by their word sets, 0 to 100: the best edit
-    ratio among the common words and the common words with each remainder."""
+def shared_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by rows of bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        met = row & at.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(a) - row.bit_count()
+
 
-    def ratio(x: Column, y: Column) -> Column:
-        total = F.length(x) + F.length(y)
-        return F.when(total == 0, 0.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))))
+@F.pandas_udf(IntegerType())
+def _shared_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([shared_length(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two names by their word sets, 0 to 100: 100 where one set
+    holds the other, else the best insert-and-delete ratio among the common
+    words and the common words with each remainder.  Its only step in Python,
+    the common subsequence of the remainders, runs in Arrow batches."""
     t = token_sets(a, b)
-    whole_a, whole_b = F.trim(F.concat_ws(" ", t["common"], t["only_a"])), F.trim(F.concat_ws(" ", t["common"], t["only_b"]))
-    subset = (t["common"] != "") & ((t["only_a"] == "") | (t["only_b"] == ""))
-    best = F.greatest(ratio(t["common"], whole_a), ratio(t["common"], whole_b), ratio(whole_a, whole_b))
-    return F.round(F.when(subset, F.lit(100.0)).otherwise(best), 4)
+    common, left, right = F.length(t["common"]), F.length(t["only_a"]), F.length(t["only_b"])
+    edits = left + right - 2 * _shared_lengths(t["only_a"], t["only_b"])
+    gap = F.when(common > 0, 1).otherwise(0)
+    whole_a, whole_b = common + gap + left, common + gap + right
+    ratio = lambda n, total: 100.0 * (1 - n / F.greatest(total, F.lit(1)))
+    best = F.greatest(ratio(edits, whole_a + whole_b), *(F.when(common > 0, ratio(gap + n, 2 * common + gap + n)).otherwise(0.0) for n in (left, right)))
+    nothing = (common + left == 0) | (common + right == 0)
+    subset = (common > 0) & ((left == 0) | (right == 0))
+    return F.round(F.when(nothing, 0.0).when(subset, 100.0).otherwise(best), 4)
 
 
 def best_concept_match(people: DataFrame, concepts: tuple, least: float = 75.0) -> DataFrame:
     """Per person and wanted concept the best matching keyword at ``least``
-    similarity; ``people``: pi_id, keywords.  The wanted concepts are a short
-    literal list, so each keyword is compared within its row."""
-    pairs = people.select("pi_id", F.explode("keywords").alias("keyword"), F.array(*map(F.lit, concepts)).alias("wanted"))
-    scored = pairs.select("pi_id", "keyword", F.explode("wanted").alias("concept")).withColumn("similarity", token_set_ratio(F.col("concept"), F.col("keyword")))
-    return scored.where(F.col("similarity") >= least).groupBy("pi_id", "concept").agg(F.max("similarity").alias("similarity"), F.max_by("keyword", F.struct("similarity", "keyword")).alias("keyword"))
+    similarity, the first of equals; ``people``: pi_id, keywords.  The wanted
+    concepts are a short literal list, so each keyword is compared within its row."""
+    wanted = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("concept")) for i, c in enumerate(concepts)))
+    pairs = people.select("pi_id", F.posexplode("keywords").alias("at", "keyword")).select("pi_id", "at", "keyword", F.explode(wanted).alias("w")).select("pi_id", "at", "keyword", "w.*")
+    scored = pairs.withColumn("similarity", token_set_ratio(normal_text(F.col("concept")), normal_text(F.col("keyword"))))
+    good = scored.where(F.col("similarity") >= least).groupBy("pi_id", "pos", "concept")
+    return good.agg(F.max("similarity").alias("similarity"), F.max_by("keyword", F.struct(F.col("similarity"), -F.col("at"))).alias("keyword")).drop("pos")
+
+
+def keyword_score(text: Column, keywords: tuple, weight: float) -> Column:
+    """Twice the occurrences of each keyword, at most ``weight`` for one and
+    for all."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def one(word: str) -> Column:
+        count = (F.length(low) - F.length(F.replace(low, F.lit(word.lower()), F.lit("")))) / max(len(word), 1)
+        return F.least(count * 2.0, F.lit(float(weight)))
+
+    return F.least(reduce(lambda a, b: a + b, map(one, keywords), F.lit(0.0)), F.lit(float(weight)))
+
+
+def research_fit(people: DataFrame, profile: dict) -> DataFrame:
+    """Five-part fit of people to a profile: topics (50, by similarity),
+    methods (25), data modalities (15), populations (10) and technical methods
+    (10), by occurrences in the person's text.  ``people``: pi_id, keywords,
+    text; ``profile``: core_topics, adjacent_topics, methods, technical_methods,
+    data_modalities, populations."""
+    topics = tuple(t.lower() for t in (*profile["core_topics"], *profile["adjacent_topics"]))
+    matched = best_concept_match(people.select("pi_id", F.transform("keywords", F.lower).alias("keywords")), topics)
+    by_topic = matched.groupBy("pi_id").agg(F.least(F.sum(F.col("similarity") / 2), F.lit(50.0)).alias("topics"))
+    parts = {
+        "methods": ((*profile["methods"], *profile["technical_methods"]), 25.0), "data_modalities": (profile["data_modalities"], 15.0),
+        "populations": (profile["populations"], 10.0), "technical_methods": (profile["technical_methods"], 10.0),
+    }
+    scored = people.select("pi_id", *(keyword_score(F.col("text"), tuple(words), most).alias(name) for name, (words, most) in parts.items())).join(by_topic, "pi_id", "left")
+    rows = scored.withColumn("topics", F.coalesce("topics", F.lit(0.0)))
+    total = F.round(rows["topics"] + sum((F.col(n) for n in parts), F.lit(0.0)), 2)
+    band = lambda x: F.when(x >= 90, "EXCEPTIONAL").when(x >= 80, "STRONG").when(x >= 70, "GOOD").otherwise("REJECT")
+    out = rows.withColumn("overall", total)
+    return out.select("pi_id", *(F.round(c, 2).alias(c) for c in ("topics", *parts)), "overall", band(F.col("overall")).alias("band"))
+
+
+def fitting_people(fits: DataFrame, least: float = 70.0) -> DataFrame:
+    """People of at least the minimum fit, best first."""
+    return fits.where(F.col("overall") >= least).orderBy(F.desc("overall"), "pi_id")
+
+
+def band_counts(fits: DataFrame) -> DataFrame:
+    """How many people each band has."""
+    count = lambda name: F.count_if(F.col("band") == name).alias(name.lower())
+    return fits.agg(F.count(F.lit(1)).alias("total"), *map(count, ("EXCEPTIONAL", "STRONG", "GOOD", "REJECT")))

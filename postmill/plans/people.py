@@ -31,23 +31,6 @@ def touching(spark, d):
     return ops.touching_concepts(_people(spark, d), ("gait", "motor", "neural coding of x"))
 
 
-@query("s18_s24_topic_discovery", _PEOPLE + """
-, n AS (SELECT person, count(*) AS words FROM kw GROUP BY person), t(pos, topic) AS (VALUES (0, 'polymer'), (1, 'gait')),
-f AS (SELECT n.person, pos, topic, CASE WHEN EXISTS (SELECT 1 FROM kw WHERE kw.person = n.person AND contains(word, topic)) THEN 40 ELSE 0 END
-        + CASE WHEN n.person % 60 >= 50 THEN 20 WHEN n.person % 60 >= 10 THEN 10 ELSE 0 END + CASE WHEN words >= 3 THEN 15 ELSE 0 END + CASE WHEN n.person % 2 = 0 THEN 15 ELSE 0 END + 10 AS fit FROM n, t),
-m AS (SELECT person, arg_min(topic, pos) AS topic, arg_min(fit, pos) AS fit FROM f GROUP BY person)
-SELECT person, topic, CAST(fit AS INT) AS fit, CASE WHEN person % 2 = 0 THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS level FROM m WHERE fit >= 50
-""", postings=False)
-def topic_discovery(spark, d):
-    p = _people(spark, d)
-    both = None
-    for pos, topic in enumerate(("polymer", "gait")):
-        fit = ops.topic_fit(topic, C("person") % 60, C("keywords"), C("person") % 2 == 0, C("s_name"))
-        one = p.select("person", F.lit(topic).alias("topic"), F.lit(pos).alias("topic_pos"), fit.alias("fit"), (C("person") % 2 == 0).alias("has_orcid"))
-        both = one if both is None else both.unionByName(one)
-    return ops.discover(both, 50)
-
-
 @query("s20_s21_email_chain", """
 WITH e AS (SELECT s_suppkey AS person, pos, 'p' || CAST(s_suppkey AS VARCHAR) || CASE WHEN (s_suppkey + pos) % 3 = 0 THEN '@nation.org' ELSE '@mail.com' END AS email FROM supplier, (VALUES (0), (1), (3)) v(pos) WHERE s_suppkey % 4 <> 3 OR pos > 0),
 g AS (SELECT person, min(pos) AS pos, arg_min(email, pos) AS email FROM e WHERE contains(email, '@nation') GROUP BY person)
@@ -61,17 +44,6 @@ def email_chain(spark, d):
     return ops.verify_email(s.select("person", F.lit("University of nation").alias("university"), "source_pos", email.alias("email")))
 
 
-@query("w17_g13_recent_works", """
-WITH a AS (SELECT DISTINCT l_suppkey AS person, l_orderkey AS work, CAST(o_orderdate AS DATE) AS published FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY published DESC, work) AS rank FROM a)
-SELECT person, string_agg(CAST(work AS VARCHAR), ',' ORDER BY rank) AS works FROM r WHERE rank <= 10 GROUP BY person
-""", postings=False)
-def recent_works(spark, d):
-    a = table(spark, d, "lineitem").select(C("l_suppkey").alias("person"), C("l_orderkey").alias("work")).distinct()
-    dated = a.join(table(spark, d, "orders").select(C("o_orderkey").alias("work"), C("o_orderdate").cast("date").alias("published")), "work")
-    return ops.recent_works(dated).select("person", F.array_join("works", ",").alias("works"))
-
-
 @query("g12_j10_institutions", """
 SELECT s_nationkey AS institution, CAST(l_partkey % 5 AS INT) AS concept, count(DISTINCT s_suppkey) AS authors FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 3 = 0 GROUP BY 1, 2
 """, postings=False)
@@ -98,11 +70,6 @@ def funded_works(spark, d):
     return rows.select("work", "person", title.alias("title")).where(hiring_intent(C("title")))
 
 
-@query("s30_people_by_name", "SELECT s_suppkey AS person, s_name FROM supplier WHERE contains(lower(s_name), '00') AND s_acctbal > 100", postings=False)
-def people_by_name(spark, d):
-    return table(spark, d, "supplier").where(F.lower("s_name").contains("00") & (C("s_acctbal") > 100)).select(C("s_suppkey").alias("person"), "s_name")
-
-
 @query("a05_a08_boards_by_size", """
 WITH h AS (SELECT 'https://x.org/' || CAST(page_id % 7 AS VARCHAR) AS board_url, 'U' || CAST(page_id AS VARCHAR) AS university, page_id AS seq, page_id * 13 % 101 AS papers FROM pages)
 SELECT board_url, arg_min(university, seq) AS university, string_agg(university, ',' ORDER BY university) AS shared, max(papers) AS papers FROM h GROUP BY board_url
@@ -122,20 +89,6 @@ def interleaved(spark, d):
     return scans.interleaved(c, 3, 40).select("seq", "rn")
 
 
-@query("f16_w14_targets", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0) ORDER BY s_acctbal DESC, s_suppkey LIMIT 20", postings=False)
-def target_selection(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return s.join(s.where("s_suppkey % 3 = 0").select("s_suppkey"), "s_suppkey", "left_anti").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey")
-
-
-@query("h24_f23_g18_best_page", """
-WITH v AS (SELECT page_id, page_id % 9 AS university, page_id * 7 % 5 AS n FROM pages), b AS (SELECT university, arg_max(page_id, struct_pack(a := n, b := -page_id)) AS page_id, max(n) AS vacancies, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY university)
-SELECT university, page_id, vacancies, CASE WHEN vacancies >= 3 THEN 'JOB_LIST' WHEN vacancies > 0 THEN 'LANDING' ELSE 'NONE' END AS status, total FROM b
-""", postings=False)
-def best_page(spark, d):
-    return ops.best_page(table(spark, d, "pages").select("page_id", (C("page_id") % 9).alias("university"), (C("page_id") * 7 % 5).alias("vacancies")))
-
-
 @query("g15_g22_run_counters", _GATED + """
 SELECT source, count(*) AS total, count(*) FILTER (reason = 'ok') AS kept, count(*) FILTER (reason = 'ok' AND fit >= 75) AS high, count(*) FILTER (reason = 'ok' AND fit >= 55 AND fit < 75) AS medium, count(*) FILTER (reason <> 'ok') AS failed FROM g GROUP BY source
 """)
@@ -153,23 +106,3 @@ def site_payload(spark, d):
     rows = postings(spark, d).withColumn("origin", F.when(C("seq") % 2 == 0, "browser_crawler").otherwise("crawl"))
     e = C("evidence")[0]
     return sinks.site_payload(rows).select("seq", "country", "description", e["claim"].alias("claim"), e["confidence"].alias("confidence"), e["source_type"].alias("source_type"))
-
-
-@query("g20_g21_g28_board_rollup", """
-WITH b AS (SELECT c_nationkey AS board, count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS found FROM customer GROUP BY 1)
-SELECT CAST(board % 4 AS INT) AS status, count(*) AS boards, count(*) FILTER (found > 0) AS with_data, CAST(sum(found) AS BIGINT) AS postings FROM b GROUP BY 1
-""", postings=False)
-def board_rollup(spark, d):
-    b = table(spark, d, "customer").groupBy(C("c_nationkey").alias("board")).agg(F.count_if(C("c_acctbal") > 5000).alias("found"))
-    return b.groupBy((C("board") % 4).alias("status")).agg(row_count().alias("boards"), F.count_if(C("found") > 0).alias("with_data"), F.sum("found").alias("postings"))
-
-
-@query("f05_f10_f13_search_hits", """
-SELECT seq, title, contains(lower(title), 'phd') OR contains(lower(title), 'doctoral') AS is_position FROM p WHERE NOT contains(url, 'linkedin.com') AND NOT regexp_matches(title, 'Lecturer|Postdoctoral')
-""")
-def search_hits(spark, d):
-    from postmill.functions import gates
-
-    low = F.lower("title")
-    rows = postings(spark, d).where(~gates.is_social(C("url")) & ~gates.any_of(low, ("lecturer", "postdoctoral")))
-    return rows.select("seq", "title", gates.any_of(low, ("phd", "doctoral")).alias("is_position"))

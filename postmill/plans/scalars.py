@@ -68,83 +68,6 @@ def title_scalars(spark, d):
     )
 
 
-@query("b13_title_from_context", r"""
-SELECT seq, CASE WHEN regexp_matches(title, 'Doctoral|PhD') THEN title ELSE 'Springfield University' END AS recovered FROM p
-""")
-def recovered_title(spark, d):
-    heading = F.when(C("title").rlike("Doctoral|PhD"), C("title")).otherwise(F.lit("Springfield University"))
-    return postings(spark, d).select("seq", titles.title_from_context(heading, F.lit("short, teaser")).alias("recovered"))
-
-
-@query("b15_b18_organisation_country", r"""
-SELECT seq, CASE WHEN seq % 2 = 0 THEN university ELSE trim(regexp_extract(context, '([A-Z][\w'' -]{2,30} University|University of [A-Z][\w'' -]+)', 1)) END AS org,
-       CASE seq % 3 WHEN 0 THEN 'Germany' WHEN 1 THEN 'Denmark' ELSE '' END AS country_name
-FROM p
-""")
-def organisation(spark, d):
-    known = F.when(C("seq") % 2 == 0, C("university"))
-    site = F.when(C("seq") % 3 == 0, F.lit("https://www.tu.de/x")).otherwise(F.lit("https://x.org/y"))
-    blob = F.when(C("seq") % 3 == 1, F.lit("At Aalborg and Oslo")).otherwise(F.lit("elsewhere"))
-    return postings(spark, d).select("seq", titles.guess_org(C("context"), C("source_label"), known).alias("org"), titles.infer_country(site, blob).alias("country_name"))
-
-
-@query("b19_b22_places", r"""
-SELECT s_suppkey, CASE WHEN n_name = 'CANADA' THEN 'CA' WHEN n_name = 'GERMANY' THEN 'DE' WHEN n_name = 'FRANCE' THEN 'FR' WHEN n_name = 'CHINA' THEN 'CN'
-         WHEN n_name = 'JAPAN' THEN 'JP' WHEN n_name = 'BRAZIL' THEN 'BR' WHEN n_name = 'INDIA' THEN 'IN' WHEN n_name = 'UNITED KINGDOM' THEN 'GB' ELSE 'XX' END AS code,
-       s_name AS city, left(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_'), 40) AS slug,
-       'university' || regexp_extract(lower(n_name), '[a-z]{4,}') || '.edu' AS domain
-FROM supplier JOIN nation ON s_nationkey = n_nationkey
-""", postings=False)
-def places(spark, d):
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), C("s_nationkey") == C("n_nationkey"))
-    location = F.concat_ws(", ", "s_name", "n_name")
-    return s.select(
-        "s_suppkey", titles.country_code(C("n_name")).alias("code"), titles.city(location).alias("city"), titles.slug(C("s_name")).alias("slug"),
-        titles.likely_domain(F.concat(F.lit("University of "), C("n_name"))).alias("domain"),
-    )
-
-
-@query("b23_b26_emails", r"""
-WITH e AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS found,
-                  regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS f FROM documents)
-SELECT doc_id, CAST(len(found) AS INT) AS n_emails, CAST(len(list_filter(found, lambda x: contains(lower(x), '@mail1'))) AS INT) AS n_first_host,
-       nullif(f, '') AS first_email, coalesce(nullif(f, '') IS NOT NULL AND contains(split_part(f, '@', 2), 'mail'), false) AS named_host FROM e
-""", postings=False)
-def email_scalars(spark, d):
-    t = C("text")
-    return table(spark, d, "documents").select(
-        "doc_id", F.size(titles.emails(t)).alias("n_emails"), F.size(titles.academic_emails(t, ("mail1",))).alias("n_first_host"),
-        titles.first_email(t, ("no-such-mark",)).alias("first_email"),
-        F.coalesce(titles.is_university_email(titles.first_email(t, ("no-such-mark",)), F.lit("The mail University")), F.lit(False)).alias("named_host"),
-    )
-
-
-@query("b27_b30_funding", r"""
-SELECT seq, CASE WHEN contains(context, 'Fully funded') THEN left(regexp_extract(context, 'Fully funded[^.]{0,100}'), 200) END AS snippet,
-       CASE WHEN contains(context, 'EUR 2,800') THEN 'EUR 2,800' END AS amount, contains(context, 'Fully funded') AS funded,
-       CASE WHEN regexp_matches(lower(title), 'biomechanic|gait|locomotion') THEN 'Biomechanics' WHEN regexp_matches(lower(title), 'motor control|sensorimotor') THEN 'Motor Control'
-            WHEN regexp_matches(lower(title), 'rehabilitation|physiotherap') THEN 'Rehabilitation' WHEN regexp_matches(lower(title), 'neuroscien|brain') THEN 'Neuroscience'
-            WHEN regexp_matches(lower(title), 'machine learning|deep learning') THEN 'Machine Learning' END AS domain
-FROM p
-""")
-def funding(spark, d):
-    c = C("context")
-    return postings(spark, d).select("seq", titles.funding_snippet(c).alias("snippet"), titles.funding_amount(c).alias("amount"), titles.has_funding(c).alias("funded"), titles.research_domain(C("title")).alias("domain"))
-
-
-@query("b31_b33_b39_hashes", r"""
-SELECT seq, translate(trim(lower(title)), '_-', '  ') AS normal, left(sha256(context), 16) AS content_hash,
-       source || '_' || left(md5(title || '_' || university || '_' || country), 12) AS canonical_id,
-       regexp_matches(lower(title || ' ' || context), 'hiring|open position|we are looking for|join our (lab|team|group)|phd position|vacanc') AS hiring
-FROM p
-""")
-def hashes(spark, d):
-    return postings(spark, d).select(
-        "seq", titles.normal_text(C("title")).alias("normal"), titles.content_hash(C("context")).alias("content_hash"),
-        titles.canonical_id(C("source"), C("title"), C("university"), C("country")).alias("canonical_id"), titles.hiring_intent(F.concat_ws(" ", "title", "context")).alias("hiring"),
-    )
-
-
 @query("b38_search_queries", r"""
 WITH t(pos, template) AS (VALUES (1, '"{name}" PhD position'), (2, '"{name}" {field} doctoral'), (3, '{university} {field} studentship')),
      f(fpos, field) AS (VALUES (1, 'gait'), (2, 'motor control'), (3, 'wearables'), (4, 'rehabilitation'), (5, 'locomotion'), (6, 'balance')),
@@ -193,24 +116,6 @@ def deadlines(spark, d):
     return rows.select("seq", C("d.value").cast("string").alias("value"), "d.status", dates.is_rolling(C("context")).alias("rolling"), dates.days_left(C("d.value"), as_of).alias("days_left"), "d.confidence")
 
 
-@query("d10_d13_listing_dates", _DATE_ORACLE + r"""
-SELECT seq, coalesce(regexp_extract(context, 'Deadline: (\d{4}-\d{2}-\d{2})', 1), '') AS captured,
-       CASE WHEN contains(context, 'Apply by ') THEN CAST(value AS VARCHAR) END AS by_format,
-       CASE WHEN contains(context, 'Open until filled') THEN 'Rolling' WHEN value IS NULL THEN 'Not stated' WHEN value < DATE '1998-06-01' THEN 'Closed'
-            WHEN value - DATE '1998-06-01' <= 14 THEN 'Urgent: ' || CAST(value - DATE '1998-06-01' AS VARCHAR) || ' days left'
-            ELSE CAST(value - DATE '1998-06-01' AS VARCHAR) || ' days left' END AS line
-FROM dl
-""")
-def listing_dates(spark, d):
-    as_of, c = F.lit(AS_OF).cast("date"), C("context")
-    status = F.when(dates.is_rolling(c), F.lit("rolling")).otherwise(C("d.status"))
-    return spread_postings(spark, d).select("seq", "context", dates.deadline(c, as_of).alias("d")).select(
-        "seq", F.regexp_extract(c, r"Deadline: (\d{4}-\d{2}-\d{2})", 1).alias("captured"),
-        dates.date_by_formats(F.regexp_extract(c, r"Apply by (\d{1,2} [A-Z][a-z]{2} \d{4})", 1)).cast("string").alias("by_format"),
-        dates.deadline_line(status, C("d.value"), as_of).alias("line"),
-    )
-
-
 @query("d17_d18_ages", r"""
 SELECT seq, CASE WHEN DATE '1998-06-01' - event_date <= 0 THEN 1.0 ELSE round(exp(-(DATE '1998-06-01' - event_date) / 30.0), 9) END AS freshness,
        CASE WHEN seq % 5 = 0 THEN -1 ELSE CAST(DATE '1998-06-01' - event_date AS INT) END AS cache_age
@@ -230,70 +135,3 @@ FROM p
 """)
 def title_gate(spark, d):
     return postings(spark, d).select("seq", gates.gate_title(C("title")).alias("reason"))
-
-
-@query("f04_f08_link_tests", r"""
-SELECT seq, true AS posting_link, len(list_filter(['phd', 'doctoral', 'research', 'university', 'position', 'studentship', 'funded'], lambda x: contains(lower(title || ' ' || context), x))) >= 2 AS relevant, false AS banner, false AS chrome,
-       NOT regexp_matches(title, 'PhD|Doctoral|Studentship|Research|Postdoctoral|Lecturer') OR regexp_matches(title, 'Lecturer') AND length(title) - length(replace(title, ' ', '')) + 1 < 7 AS generic
-FROM p
-""")
-def link_tests(spark, d):
-    t = C("title")
-    blob = F.concat_ws(" ", t, "context")
-    return postings(spark, d).select(
-        "seq", gates.is_posting_link(C("url"), t).alias("posting_link"), gates.relevance(blob).alias("relevant"), gates.is_banner(t).alias("banner"),
-        gates.is_chrome(t).alias("chrome"), gates.is_generic(t).alias("generic"),
-    )
-
-
-@query("f09_f12_boards", r"""
-SELECT page_id, coalesce(regexp_matches(lower(url), 'career|job|vacanc|phd|doctoral|stellen|karriere|emploi|empleo|vaga|praca'), false) AS mentions, false AS social FROM pages
-""", postings=False)
-def board_tests(spark, d):
-    u = C("url")
-    return table(spark, d, "pages").select("page_id", gates.any_of(F.lower(u), gates.BOARD_WORDS).alias("mentions"), gates.is_social(u).alias("social"))
-
-
-@query("f18_f22_classify", r"""
-WITH l AS (SELECT event_id, event_type, value FROM events)
-SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'view' THEN 'rate_limited' WHEN 'click' THEN 'access_denied' WHEN 'signup' THEN 'captcha' ELSE 'unknown' END AS kind,
-       event_type IN ('error', 'view') AS transient, CASE WHEN event_type = 'purchase' THEN 'official_university' ELSE 'board' END AS source_kind,
-       CASE WHEN event_type = 'purchase' THEN 1 ELSE 6 END AS priority,
-       CASE WHEN event_type = 'error' THEN 'broken' WHEN value < 1 THEN 'empty' WHEN event_type = 'view' THEN 'browser' ELSE 'http' END AS verdict
-FROM l
-""", postings=False)
-def classify(spark, d):
-    from postmill.operators.health import classify_probe
-
-    message = (
-        F.when(C("event_type") == "error", F.lit("Read timed out")).when(C("event_type") == "view", F.lit("HTTP 429 Too Many Requests"))
-        .when(C("event_type") == "click", F.lit("403 Forbidden")).when(C("event_type") == "signup", F.lit("captcha page")).otherwise(F.lit("weird"))
-    )
-    url = F.when(C("event_type") == "purchase", F.lit("https://www.x.edu/p")).otherwise(F.lit("https://jobs.example.org/p"))
-    kind = gates.source_type(url)
-    return table(spark, d, "events").select(
-        "event_id", gates.failure_kind(message).alias("kind"), gates.is_transient(message).alias("transient"), kind.alias("source_kind"), gates.source_priority(kind).alias("priority"),
-        classify_probe(F.when(C("event_type") == "error", 500).otherwise(200), F.floor("value"), C("event_type") == "view").alias("verdict"),
-    )
-
-
-@query("h11_h15_page_tests", r"""
-SELECT page_id, regexp_matches(lower(left(html, 30000)), 'just a moment|cf-challenge|captcha|attention required|checking your browser|access denied') AS challenge,
-       length(html) < 3000 OR NOT contains(lower(html), 'article') AS hollow,
-       regexp_matches(html, '(?i)(job|vacanc|vakan|vacante|stellenangebot|offre|oferta|vaga|offerta|phd|doctoral|doktorat|postdoc|position|opening|recruit|recrutement|work with us|werken bij|arbeiten|current|open|available|search|listing|announcement|suche|recherche)') AS lists,
-       CAST(length(html) AS INT) AS n_chars, CAST(len(regexp_extract_all(html, '(?i)<a\b')) AS INT) AS anchors, CAST(len(regexp_extract_all(html, '(?i)position')) AS INT) AS vocabulary
-FROM pages
-""", postings=False)
-def page_tests(spark, d):
-    h = C("html")
-    return table(spark, d, "pages").select(
-        "page_id", gates.is_challenge(h).alias("challenge"), gates.is_hollow(F.lit(200), h, F.lit("Article")).alias("hollow"), gates.lists_positions(h).alias("lists"),
-        F.length(h).alias("n_chars"), F.regexp_count(h, F.lit(r"(?i)<a\b")).alias("anchors"), F.regexp_count(h, F.lit("(?i)position")).alias("vocabulary"),
-    )
-
-
-@query("g24_secret_shapes", r"""
-SELECT source, count(*) AS n, CAST(count(*) FILTER (regexp_matches(text, '(?i)(token|secret|password)\s*[=:]\s*["'']?[a-z0-9]{16,}')) AS BIGINT) AS hits FROM documents GROUP BY source
-""", postings=False)
-def secret_shapes(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(gates.secret_shape(C("text"))).alias("hits"))

@@ -337,62 +337,6 @@ def upsert(spark, d):
     return dedupe.upsert(old, new, "c_custkey")
 
 
-@query("j01_j02_s14_rank_positions", """
-, x AS (SELECT seq, university, title, context, s_suppkey, s_acctbal, s_suppkey % 3 <> 0 AS known, s_suppkey % 2 = 0 AS verified, s_suppkey % 4 = 0 AS grants, s_suppkey % 5 = 0 AS hiring, CAST(s_suppkey % 6 AS INT) AS students
-        FROM p JOIN supplier ON s_suppkey = seq % 10000),
-y AS (SELECT seq, 50.0 AS research_fit,
-  round((CASE WHEN contains(lower(title || ' ' || context), 'motion capture') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title || ' ' || context), 'deep learning') THEN 1 ELSE 0 END) * 50.0, 6) AS method_fit,
-  CASE WHEN NOT known THEN 30.0 ELSE least(100.0, 60.0 + CASE WHEN verified THEN 10 ELSE 0 END + CASE WHEN grants THEN 10 ELSE 0 END + CASE WHEN hiring THEN 5 ELSE 0 END) END AS supervisor_fit,
-  50.0 + CASE WHEN known THEN 10 + CASE WHEN students > 0 THEN 10 ELSE 0 END + CASE WHEN students > 3 THEN 5 ELSE 0 END + CASE WHEN grants THEN 5 ELSE 0 END ELSE 0 END AS lab_fit,
-  70.0 AS eligibility, CASE WHEN contains(context, 'EUR') THEN 90.0 ELSE 20.0 END AS funding, 80.0 AS career_alignment, 100.0 AS freshness,
-  50.0 + CASE WHEN known AND hiring THEN 15 ELSE 0 END + CASE WHEN known AND students > 2 THEN 10 ELSE 0 END AS opportunity_strength, 60.0 AS institutional_fit FROM x),
-z AS (SELECT seq, round(CAST(research_fit * 0.25 + method_fit * 0.15 + supervisor_fit * 0.15 + lab_fit * 0.1 + eligibility * 0.1 + funding * 0.1 + career_alignment * 0.05 + freshness * 0.03 + opportunity_strength * 0.05 + institutional_fit * 0.02 AS DOUBLE), 4) AS overall FROM y)
-SELECT seq, overall, CASE WHEN overall >= 85 THEN 'HIGH' WHEN overall >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM z
-""")
-def rank_positions(spark, d):
-    k = C("s_suppkey")
-    people = table(spark, d, "supplier").select(k, (k % 3 != 0).alias("known"), (k % 2 == 0).alias("verified"), (k % 4 == 0).alias("grants"), (k % 5 == 0).alias("hiring"), (k % 6).cast("int").alias("students"))
-    rows = postings(spark, d).select("seq", "university", "title", "context", (C("seq") % 10000).alias("s_suppkey")).join(people, "s_suppkey")
-    text = F.concat_ws(" ", "title", "context")
-    amount = titles.funding_amount(C("context"))
-    scores = {
-        "research_fit": F.lit(50.0), "method_fit": scoring.method_fit(text, ("motion capture", "deep learning")), "supervisor_fit": scoring.supervisor_fit(C("known"), F.lit(60), C("verified"), C("grants"), C("hiring")),
-        "lab_fit": scoring.lab_fit(C("known"), F.lit(1), C("students"), C("grants")), "eligibility": scoring.eligibility(F.lit("")), "funding": scoring.funding_score(amount, F.lit("")),
-        "career_alignment": scoring.career_alignment(("academic",), F.lit("FUNDED_PHD"), C("context")), "freshness": F.lit(100.0),
-        "opportunity_strength": scoring.opportunity_strength(C("known"), F.array().cast("array<date>"), as_of(), C("hiring"), C("students"), F.lit(False)), "institutional_fit": scoring.institutional_fit(C("university"), F.lit("")),
-    }
-    return rows.select("seq", scoring.overall(scores).alias("overall")).select("seq", "overall", scoring.tier(C("overall"), 85, 70).alias("priority"))
-
-
-@query("s02_s13_scores", """
-SELECT seq, (CASE WHEN regexp_matches(b, 'biomechanic|gait|motor control') THEN 40 ELSE 0 END + CASE WHEN regexp_matches(b, 'machine learning|deep learning') THEN 25 ELSE 0 END
-  + CASE WHEN regexp_matches(b, 'motion capture|wearable|sensor') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(b, 'phd|doctoral') THEN 15 ELSE 0 END) AS crawler_fit,
-  CAST(round(0.5 + CASE WHEN contains(context, 'Deadline') THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(context) > 180 THEN 0.15 ELSE 0 END + CASE WHEN source = 'src1' THEN 0.1 ELSE 0 END, 2) AS DOUBLE) AS confidence,
-  CAST(CASE WHEN contains(context, 'Fully') THEN 90 ELSE 20 END AS DOUBLE) AS funding, CAST(60 AS DOUBLE) AS institution
-FROM (SELECT *, lower(title || ' ' || context) AS b FROM p)
-""")
-def scores(spark, d):
-    return postings(spark, d).select(
-        "seq", scoring.crawler_fit(F.concat_ws(" ", "title", "context")).alias("crawler_fit"),
-        scoring.record_confidence(C("context").contains("Deadline"), C("country") != "", F.length("context"), C("source") == "src1").alias("confidence"),
-        scoring.funding_score(titles.funding_amount(C("context")), titles.funding_snippet(C("context"))).alias("funding"), scoring.institutional_fit(C("university"), F.lit("")).alias("institution"),
-    )
-
-
-@query("j07_s15_s17_concept_match", None)
-def concept_match(spark, d):
-    """Best keyword per person and concept by word-set similarity."""
-    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("keyword"), F.lower("p_type").alias("kind"))
-    supplied = table(spark, d, "lineitem").select(C("l_suppkey").alias("pi_id"), "l_partkey").distinct()
-    people = supplied.join(parts, C("l_partkey") == C("p_partkey")).select("pi_id", F.array("keyword", "kind").alias("keywords"))
-    return scoring.best_concept_match(people, ("part 1", "promo steel", "standard tin plated"))
-
-
-@query("j08_keyword_hits", "SELECT doc_id, CAST(" + _hits("lower(text)", ("the", "and", "tion", "ing", "der", "las")) + " AS INT) AS hits FROM documents", postings=False)
-def keyword_hits(spark, d):
-    return table(spark, d, "documents").select("doc_id", gates.how_many(F.lower("text"), ("the", "and", "tion", "ing", "der", "las")).alias("hits"))
-
-
 @query("j12_j15_detail_fields", """
 , k AS (SELECT seq, title, context, seq % 50 AS page_id FROM p)
 SELECT k.seq, coalesce(nullif(left(g.url, 20), ''), k.title) AS title, CASE WHEN g.page_id IS NULL THEN k.context ELSE g.url END AS detail FROM k LEFT JOIN pages g ON g.page_id = k.page_id AND g.page_id % 2 = 0
@@ -416,45 +360,6 @@ def anchors(spark, d):
     return pages.anchors(table(spark, d, "pages")).groupBy("page_id").agg(row_count().alias("n"))
 
 
-@query("h01_harvest", None)
-def harvest(spark, d):
-    return pages.harvest(table(spark, d, "pages"))
-
-
-@query("h02_board_links", None)
-def board_links(spark, d):
-    return pages.board_links(table(spark, d, "pages")).select("page_id", "rank", "url", "text", "score")
-
-
-@query("h04_h10_vacancy_next", None)
-def vacancy_next(spark, d):
-    p = table(spark, d, "pages")
-    v = pages.vacancy_links(p).groupBy("page_id").agg(row_count().alias("vacancies"))
-    return p.select("page_id").join(v, "page_id", "left").join(pages.next_page(pages.anchors(p)), "page_id", "left").select("page_id", F.coalesce("vacancies", F.lit(0).cast("long")).alias("vacancies"), "next_url")
-
-
-@query("h08_h09_descriptions", None)
-def descriptions(spark, d):
-    return table(spark, d, "pages").select("page_id", pages.description(C("html"), 40).alias("description"), pages.heading(C("html")).alias("heading"), F.size(pages.requirements(C("html"))).alias("requirements"))
-
-
-@query("h16_rules", r"""
-SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)<', 1), '\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, 'href="([^"]*)"', 1), '') AS first_link
-FROM pages WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> ''
-""", postings=False)
-def rules(spark, d):
-    p = table(spark, d, "pages")
-    hosts = p.select(urls.host(C("url")).alias("host")).where("host <> ''").distinct()
-    fields = F.array(F.struct(F.lit("title").alias("field"), F.lit("<title>([^<]*)<").alias("pattern")), F.struct(F.lit("first_link").alias("field"), F.lit('href="([^"]*)"').alias("pattern")))
-    return pages.by_rules(p, hosts.select("host", F.explode(fields).alias("r")).select("host", "r.field", "r.pattern"))
-
-
-@query("h17_line_records", "SELECT n_nationkey, 'Org ' || n_name AS org, 'Title ' || n_name AS title, CAST(NULL AS VARCHAR) AS department FROM nation", postings=False)
-def line_records(spark, d):
-    card = F.concat(F.lit("Badge\nUniversity card\nOrg "), C("n_name"), F.lit("\nTitle "), C("n_name"))
-    return table(spark, d, "nation").select("n_nationkey", pages.line_record(card, "University card").alias("r")).select("n_nationkey", "r.*")
-
-
 @query("v01_embedding_top_k", """
 WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM q, embeddings)
@@ -496,41 +401,6 @@ def alerts(spark, d):
     return ranking.top_per(fresh, "c_custkey", [F.desc("fit"), C("seq")], 3).select("c_custkey", "seq", "rank")
 
 
-@query("v05_v07_exclusions_funding", "SELECT seq, NOT regexp_matches(lower(title), 'chemistry|combinatorics') AS allowed, contains(lower(context), CASE WHEN right(country, 1) IN ('0', '2', '4', '6', '8') THEN 'stipend' ELSE 'funded' END) AS funded_words FROM p")
-def exclusions(spark, d):
-    low = F.lower("context")
-    word = F.when(F.right("country", F.lit(1)).isin("0", "2", "4", "6", "8"), F.lit("stipend")).otherwise(F.lit("funded"))
-    return postings(spark, d).select("seq", (~gates.any_of(F.lower("title"), ("chemistry", "combinatorics"))).alias("allowed"), low.contains(word).alias("funded_words"))
-
-
-@query("f14_f17_site_filters", """
-SELECT seq, contains(lower(title), 'motor') AND country LIKE '%1%' AS shown, CASE WHEN country LIKE '%5' THEN 'country' WHEN length(university) < 20 THEN 'name' ELSE NULL END AS excluded FROM p
-""")
-def site_filters(spark, d):
-    return postings(spark, d).select("seq", (F.lower("title").contains("motor") & C("country").contains("1")).alias("shown"), F.when(C("country").endswith("5"), "country").when(F.length("university") < 20, "name").alias("excluded"))
-
-
-@query("s19_s22_evidence", """
-SELECT seq, 1 + CASE WHEN contains(context, 'Deadline') THEN 1 ELSE 0 END + CASE WHEN contains(context, 'EUR') THEN 1 ELSE 0 END AS n_evidence,
-       CASE WHEN contains(context, 'Deadline') AND contains(context, 'EUR') THEN 'VERIFIED' WHEN contains(context, 'Deadline') THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS level FROM p
-""")
-def evidence(spark, d):
-    item = lambda claim, value: F.struct(F.lit(claim).alias("claim"), value.alias("value"))
-    c = C("context")
-    array = F.array_compact(F.array(item("listed", C("url")), F.when(c.contains("Deadline"), item("deadline", c)), F.when(c.contains("EUR"), item("funding", titles.funding_amount(c)))))
-    level = F.when(c.contains("Deadline") & c.contains("EUR"), "VERIFIED").when(c.contains("Deadline"), "PROBABLE").otherwise("UNVERIFIED")
-    return postings(spark, d).select("seq", F.size(array).alias("n_evidence"), level.alias("level"))
-
-
-@query("s28_s29_rescue", _GATED + """
-SELECT seq, reason IN ('offtopic', 'deadline') AND length(context) >= 60 AS looked_at, CASE WHEN reason = 'offtopic' AND length(context) >= 60 THEN 'rescued' ELSE reason END AS outcome FROM g
-""")
-def rescue(spark, d):
-    g = gated(spread_postings(spark, d))
-    long = F.length("context") >= 60
-    return g.select("seq", (C("reason").isin("offtopic", "deadline") & long).alias("looked_at"), F.when((C("reason") == "offtopic") & long, "rescued").otherwise(C("reason")).alias("outcome"))
-
-
 @query("t03_t04_t06_log_windows", "WITH l AS (" + CRAWL_LOGS_ORACLE + """)
 SELECT source, CAST(date_trunc('day', started_at) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (success) AS ok FROM l WHERE started_at >= TIMESTAMP '2024-01-05' GROUP BY 1, 2
 """, postings=False)

@@ -85,3 +85,29 @@ def interleaved(universities: DataFrame, per_country: int, limit: int) -> DataFr
     """At most ``per_country`` of each country, taken in turns."""
     rn = F.row_number().over(Window.partitionBy("country").orderBy("seq"))
     return universities.withColumn("rn", rn).where(F.col("rn") <= per_country).orderBy("rn", "country").limit(limit)
+
+
+def select_targets(universities: DataFrame, boards: DataFrame, country: str = "", limit: int | None = None, refresh: bool = False, only_missing: bool = False) -> DataFrame:
+    """The universities that a run looks at: of a country (part of its name, or
+    its code), without a known board, the largest research output first."""
+    out = universities
+    if country:
+        low = F.lit(country.lower())
+        out = out.where(F.contains(F.lower("country"), low) | (F.lower("country_code") == low))
+    if only_missing and not refresh:
+        known = boards.select(canonical(F.col("homepage")).alias("__home")).distinct()
+        out = out.join(known, canonical(F.col("homepage")) == F.col("__home"), "left_anti")
+    return out.orderBy(F.desc("openalex_papers"), "seq").limit(limit) if limit else out
+
+
+def institution_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Institution snapshot, JSON lines of API pages with ``results``, as rows."""
+    one = "struct<id:string,display_name:string,country_code:string,homepage_url:string,works_count:bigint,type:string>"
+    raw = spark.read.schema(f"country string, results array<{one}>").json(path)
+    return raw.select("country", F.explode("results").alias("r")).select(
+        F.coalesce("country", "r.country_code").alias("country"), F.col("r.id").alias("institution_id"), F.trim("r.display_name").alias("name"), F.col("r.homepage_url").alias("official_url"), F.coalesce("r.works_count", F.lit(0).cast("long")).alias("papers"),
+    )
+
+
+def institutions_per_country(institutions: DataFrame) -> DataFrame:
+    return institutions.groupBy("country").agg(F.count(F.lit(1)).alias("institutions"), F.sum("papers").alias("papers"))

@@ -5,20 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.gates import OFFICIAL
+from postmill.functions.fixed import SITE_OFFICIAL
+from postmill.functions.titles import guess_org
+from postmill.operators.scoring import tier
 
 EXPORT = ("id", "title", "university", "country", "url", "fit", "tier", "deadline_status", "deadline_date")
 
 
 def site_payload(rows: DataFrame) -> DataFrame:
-    """Published rows with their defaults and an evidence array."""
-    kind = F.when(F.col("source").isin(*OFFICIAL), "official").otherwise("aggregator")
+    """Published rows with the site's fields, defaults and an evidence array;
+    ``rows``: title, context, university, source_label, country, deadline,
+    deadline_date, deadline_status, fit, url, posted, source, origin and any
+    others (those that lack a field get its default)."""
+    given = lambda name: F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) if name in rows.columns else F.lit("")
+    or_else = lambda name, other: F.coalesce(F.nullif(given(name), F.lit("")), F.lit(other))
+    fit = F.col("fit") if "fit" in rows.columns else F.lit(0)
+    kind = F.when(F.col("source").isin(*SITE_OFFICIAL), "official").otherwise("aggregator")
     entry = F.struct(
         F.concat(F.lit("Position listed on "), F.col("source_label")).alias("claim"), F.col("title").alias("value"), F.col("url").alias("source_url"),
         kind.alias("source_type"), F.when(F.col("origin").contains("browser"), 0.9).otherwise(0.65).alias("confidence"),
     )
     return rows.withColumns({
-        "country": F.coalesce(F.nullif("country", F.lit("")), F.lit("N/A")), "department": F.lit("N/A"), "description": F.left("context", F.lit(400)), "evidence": F.array(entry),
+        "university": guess_org(F.col("context"), F.col("source_label"), F.col("university")), "country": or_else("country", "N/A"), "department": F.lit("N/A"),
+        "pi_name": F.lit("See official posting"), "pi_email": F.lit(""), "funding": F.lit("PhD position — see official posting"),
+        "application_deadline": or_else("deadline", "See official posting"), "deadline_date": given("deadline_date"), "deadline_status": or_else("deadline_status", "unknown"),
+        "opportunity_type": F.lit("FUNDED_PHD"), "research_domain": F.lit("Biomechanics / Human Movement"), "research_fit_score": fit, "contact_priority": tier(fit, 75, 55),
+        "source_url": F.col("url"), "posted": given("posted"), "description": F.left("context", F.lit(400)), "evidence": F.array(entry),
     })
 
 

@@ -3,12 +3,11 @@
 The model counts token bigrams of the whole corpus; tokens are those of a
 public byte-level BPE vocabulary, so that a bigram is an exact 32-bit key and
 the unigram table is bounded by the vocabulary (at most 65,535 entries, which
-bounds its broadcast).  The query scores with every count above 0 (``least``
-1); a caller may hold bigrams below ``least`` for unseen, and the function's
-own default does so for those that occur once.  The score of a token w after
-v is
+bounds its broadcast).  A document is scored by what the others hold: its own
+bigrams do not count for it (``leave_out``; else those of the whole corpus do).
+Every count above 0 counts.  The score of a token w after v is
 
-    count(v w) / count(v)            if count(v w) >= least
+    others(v w) / count(v)           if others(v w) > 0
     0.4 * count(w) / tokens          otherwise
 
 and a document's score is the sum of its tokens' base-10 logarithms; a text
@@ -19,8 +18,9 @@ starts after a boundary token whose count is the number of texts.
    blocks of documents, and shuffled once, by the hash of the bigram.
 3. In each partition of that shuffle the bigram count table is built by
    summing, joined to the exploded rows it came from (they are in the same
-   partition already), and summed per document: one row of sums per block of
-   documents, not one per document.  A last shuffle by block adds them.
+   partition already), and summed per document: for each block of documents the
+   sums of those that have a bigram there, so that what travels grows with the
+   bigrams, not with blocks times partitions.  A last shuffle by block adds them.
 
 A bigram costs at most a row per document, so no frequent one makes a hot
 partition; the number of hash partitions follows the number of tokens, which
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from postmill.llm.shared import blocks, bounded_batches, documents, texts_of
 from postmill.llm.tokens import byte_bpe
 
-BACKOFF, LEAST = 0.4, 2
+BACKOFF = 0.4
 
 #: Tokens of the corpus per hash partition.
 TOKENS_PER_BUCKET = 4_000_000
@@ -123,9 +123,10 @@ def exploded(docs: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "bucket int, block long, row binary, grams binary, counts binary, doc_ids binary, tokens binary")
 
 
-def bucket_scores(unigrams: np.ndarray, backoff: float = BACKOFF, least: int = LEAST):
+def bucket_scores(unigrams: np.ndarray, backoff: float = BACKOFF, leave_out: bool = True):
     """The count table of one hash partition, joined to the rows it came from
-    and summed per document of each block (millionths)."""
+    and summed per document of each block (millionths): the documents' numbers
+    in the block and their sums."""
     tokens = max(int(unigrams[:EDGE].sum()), 1)
 
     def scores(table: pa.Table) -> pa.Table:
@@ -134,15 +135,15 @@ def bucket_scores(unigrams: np.ndarray, backoff: float = BACKOFF, least: int = L
         keys, at = np.unique(np.concatenate(grams), return_inverse=True)
         count = np.concatenate(counts).astype(np.int64)
         total = np.bincount(at, count, len(keys))
-        left, right = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        share = np.where(total >= least, total / np.maximum(unigrams[left], 1), backoff * unigrams[right] / tokens)
-        micro = np.rint(np.log10(np.maximum(share, 1e-300)) * 1e6).astype(np.int64)
-        part, ends, sums = micro[at] * count, np.cumsum([len(g) for g in grams]), []
+        of_others = total[at] - (count if leave_out else 0)
+        left, right = (keys >> np.uint32(16))[at], (keys & np.uint32(0xFFFF))[at]
+        share = np.where(of_others > 0, of_others / np.maximum(unigrams[left], 1), backoff * unigrams[right] / tokens)
+        part, ends, out = np.rint(np.log10(np.maximum(share, 1e-300)) * 1e6).astype(np.int64) * count, np.cumsum([len(g) for g in grams]), []
         for row, end in zip(rows, ends):
-            s = np.zeros(int(row[-1]) + 1 if len(row) else 0, np.int64)  # rows are in order
-            np.add.at(s, row, part[end - len(row) : end])
-            sums.append(s.tobytes())
-        return pa.table({"block": table.column("block"), "sums": pa.array(sums, pa.binary()), "doc_ids": table.column("doc_ids"), "tokens": table.column("tokens")})
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)  # rows are in order
+            sums = np.add.reduceat(part[end - len(row) : end], first) if len(row) else np.empty(0, np.int64)
+            out.append((row[first].tobytes(), sums.tobytes()))
+        return pa.table({"block": table.column("block"), "row": pa.array([r for r, _ in out], pa.binary()), "sums": pa.array([s for _, s in out], pa.binary()), "doc_ids": table.column("doc_ids"), "tokens": table.column("tokens")})
 
     return scores
 
@@ -153,19 +154,20 @@ def add_blocks(table: pa.Table) -> pa.Table:
     for i, n in zip(table.column("doc_ids").to_pylist(), table.column("tokens").to_pylist()):
         if i is not None:
             ids, tokens = np.frombuffer(i, "<i8"), tokens + np.frombuffer(n, "<i8")
+    if ids is None:
+        raise ValueError("a block without its ids: the input of the scores must give the same batches when it is read again")
     micro = np.zeros(len(ids), np.int64)
-    for s in table.column("sums").to_pylist():
-        part = np.frombuffer(s, np.int64)
-        micro[: len(part)] += part
+    for row, sums in zip(table.column("row").to_pylist(), table.column("sums").to_pylist()):
+        micro[np.frombuffer(row, np.uint16)] += np.frombuffer(sums, np.int64)
     return pa.table({"doc_id": ids, "micro": micro, "n": tokens})
 
 
-def lm_scores(docs: DataFrame, vocabulary: str, backoff: float = BACKOFF, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: str, backoff: float = BACKOFF, leave_out: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, log10_score, mean_log10 per document."""
     rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     unigrams = unigram_counts(rows, vocabulary)
     buckets = max(8, -(-int(unigrams[:EDGE].sum()) // TOKENS_PER_BUCKET))
-    summed = exploded(rows, vocabulary, buckets).groupBy("bucket").applyInArrow(bucket_scores(unigrams, backoff, least), "block long, sums binary, doc_ids binary, tokens binary")
+    summed = exploded(rows, vocabulary, buckets).groupBy("bucket").applyInArrow(bucket_scores(unigrams, backoff, leave_out), "block long, row binary, sums binary, doc_ids binary, tokens binary")
     parts = summed.groupBy("block").applyInArrow(add_blocks, "doc_id long, micro long, n long")
     total = parts.groupBy("doc_id").agg(F.sum("micro").alias("micro"), F.sum("n").alias("n_tokens"))
     return total.select(
@@ -179,4 +181,4 @@ def lm_scores(docs: DataFrame, vocabulary: str, backoff: float = BACKOFF, least:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), least=1)
+    return lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from messy import ROWS
 from tokenizers import Tokenizer
 
@@ -60,7 +61,8 @@ def test_lexicon_is_minimal_and_exact():
     assert lexicon.Lexicon(lexicon.compile_lexicon({})).find(b"a") is None
 
 
-def test_lm_scores_against_brute_force(docs, empty):
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_lm_scores_against_brute_force(docs, empty, leave_out):
     tokens = {}
     for i, t, *_ in ROWS:
         tokens.setdefault(i, []).append(ids_of(BYTE, t))
@@ -71,15 +73,36 @@ def test_lm_scores_against_brute_force(docs, empty):
             uni["edge"] += bool(v)
             bi.update(zip(["edge", *v], v))
     total = sum(uni.values()) - uni["edge"]
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs, BYTE).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, BYTE, leave_out=leave_out).collect()}
     assert set(got) == set(tokens)
     for i, many in tokens.items():
-        want = sum(round(1e6 * math.log10(bi[a, b] / uni[a] if bi[a, b] >= 2 else 0.4 * uni[b] / total)) for v in many for a, b in zip(["edge", *v], v)) / 1e6
+        want = 0
+        for v in many:  # rows of one id are texts of their own
+            pairs = list(zip(["edge", *v], v))
+            own = Counter(pairs) if leave_out else Counter()
+            want += sum(round(1e6 * math.log10((bi[p] - own[p]) / uni[p[0]] if bi[p] > own[p] else 0.4 * uni[p[1]] / total)) for p in pairs) / 1e6
         assert abs(got[i].log10_score - want) < 1e-5 and got[i].n_tokens == sum(map(len, many))
     assert got[2].mean_log10 is None
     assert lm_score.lm_scores(empty, BYTE).count() == 0
 
 
+def test_lm_sums_grow_with_the_bigrams_not_with_the_partitions():
+    rng = np.random.default_rng(4)
+    sizes = []
+    unigrams = np.ones(65_536, np.int64)
+    grams = rng.integers(0, 2**32, 40_000, dtype=np.uint32)
+    row = np.sort(rng.integers(0, 512, 40_000)).astype(np.uint16)
+    for buckets in (8, 512):
+        total = 0
+        for k in range(buckets):
+            own = grams % buckets == k
+            table = lm_score.pa.table({"block": [1], "grams": [grams[own].tobytes()], "counts": [np.ones(int(own.sum()), np.uint32).tobytes()], "row": [row[own].tobytes()], "doc_ids": [None], "tokens": [None]})
+            got = lm_score.bucket_scores(unigrams)(table)
+            total += len(got["sums"][0].as_py()) + len(got["row"][0].as_py())
+        sizes.append(total)
+    assert sizes[1] <= 10 * len(grams) and sizes[0] <= sizes[1]
+
+
 def test_media_round_trip(docs, empty):
     text = {i: t or "" for i, t, *_ in ROWS}
     seen = {}

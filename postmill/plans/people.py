@@ -54,7 +54,7 @@ def institutions(spark, d):
 
 
 @query("s26_s27_s31_funded_works", """
-SELECT o_orderkey AS work, l_suppkey AS person, 'Open position in topic ' || CAST(l_partkey % 4 AS VARCHAR) AS title FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey % 4 AS t, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
+SELECT o_orderkey AS work, l_suppkey AS person, 'PhD position in topic ' || CAST(l_partkey % 4 AS VARCHAR) AS title FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey % 4 AS t, l_partkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey
 WHERE year(o_orderdate) = 1997 AND l_partkey % 4 IN (1, 3) AND o_orderkey % 3 = 0
 GROUP BY ALL
 """, postings=False)
@@ -65,7 +65,7 @@ def funded_works(spark, d):
 
     o = table(spark, d, "orders").where("year(o_orderdate) = 1997").select(C("o_orderkey").alias("work"))
     a = table(spark, d, "lineitem").select(C("l_orderkey").alias("work"), C("l_suppkey").alias("person"), (C("l_partkey") % 4).alias("concept")).distinct()
-    title = F.concat(F.when(C("work") % 3 == 0, "Open position in topic ").otherwise("A study of topic "), C("concept").cast("string"))
+    title = F.concat(F.when(C("work") % 3 == 0, "PhD position in topic ").otherwise("A study of topic "), C("concept").cast("string"))
     rows = a.where(F.arrays_overlap(F.array("concept"), F.array(F.lit(1).cast("long"), F.lit(3).cast("long")))).join(o, "work")
     return rows.select("work", "person", title.alias("title")).where(hiring_intent(C("title")))
 

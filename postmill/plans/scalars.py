@@ -63,7 +63,7 @@ def title_scalars(spark, d):
     rows = postings(spark, d).where(~t.rlike("Research Fellow|Lecturer"))
     return rows.select(
         "seq", titles.clean_title(t).alias("clean"), titles.strip_trailing_id(F.concat(t, F.lit(" 5udgbc81w7"))).alias("without_id"),
-        titles.title_from_slug(C("url"), t).alias("from_slug"), titles.clean_title(F.concat(F.lit("Featured 3 days ago "), t)).alias("with_badge"),
+        titles.title_from_slug(C("url"), t).alias("from_slug"), titles.clean_title(F.concat(F.lit("Just Landed Canada . "), t, F.lit(" Closing soon"))).alias("with_badge"),
         titles.looks_like_id(F.concat(F.split_part(t, F.lit(" "), F.lit(1)), C("seq").cast("string"))).alias("id_like"),
     )
 

@@ -15,14 +15,17 @@ reaches ``threshold``; a component is what is reachable by links.
    Parts that are empty are signed only by sets with more than one of them
    (among two agreeing parts one is not empty otherwise).  No pair within the
    threshold is missed.
-3. Star links.  In each block every set is tested against the block's first
-   set only; a connected-components step merges what linked.  A large group
-   of near copies costs a row per member here, not a pair of members.
+   Signatures that one set only has are dropped in the one exchange that holds
+   all of them, packed by hash.
+3. Star links.  In each block every set that meets the block's first set in two
+   blocks at least is tested against it; a connected-components step merges
+   what linked.  A large group of near copies costs a row per member here, not
+   a pair of members.
 4. Rest.  Only blocks whose members are still in several components are
    searched, and of blocks with the same members only one: small blocks by
-   their untested pairs, each pair once; in larger ones all members outside
-   the block's largest component query an inverted index of the members, in
-   chunks of bounded size.
+   their untested pairs that meet twice, each pair once; in larger ones all
+   members outside the block's largest component query an inverted index of the
+   members, queries and index both in chunks of bounded size.
 5. Every test is a T-occurrence search: with T the overlap that the two sizes
    require, the L longest lists of a query are set aside, the short ones are
    merged in one sorted run, what reaches T - L is probed in the long ones
@@ -54,9 +57,12 @@ from postmill.llm.shared import blocks, bounded_batches, documents, materialise,
 
 WORDS, PERCENT = 3, 90
 
-#: Members of a block that one task indexes at a time.
+#: Members of a block that one task indexes, or asks for, at a time.
 CHUNK = 1024
 
+#: Shingles of the sets whose signatures share a bucket.
+SHINGLES_PER_BUCKET = 8_000_000
+
 #: Blocks of up to so many members are searched pair by pair, larger ones in
 #: chunks; both are exact.
 SMALL = 32
@@ -198,6 +204,44 @@ def inverted(sets: list[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray]
     return dict(zip(flat[edges].tolist(), np.split(of, edges[1:]))), sizes
 
 
+def shared_signatures(one: DataFrame, buckets: int) -> DataFrame:
+    """(block, rep) of the signatures that several sets have; ``one``: rep,
+    signatures.  A batch of sets sends each bucket its signatures (8 bytes each)
+    with their sets run-length coded."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, reps = batch.column("signatures"), batch.column("rep").to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            bucket = (mixed(flat) >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            flat, row, bucket = flat[order], row[order], bucket[order]
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            sigs, sets, runs = [], [], []
+            for i, j in zip(edges, np.append(edges[1:], len(flat))):
+                own = row[i:j]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                sigs.append(flat[i:j].tobytes())
+                sets.append(reps[own[first]].tobytes())
+                runs.append(np.diff(np.append(first, j - i)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), *(pa.array(x, pa.binary()) for x in (sigs, sets, runs))], ["bucket", "sigs", "sets", "runs"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        sigs = read("sigs", np.int64)
+        reps = np.repeat(read("sets", np.int64), read("runs", np.uint32))
+        order = np.argsort(sigs, kind="stable")
+        sigs, reps = sigs[order], reps[order]
+        same = sigs[1:] == sigs[:-1]
+        several = np.append(False, same) | np.append(same, False)
+        return pa.table({"block": sigs[several], "rep": reps[several]})
+
+    return bounded_batches(one).select("rep", "signatures").mapInArrow(packed, "bucket int, sigs binary, sets binary, runs binary").groupBy("bucket").applyInArrow(shared, "block long, rep long")
+
+
 def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.  Rows carry both texts; a task searches
     each run of rows with the same a as one query against their bs."""
@@ -229,26 +273,28 @@ def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
 
 def chunk_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links within (block, chunk): rows with ``asks`` query the rows with
-    ``held``; of a query's partners the first of each component is named."""
+    """Links within (block, ask_chunk, held_chunk): rows with ``asks`` query the
+    rows with ``held``; of a query's partners the first of each component is
+    named."""
 
     def search(table: pa.Table) -> pa.Table:
         ids, comp = table.column("rep").to_pylist(), table.column("component").to_pylist()
         held = [i for i, x in enumerate(table.column("held").to_pylist()) if x]
         asks = [i for i, x in enumerate(table.column("asks").to_pylist()) if x]
-        sets = [shingles(t or "", words) for t in table.column("text").to_pylist()]
-        lists, sizes = inverted([sets[i] for i in held])
         out = set()
-        for q in asks:
-            met = {}
-            for hit in t_occurrence(sets[q], lists, sizes, percent):
-                i = held[hit]
-                if comp[i] != comp[q]:
-                    met.setdefault(comp[i], ids[i])
-            out.update((ids[q], x) for x in met.values())
+        if held and asks:
+            sets = [shingles(t or "", words) for t in table.column("text").to_pylist()]
+            lists, sizes = inverted([sets[i] for i in held])
+            for q in asks:
+                met = {}
+                for hit in t_occurrence(sets[q], lists, sizes, percent):
+                    i = held[hit]
+                    if comp[i] != comp[q]:
+                        met.setdefault(comp[i], ids[i])
+                out.update((ids[q], x) for x in met.values())
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return rows.groupBy("block", "chunk").applyInArrow(search, "a long, b long")
+    return rows.groupBy("block", "ask_chunk", "held_chunk").applyInArrow(search, "a long, b long")
 
 
 def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -259,16 +305,18 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     docs = with_key(docs).select(F.col("key").alias("doc_id"), "text")
 
     # equal sets are one row from here on
-    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.min("doc_id").alias("known")), "set-groups")
-    # a row for each set, also where its representative is repeated
+    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.min("doc_id").alias("known"), F.max("n_shingles").alias("size")), "set-groups")
+    # rows of the sets' representatives (a repeated one has several, alike)
     of = groups.select(F.col("set_key").alias("of_key"), "rep")
-    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("of_key", "rep", "signatures").dropDuplicates(["of_key", "rep"])
-    signed = one.select("rep", F.explode("signatures").alias("block"))
-
-    # blocks of several sets; each set is tested against the block's first
-    several = signed.groupBy("block").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(signed.join(several, "block"), "members")
-    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.lit(1).alias("one")).drop("one")
+    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("rep", "signatures")
+    buckets = 8 + int(groups.agg(F.sum("size")).head()[0] or 0) // SHINGLES_PER_BUCKET
+
+    # blocks of several sets; each set that meets a block's first twice is tested against it
+    signed = materialise(shared_signatures(one, buckets).distinct(), "signed")
+    first = signed.groupBy("block").agg(F.min("rep").alias("first"))
+    members = materialise(signed.join(first, "block"), "members")
+    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
+    pairs = materialise(pairs, "star-pairs")
     # only texts that share a block are read again, gathered once
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"]).drop("print"), "texts")
@@ -282,27 +330,29 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     mixed_blocks = (
         per.groupBy("block")
         .agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("most"), F.bit_xor("who").alias("who"))
-        .where("parts > 1 AND members > 2")
+        .where("parts > 1")
         .groupBy("who", "members")
-        .agg(F.min("block").alias("block"), F.first("most.component").alias("most"))
-        .drop("who")
+        .agg(F.min("block").alias("block"), F.max("most").alias("most"), F.count(F.lit(1)).alias("alike"))
+        .select("block", "members", "alike", F.col("most.component").alias("most"), (F.col("members") - F.col("most.size")).alias("askers"))
     )
     open_rows = materialise(placed.join(mixed_blocks, "block"), "open-rows")
 
-    # few members: their untested pairs, each once, at most SMALL / 2 a member
+    # few members: their untested pairs that meet twice (a pair that meets in a larger block too is found there)
     few = open_rows.where(F.col("members") <= SMALL)
-    left = few.select("block", F.col("rep").alias("a"), F.col("component").alias("a_c"))
+    left = few.select("block", "alike", F.col("rep").alias("a"), F.col("component").alias("a_c"))
     right = few.select("block", F.col("rep").alias("b"), F.col("component").alias("b_c"))
-    untested = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-
-    # many members: chunks of an index, asked by all outside the largest component
-    many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most")).withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    spread = many.select(
-        "block", "rep", "component", "asks", own.alias("own"),
-        F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))).alias("chunk"),
-    ).withColumn("held", F.col("own") == F.col("chunk"))
-    searched = spread.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "chunk", "rep", "component", "asks", "held", "text")
+    met = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).groupBy("a", "b").agg(F.sum("alike").alias("met"))
+    untested = met.where("met > 1").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+
+    # many members: all outside the largest component query the members, both in chunks
+    many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most"))
+    many = many.withColumn("held_chunks", F.ceil(F.col("members") / chunk).cast("int")).withColumn("ask_chunks", F.ceil(F.col("askers") / chunk).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    asking = many.where("asks").select("block", "rep", "component", F.lit(True).alias("asks"), F.lit(False).alias("held"), own("ask_chunks", 1).alias("ask_chunk"), F.explode(each("held_chunks")).alias("held_chunk"))
+    holding = many.select("block", "rep", "component", F.lit(False).alias("asks"), F.lit(True).alias("held"), own("held_chunks", 2).alias("held_chunk"), F.explode(each("ask_chunks")).alias("ask_chunk"))
+    spread = asking.unionByName(holding)
+    searched = spread.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("block", "ask_chunk", "held_chunk", "rep", "component", "asks", "held", "text")
     rest = star_links(untested, texts, words, percent).unionByName(chunk_links(searched, words, percent).distinct())
     links = stars.unionByName(rest)
     final = materialise(components(materialise(links, "links")), "components").select(F.col("node").alias("rep"), F.col("component").alias("found"))

@@ -42,7 +42,6 @@ no row of the component has one.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.components import components
-from postmill.llm.shared import blocks, bounded_batches, documents, materialise, texts_of
+from postmill.llm.shared import blocks, bounded_batches, discard, documents, materialise, texts_of
 
 WORDS, PERCENT = 3, 90
 
@@ -242,34 +241,44 @@ def shared_signatures(one: DataFrame, buckets: int) -> DataFrame:
     return bounded_batches(one).select("rep", "signatures").mapInArrow(packed, "bucket int, sigs binary, sets binary, runs binary").groupBy("bucket").applyInArrow(shared, "block long, rep long")
 
 
-def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  Rows carry both texts; a task searches
-    each run of rows with the same a as one query against their bs."""
+def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """The pairs (a, b) that link: each a is a query against its bs.  The bs of
+    an a are dealt out in slices of about ``chunk`` rows, each of which gets the
+    text of a once, so that no task and no a gathers an unbounded group."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, query = None, None
-        for block in blocks(batches, "b_text"):
-            a, b = block.column("a").to_pylist(), block.column("b").to_pylist()
-            a_text, by = block.column("a_text"), defaultdict(list)
-            sets = [shingles(t, words) for t in texts_of(block, "b_text")]
-            for i, x in enumerate(a):
-                by[x].append(i)
-            out_a, out_b = [], []
-            for x, rows in by.items():
-                if x != last:
-                    last, query = x, shingles(a_text[rows[0]].as_py() or "", words)
-                lists, sizes = inverted([sets[i] for i in rows])
-                for hit in t_occurrence(query, lists, sizes, percent):
-                    out_a.append(x)
-                    out_b.append(b[rows[hit]])
+        queries, asked, met = [], None, True
+        for block in blocks(batches):
+            a, b, texts = block.column("a").to_pylist(), block.column("b").to_pylist(), texts_of(block)
+            out_a, out_b, sets, ids = [], [], [], []
+
+            def flush() -> None:
+                lists, sizes = inverted(sets) if sets else ({}, None)
+                for query in queries if sets else ():
+                    for hit in t_occurrence(query, lists, sizes, percent):
+                        out_a.append(asked)
+                        out_b.append(ids[hit])
+                sets.clear()
+                ids.clear()
+
+            for x, y, text in zip(a, b, texts):
+                if y is None:  # the query comes before what it is asked against
+                    flush()
+                    queries = [*(queries if x == asked and not met else []), shingles(text, words)]  # an id may have several texts
+                    asked, met = x, False
+                else:
+                    met = True
+                    sets.append(shingles(text, words))
+                    ids.append(y)
+            flush()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id"), "text")
-    joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    )
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(search, "a long, b long")
+    texts = docs.select(F.col("doc_id").alias("of"), "text")
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("slices"))
+    dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"))
+    asked = slices.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    rows = dealt.unionByName(asked).withColumn("of", F.coalesce("b", "a")).join(texts, "of").select("a", "slice", "b", "text")
+    return rows.repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b")).select("a", "b", "text").mapInArrow(search, "a long, b long")
 
 
 def chunk_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -313,8 +322,11 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     # blocks of several sets; each set that meets a block's first twice is tested against it
     signed = materialise(shared_signatures(one, buckets).distinct(), "signed")
+    plain = materialise(sets.drop("signatures"), "set-keys")
+    discard(sets)
     first = signed.groupBy("block").agg(F.min("rep").alias("first"))
     members = materialise(signed.join(first, "block"), "members")
+    discard(signed)
     pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
     pairs = materialise(pairs, "star-pairs")
     # only texts that share a block are read again, gathered once
@@ -363,7 +375,7 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         named = named.drop("known").join(least, "first_key").select("set_key", "component_id", F.coalesce("component_id", "first_key").alias("first_key"))
     else:
         named = named.select("set_key", F.col("first_key").alias("component_id"), "first_key")
-    rows = sets.select("doc_id", "key", "n_shingles", "set_key").join(named, "set_key", "left")
+    rows = plain.select("doc_id", "key", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = F.col("set_key").isNull()
     return rows.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("key")).otherwise(F.col("first_key")).alias("first_key"))
 

@@ -17,10 +17,10 @@ reaches ``threshold``; a component is what is reachable by links.
    threshold is missed.
    Signatures that one set only has are dropped in the one exchange that holds
    all of them, packed by hash.
-3. Star links.  In each block every set that meets the block's first set in two
-   blocks at least is tested against it; a connected-components step merges
-   what linked.  A large group of near copies costs a row per member here, not
-   a pair of members.
+3. Star links.  Of the first sets of its blocks each set is tested against the
+   one that it meets most often, in two blocks at least; a connected-components
+   step merges what linked.  A large group of near copies costs a row per member
+   here, not a pair of members.
 4. Rest.  Only blocks whose members are still in several components are
    searched, and of blocks with the same members only one: small blocks by
    their untested pairs that meet twice, each pair once; in larger ones all
@@ -327,8 +327,9 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     first = signed.groupBy("block").agg(F.min("rep").alias("first"))
     members = materialise(signed.join(first, "block"), "members")
     discard(signed)
-    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    pairs = materialise(pairs, "star-pairs")
+    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    # of several firsts the one that a set meets most often
+    pairs = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("met"), -F.col("a"))).alias("a")).select("a", "b"), "star-pairs")
     # only texts that share a block are read again, gathered once
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"]).drop("print"), "texts")

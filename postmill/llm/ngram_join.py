@@ -26,6 +26,8 @@ reaches ``threshold``; a component is what is reachable by links.
    their untested pairs that meet twice, each pair once; in larger ones all
    members outside the block's largest component query an inverted index of the
    members, queries and index both in chunks of bounded size.
+   Pairs whose sizes, or parities of shingle counts in hash cells, show that they
+   cannot reach the threshold are dropped before any text travels.
 5. Every test is a T-occurrence search: with T the overlap that the two sizes
    require, the L longest lists of a query are set aside, the short ones are
    merged in one sorted run, what reaches T - L is probed in the long ones
@@ -140,26 +142,56 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """For each of a power of two of cells (two a shingle or more) whether an
+    odd number of the set's shingles falls into it, as bits.  The cells in which
+    two sets differ are at most as many as the shingles in which they do."""
+    cells = 1 << max(6, (2 * len(found)).bit_length())
+    count = np.bincount((mixed(found ^ _MIX) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(cells: bytes, bits: int) -> int:
+    """Parities of a power of two of cells, of the fewer cells ``bits``."""
+    x, wide = int.from_bytes(cells, "little"), 8 * len(cells)
+    while wide > bits:
+        wide //= 2
+        x = x >> wide ^ x & (1 << wide) - 1
+    return x
+
+
+def may_link(n: int, own: bytes, m: int, other: bytes, percent: int) -> bool:
+    """Can two sets of n and m shingles reach the threshold, by their sizes and
+    parities?  Never false where they do."""
+    differ = n + m - 2 * least_overlap(n, m, percent)
+    if differ < abs(n - m):
+        return False
+    bits = 8 * min(len(own), len(other))
+    return (_folded(own, bits) ^ _folded(other, bits)).bit_count() <= differ
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """``docs`` with ``key``: doc_id, or a hash of the text where it is null."""
     return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key, n_shingles, set_key (128 bits of the whole set), signatures."""
+    """doc_id, key, n_shingles, set_key (128 bits of the whole set), signatures,
+    parities."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            n, key, sigs = [], [], []
+            n, key, sigs, odd = [], [], [], []
             for text in texts_of(block):
                 found = shingles(text, words)
                 n.append(len(found))
                 key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signatures(found, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "set_key", "signatures"])
+                odd.append(parities(found))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "key", "n_shingles", "set_key", "signatures", "parities"])
 
     rows = with_key(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.mapInArrow(sets, "doc_id long, key long, n_shingles long, set_key binary, signatures array<long>")
+    return rows.mapInArrow(sets, "doc_id long, key long, n_shingles long, set_key binary, signatures array<long>, parities binary")
 
 
 def t_occurrence(query: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -241,6 +273,20 @@ def shared_signatures(one: DataFrame, buckets: int) -> DataFrame:
     return bounded_batches(one).select("rep", "signatures").mapInArrow(packed, "bucket int, sigs binary, sets binary, runs binary").groupBy("bucket").applyInArrow(shared, "block long, rep long")
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, met) whose sizes and parities allow a link;
+    ``sketches``: rep, n_shingles, parities."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, own, m, other = (batch.column(c).to_pylist() for c in ("a_n", "a_odd", "b_n", "b_odd"))
+            mask = pa.array([may_link(*x, percent) for x in zip(n, own, m, other)], pa.bool_())
+            yield batch.select(["a", "b", "met"]).filter(mask)
+
+    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("parities").alias(f"{x}_odd"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "met", "a_n", "a_odd", "b_n", "b_odd").mapInArrow(kept, "a long, b long, met long").distinct()
+
+
 def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
     """The pairs (a, b) that link: each a is a query against its bs.  The bs of
     an a are dealt out in slices of about ``chunk`` rows, each of which gets the
@@ -322,12 +368,14 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     # blocks of several sets; each set that meets a block's first twice is tested against it
     signed = materialise(shared_signatures(one, buckets).distinct(), "signed")
-    plain = materialise(sets.drop("signatures"), "set-keys")
+    sketches = materialise(sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("rep", "n_shingles", "parities"), "sketches")
+    plain = materialise(sets.drop("signatures", "parities"), "set-keys")
     discard(sets)
     first = signed.groupBy("block").agg(F.min("rep").alias("first"))
     members = materialise(signed.join(first, "block"), "members")
     discard(signed)
     pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    pairs = possible(pairs, sketches, percent)
     # of several firsts the one that a set meets most often
     pairs = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("met"), -F.col("a"))).alias("a")).select("a", "b"), "star-pairs")
     # only texts that share a block are read again, gathered once
@@ -355,7 +403,7 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     left = few.select("block", "alike", F.col("rep").alias("a"), F.col("component").alias("a_c"))
     right = few.select("block", F.col("rep").alias("b"), F.col("component").alias("b_c"))
     met = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).groupBy("a", "b").agg(F.sum("alike").alias("met"))
-    untested = met.where("met > 1").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    untested = possible(met.where("met > 1").join(pairs, ["a", "b"], "left_anti"), sketches, percent).select("a", "b")
 
     # many members: all outside the largest component query the members, both in chunks
     many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most"))

@@ -117,6 +117,23 @@ def test_block_signatures_meet_for_all_pairs_at_the_threshold():
                     assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b)), (size, drop)
 
 
+def test_parities_never_drop_a_link():
+    import numpy as np
+
+    rng, dropped = np.random.default_rng(8), 0
+    for _ in range(400):
+        size, percent = int(rng.integers(1, 300)), int(rng.choice([80, 90]))
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.append(a[int(rng.integers(0, size // 3 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, size // 2 + 2)), dtype=np.uint64)))
+        if not len(b):
+            continue
+        linked = 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+        may = ngram_join.may_link(len(a), ngram_join.parities(a), len(b), ngram_join.parities(b), percent)
+        assert may or not linked
+        dropped += not may
+    assert dropped > 100
+
+
 def test_near_dedup_stage_against_brute_force(spark):
     """Five words at 0.8; one word in 45 to 57 is enough for a near copy."""
     rng, rows = random.Random(11), []

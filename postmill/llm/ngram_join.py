@@ -23,7 +23,7 @@ reaches ``threshold``; a component is what is reachable by links.
    here, not a pair of members.
 4. Rest.  Only blocks whose members are still in several components are
    searched, and of blocks with the same members only one: small blocks by
-   their untested pairs that meet twice, each pair once; in larger ones all
+   their untested pairs that meet as often as their sizes require, each once; in larger ones all
    members outside the block's largest component query an inverted index of the
    members, queries and index both in chunks of bounded size.
    Pairs whose sizes, or parities of shingle counts in hash cells, show that they
@@ -126,10 +126,9 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     size = len(found)
     if size == 0 or 100 * size < percent * (size + 1) and 100 * (size - 1) < percent * size:
         return np.empty(0, np.uint64)  # only an equal set can be its partner
-    tops = size_classes(percent, max(1024, 2 * size))
-    own, out = int(np.searchsorted(tops, size)), []
-    for c in (own, own + 1):
-        parts = int(2 * tops[c] * (100 - percent)) // (100 + percent) + 2
+    own, here, after = parts_of(size, percent)
+    out = []
+    for c, parts in ((own, here), (own + 1, after)):
         part = ((found >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
         np.add.at(total, part, mixed(found ^ _MIX2))
@@ -142,6 +141,13 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parts_of(size: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """A set's size class and the numbers of parts of this and the next one."""
+    tops = size_classes(percent, max(1024, 2 * size))
+    own = int(np.searchsorted(tops, size))
+    return own, *(int(2 * tops[c] * (100 - percent)) // (100 + percent) + 2 for c in (own, own + 1))
+
+
 def parities(found: np.ndarray) -> bytes:
     """For each of a power of two of cells (two a shingle or more) whether an
     odd number of the set's shingles falls into it, as bits.  The cells in which
@@ -287,6 +293,30 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "met", "a_n", "a_odd", "b_n", "b_odd").mapInArrow(kept, "a long, b long, met long").distinct()
 
 
+def often_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, met) that meet in as many blocks as a link needs.  Sets
+    that differ in d shingles agree in all but d parts of a class that both sign
+    for, of which one at most is empty and not signed."""
+    size = sketches.select("rep", "n_shingles").distinct()
+    kinds = size.select("n_shingles").distinct()
+    schema = "n_shingles long, class int, here int, after int"
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_shingles").to_pylist()
+            columns = list(zip(*(parts_of(x, percent) for x in n))) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("n_shingles"), *(pa.array(list(c), pa.int32()) for c in columns)], ["n_shingles", "class", "here", "after"])
+
+    known = size.join(kinds.mapInArrow(classed, schema), "n_shingles")
+    side = lambda x: known.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", "class", "here", "after")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = F.col("a_n_shingles") + F.col("b_n_shingles")
+    differ = total - 2 * F.expr(f"({percent} * (a_n_shingles + b_n_shingles) + {99 + percent}) DIV {100 + percent}")
+    step = F.col("a_class") - F.col("b_class")
+    need = F.when(step == 0, F.col("a_here") + F.col("a_after") - 2 * differ - 2).when(step == -1, F.col("b_here") - differ - 1).when(step == 1, F.col("a_here") - differ - 1)
+    return both.where((F.abs(F.col("a_n_shingles") - F.col("b_n_shingles")) <= differ) & (F.col("met") >= F.greatest(need, F.lit(1)))).select("a", "b", "met").distinct()
+
+
 def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
     """The pairs (a, b) that link: each a is a query against its bs.  The bs of
     an a are dealt out in slices of about ``chunk`` rows, each of which gets the
@@ -398,12 +428,12 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     )
     open_rows = materialise(placed.join(mixed_blocks, "block"), "open-rows")
 
-    # few members: their untested pairs that meet twice (a pair that meets in a larger block too is found there)
+    # few members: their untested pairs that meet often enough (a pair that meets in a larger block too is found there)
     few = open_rows.where(F.col("members") <= SMALL)
     left = few.select("block", "alike", F.col("rep").alias("a"), F.col("component").alias("a_c"))
     right = few.select("block", F.col("rep").alias("b"), F.col("component").alias("b_c"))
     met = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).groupBy("a", "b").agg(F.sum("alike").alias("met"))
-    untested = possible(met.where("met > 1").join(pairs, ["a", "b"], "left_anti"), sketches, percent).select("a", "b")
+    untested = possible(often_enough(met.join(pairs, ["a", "b"], "left_anti"), sketches, percent), sketches, percent).select("a", "b")
 
     # many members: all outside the largest component query the members, both in chunks
     many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most"))

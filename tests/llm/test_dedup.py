@@ -117,6 +117,26 @@ def test_block_signatures_meet_for_all_pairs_at_the_threshold():
                     assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b)), (size, drop)
 
 
+def test_linked_sets_meet_as_often_as_their_sizes_require():
+    import numpy as np
+
+    rng, seen = np.random.default_rng(6), 0
+    for _ in range(600):
+        size, percent = int(rng.integers(2, 200)), int(rng.choice([80, 90]))
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.append(a[int(rng.integers(0, size // 8 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, size // 8 + 1)), dtype=np.uint64)))
+        n, m = len(a), len(b)
+        if np.array_equal(a, b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+            continue
+        seen += 1
+        met = len(set(ngram_join.signatures(a, percent)) & set(ngram_join.signatures(b, percent)))
+        (c, here, after), (e, there, _) = ngram_join.parts_of(n, percent), ngram_join.parts_of(m, percent)
+        differ = n + m - 2 * ngram_join.least_overlap(n, m, percent)
+        need = here + after - 2 * differ - 2 if c == e else (there if e > c else here) - differ - 1
+        assert abs(c - e) <= 1 and met >= max(need, 1), (n, m, percent, met, need)
+    assert seen > 150
+
+
 def test_parities_never_drop_a_link():
     import numpy as np
 

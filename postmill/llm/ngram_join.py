@@ -4,34 +4,33 @@ Two documents link when the Jaccard similarity of their word-shingle sets
 reaches ``threshold``; a component is what is reachable by links.
 
 1. One narrow pass hashes every text's shingles to 64 bits and gives its set
-   size, a key of the whole set and block signatures (below).  Documents with
-   equal sets collapse into one row with a partial aggregation, so a group of
-   copies, however large, costs one row per task.
-2. Blocks.  Sets of sizes up to r that reach the threshold differ in at most
-   H = floor(2 r (1 - t) / (1 + t)) shingles.  With the shingle universe cut
-   by hash into H + 2 parts, two such sets agree in at least two parts; a
-   signature is the hash of one part's shingles.  A set of size class c signs
-   for the classes c and c + 1, so that partners in neighbouring classes meet.
-   Parts that are empty are signed only by sets with more than one of them
-   (among two agreeing parts one is not empty otherwise).  No pair within the
-   threshold is missed.
-   Signatures that one set only has are dropped in the one exchange that holds
-   all of them, packed by hash.
-3. Star links.  Of the first sets of its blocks each set is tested against the
-   one that it meets most often, in two blocks at least; a connected-components
-   step merges what linked.  A large group of near copies costs a row per member
-   here, not a pair of members.
-4. Rest.  Only blocks whose members are still in several components are
-   searched, and of blocks with the same members only one: small blocks by
-   their untested pairs that meet as often as their sizes require, each once; in larger ones all
-   members outside the block's largest component query an inverted index of the
-   members, queries and index both in chunks of bounded size.
-   Pairs whose sizes, or parities of shingle counts in hash cells, show that they
-   cannot reach the threshold are dropped before any text travels.
-5. Every test is a T-occurrence search: with T the overlap that the two sizes
-   require, the L longest lists of a query are set aside, the short ones are
-   merged in one sorted run, what reaches T - L is probed in the long ones
-   by binary search, and what reaches T is a link (DivideSkip).
+   size, a key of the whole set and the hashes.  Documents with equal sets
+   collapse into one row with a partial aggregation, so a group of copies,
+   however large, costs one row per task.
+2. Inverted lists.  One exchange by shingle brings all postings together, packed
+   by hash, and answers each set with those of its shingles that other sets have
+   and the lengths of their lists.  A partner of a set of n shingles holds at
+   least T = ceil(t n) of them, so a set with fewer shared ones is done here.
+3. Short lists.  T-occurrence search over the whole corpus with the T - 1 longest
+   lists of a set put aside (DivideSkip's choice of L): what is left to merge are
+   its n - T + 1 shortest, ordered by length, then hash, the same order for all
+   sets.  Two sets that reach the threshold have their first common shingle
+   among the short ones of both, so they meet in a block, the sets that have one
+   shingle as a short one.  No pair within the threshold is missed.
+4. Star links.  Of the first sets of its blocks each set is tested against the
+   one that it meets most often; a connected-components step merges what linked.
+   A large group of near copies costs a row per member here, not a pair of
+   members.
+5. Rest.  Only blocks whose members are still in several components are
+   searched, and of blocks with the same members only one: small blocks by their
+   untested pairs, each once; in larger ones all members outside the block's
+   largest component query an inverted index of the members, queries and index
+   both in chunks of bounded size.  Pairs whose sizes cannot link are dropped
+   before any text travels.
+6. Every test is a T-occurrence search again: with T the overlap that the two
+   sizes require, the L longest lists of a query are set aside, the short ones
+   are merged in one sorted run, what reaches T - L is probed in the long ones by
+   binary search, and what reaches T is a link (DivideSkip).
 
 Defined results: null text counts as empty; a text without words has an empty
 set, size 0, and is its own component; a text with fewer words than a shingle
@@ -45,7 +44,6 @@ no row of the component has one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +59,9 @@ WORDS, PERCENT = 3, 90
 #: Members of a block that one task indexes, or asks for, at a time.
 CHUNK = 1024
 
-#: Shingles of the sets whose signatures share a bucket.
+#: Shingles whose inverted lists share a bucket, and sets that a packed batch holds.
 SHINGLES_PER_BUCKET = 8_000_000
+PACKED_SETS = 1000
 
 #: Blocks of up to so many members are searched pair by pair, larger ones in
 #: chunks; both are exact.
@@ -110,70 +109,9 @@ def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-@lru_cache(maxsize=64)
-def size_classes(percent: int, most: int) -> np.ndarray:
-    """Upper bounds of the size classes: sizes within the threshold of each
-    other are in the same class or in neighbouring ones."""
-    tops, low = [], 1
-    while low <= most:
-        tops.append(low * 100 // percent)
-        low = tops[-1] + 1
-    return np.array(tops)
-
-
-def signatures(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Block signatures of one set (step 2 above)."""
-    size = len(found)
-    if size == 0 or 100 * size < percent * (size + 1) and 100 * (size - 1) < percent * size:
-        return np.empty(0, np.uint64)  # only an equal set can be its partner
-    own, here, after = parts_of(size, percent)
-    out = []
-    for c, parts in ((own, here), (own + 1, after)):
-        part = ((found >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mixed(found ^ _MIX2))
-        filled = np.bincount(part, minlength=parts) > 0
-        if parts - filled.sum() <= 1:
-            total, which = total[filled], np.flatnonzero(filled)
-        else:
-            which = np.arange(parts)
-        out.append(mixed(total + mixed(which.astype(np.uint64) + np.uint64(c) * np.uint64(1 << 32))))
-    return np.concatenate(out)
-
-
-def parts_of(size: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """A set's size class and the numbers of parts of this and the next one."""
-    tops = size_classes(percent, max(1024, 2 * size))
-    own = int(np.searchsorted(tops, size))
-    return own, *(int(2 * tops[c] * (100 - percent)) // (100 + percent) + 2 for c in (own, own + 1))
-
-
-def parities(found: np.ndarray) -> bytes:
-    """For each of a power of two of cells (two a shingle or more) whether an
-    odd number of the set's shingles falls into it, as bits.  The cells in which
-    two sets differ are at most as many as the shingles in which they do."""
-    cells = 1 << max(6, (2 * len(found)).bit_length())
-    count = np.bincount((mixed(found ^ _MIX) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _folded(cells: bytes, bits: int) -> int:
-    """Parities of a power of two of cells, of the fewer cells ``bits``."""
-    x, wide = int.from_bytes(cells, "little"), 8 * len(cells)
-    while wide > bits:
-        wide //= 2
-        x = x >> wide ^ x & (1 << wide) - 1
-    return x
-
-
-def may_link(n: int, own: bytes, m: int, other: bytes, percent: int) -> bool:
-    """Can two sets of n and m shingles reach the threshold, by their sizes and
-    parities?  Never false where they do."""
-    differ = n + m - 2 * least_overlap(n, m, percent)
-    if differ < abs(n - m):
-        return False
-    bits = 8 * min(len(own), len(other))
-    return (_folded(own, bits) ^ _folded(other, bits)).bit_count() <= differ
+def has_partners(size: int, percent: int = PERCENT) -> bool:
+    """Can a set of ``size`` shingles link with any but an equal set?"""
+    return size > 0 and (100 * size >= percent * (size + 1) or 100 * (size - 1) >= percent * size)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -182,22 +120,24 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key, n_shingles, set_key (128 bits of the whole set), signatures,
-    parities."""
+    """doc_id, key, n_shingles, set_key (128 bits of the whole set), set_id (64
+    of them), shingles (8 bytes each; none where only an equal set can link)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            n, key, sigs, odd = [], [], [], []
+            n, key, short, packed = [], [], [], []
             for text in texts_of(block):
                 found = shingles(text, words)
+                digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 n.append(len(found))
-                key.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sigs.append(signatures(found, percent).view(np.int64))
-                odd.append(parities(found))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "key", "n_shingles", "set_key", "signatures", "parities"])
+                key.append(digest)
+                short.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
+                packed.append(found.tobytes() if has_partners(len(found), percent) else b"")
+            arrays = [block.column("doc_id"), block.column("key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(short, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_shingles", "set_key", "set_id", "shingles"])
 
     rows = with_key(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return rows.mapInArrow(sets, "doc_id long, key long, n_shingles long, set_key binary, signatures array<long>, parities binary")
+    return rows.mapInArrow(sets, "doc_id long, key long, n_shingles long, set_key binary, set_id long, shingles binary")
 
 
 def t_occurrence(query: np.ndarray, lists: dict[int, np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -241,80 +181,82 @@ def inverted(sets: list[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray]
     return dict(zip(flat[edges].tolist(), np.split(of, edges[1:]))), sizes
 
 
-def shared_signatures(one: DataFrame, buckets: int) -> DataFrame:
-    """(block, rep) of the signatures that several sets have; ``one``: rep,
-    signatures.  A batch of sets sends each bucket its signatures (8 bytes each)
-    with their sets run-length coded."""
+def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
+    """set_id, shared, lengths, terms: of each set and bucket the shingles that
+    several sets have (as 64-bit terms) and how many have each; ``sets``: set_id,
+    shingles.
+
+    A batch of sets sends each bucket 4 bytes of hash and 2 of position a shingle;
+    two shingles of a bucket that agree in them count as one term, which can only
+    lengthen a list, alike for all its sets.  Equal sets (64 bits of hash are taken
+    as their identity) are sent once a batch and counted once.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, reps = batch.column("signatures"), batch.column("rep").to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(flat):
-                continue
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            bucket = (mixed(flat) >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            flat, row, bucket = flat[order], row[order], bucket[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            sigs, sets, runs = [], [], []
-            for i, j in zip(edges, np.append(edges[1:], len(flat))):
-                own = row[i:j]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                sigs.append(flat[i:j].tobytes())
-                sets.append(reps[own[first]].tobytes())
-                runs.append(np.diff(np.append(first, j - i)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), *(pa.array(x, pa.binary()) for x in (sigs, sets, runs))], ["bucket", "sigs", "sets", "runs"])
-
-    def shared(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        sigs = read("sigs", np.int64)
-        reps = np.repeat(read("sets", np.int64), read("runs", np.uint32))
-        order = np.argsort(sigs, kind="stable")
-        sigs, reps = sigs[order], reps[order]
-        same = sigs[1:] == sigs[:-1]
-        several = np.append(False, same) | np.append(same, False)
-        return pa.table({"block": sigs[several], "rep": reps[several]})
-
-    return bounded_batches(one).select("rep", "signatures").mapInArrow(packed, "bucket int, sigs binary, sets binary, runs binary").groupBy("bucket").applyInArrow(shared, "block long, rep long")
-
-
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, met) whose sizes and parities allow a link;
-    ``sketches``: rep, n_shingles, parities."""
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, own, m, other = (batch.column(c).to_pylist() for c in ("a_n", "a_odd", "b_n", "b_odd"))
-            mask = pa.array([may_link(*x, percent) for x in zip(n, own, m, other)], pa.bool_())
-            yield batch.select(["a", "b", "met"]).filter(mask)
-
-    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("parities").alias(f"{x}_odd"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "met", "a_n", "a_odd", "b_n", "b_odd").mapInArrow(kept, "a long, b long, met long").distinct()
-
-
-def often_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, met) that meet in as many blocks as a link needs.  Sets
-    that differ in d shingles agree in all but d parts of a class that both sign
-    for, of which one at most is empty and not signed."""
-    size = sketches.select("rep", "n_shingles").distinct()
-    kinds = size.select("n_shingles").distinct()
-    schema = "n_shingles long, class int, here int, after int"
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n_shingles").to_pylist()
-            columns = list(zip(*(parts_of(x, percent) for x in n))) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("n_shingles"), *(pa.array(list(c), pa.int32()) for c in columns)], ["n_shingles", "class", "here", "after"])
-
-    known = size.join(kinds.mapInArrow(classed, schema), "n_shingles")
-    side = lambda x: known.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n_shingles", "class", "here", "after")))
+        for whole in batches:
+            for start in range(0, whole.num_rows, PACKED_SETS):
+                batch = whole.slice(start, PACKED_SETS)
+                own = dict(zip(batch.column("set_id").to_pylist(), batch.column("shingles").to_pylist()))
+                ids = np.fromiter(own, np.int64, len(own))
+                found = [np.frombuffer(x, np.uint64) for x in own.values()]
+                flat, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+                bucket = (flat >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, row, hashes = bucket[order], row[order], flat[order].astype(np.uint32)
+                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+                out = [[], [], []]
+                for i, j in zip(edges, np.append(edges[1:], len(bucket))):
+                    new = np.append(True, row[i + 1 : j] != row[i : j - 1])
+                    out[0].append(ids[row[i:j][new]].tobytes())
+                    out[1].append((np.cumsum(new) - 1).astype(np.uint16).tobytes())
+                    out[2].append(hashes[i:j].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32) if len(edges) else [], pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["bucket", "ids", "position", "hashes"])
+
+    def answered(key: tuple, table: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+        # a set that several batches sent counts once
+        kept = np.zeros(sum(map(len, ids)), bool)
+        kept[np.unique(np.concatenate(ids), return_index=True)[1]] = True
+        starts = np.cumsum([0, *map(len, ids)])
+        position = np.concatenate([np.frombuffer(x, np.uint16) + k for x, k in zip(table.column("position").to_pylist(), starts.tolist())])
+        hashes = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()])
+        kept = kept[position]
+        sets, hashes = np.concatenate(ids)[position[kept]], hashes[kept]
+        order = np.argsort(hashes, kind="stable")
+        hashes, sets = hashes[order], sets[order]
+        lengths = np.diff(np.flatnonzero(np.append(np.append(True, hashes[1:] != hashes[:-1]), True)))
+        lengths = np.repeat(lengths, lengths)
+        several = lengths > 1
+        hashes, sets, lengths = hashes[several], sets[several], lengths[several]
+        order = np.argsort(sets, kind="stable")
+        hashes, sets, lengths = hashes[order], sets[order], lengths[order]
+        terms = (np.uint64(key[0].as_py()) << np.uint64(32) | hashes.astype(np.uint64)).view(np.int64)
+        edges = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])[: len(sets)])
+        offsets = np.append(edges, len(sets))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int64())) for x in (lengths, terms)]
+        return pa.table([pa.array(sets[edges], pa.int64()), pa.array(np.diff(offsets), pa.int64()), *lists], ["set_id", "shared", "lengths", "terms"])
+
+    rows = bounded_batches(sets, PACKED_SETS).select("set_id", "shingles").mapInArrow(packed, "bucket int, ids binary, position binary, hashes binary")
+    return rows.groupBy("bucket").applyInArrow(answered, "set_id long, shared long, lengths array<long>, terms array<long>")
+
+
+def short_lists(answers: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(block, rep): the terms that a set has among its short lists (step 3
+    above); ``sizes``: set_id, rep, size.  Terms that no other set has come first
+    in the order and are not listed."""
+    need = f"({percent} * size + 99) DIV 100"
+    shared = answers.groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    able = sizes.join(shared, "set_id").where(f"shared >= {need}")
+    whole = answers.select("set_id", F.arrays_zip("lengths", "terms").alias("lists")).join(able, "set_id").groupBy("set_id", "rep", "size", "shared").agg(F.flatten(F.collect_list("lists")).alias("lists"))
+    short = F.slice(F.sort_array("lists"), F.lit(1), F.expr(f"cast(shared - {need} + 1 AS int)"))
+    return whole.select("rep", F.explode(short.getField("terms")).alias("block")).distinct()
+
+
+def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose sizes allow a link; ``sizes``: rep, size."""
+    side = lambda x: sizes.select(F.col("rep").alias(x), F.col("size").alias(f"{x}_size"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_n_shingles") + F.col("b_n_shingles")
-    differ = total - 2 * F.expr(f"({percent} * (a_n_shingles + b_n_shingles) + {99 + percent}) DIV {100 + percent}")
-    step = F.col("a_class") - F.col("b_class")
-    need = F.when(step == 0, F.col("a_here") + F.col("a_after") - 2 * differ - 2).when(step == -1, F.col("b_here") - differ - 1).when(step == 1, F.col("a_here") - differ - 1)
-    return both.where((F.abs(F.col("a_n_shingles") - F.col("b_n_shingles")) <= differ) & (F.col("met") >= F.greatest(need, F.lit(1)))).select("a", "b", "met").distinct()
+    return both.where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")).select(*pairs.columns).distinct()
 
 
 def star_links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, chunk: int = CHUNK) -> DataFrame:
@@ -390,24 +332,24 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     docs = with_key(docs).select(F.col("key").alias("doc_id"), "text")
 
     # equal sets are one row from here on
-    groups = materialise(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.min("doc_id").alias("known"), F.max("n_shingles").alias("size")), "set-groups")
-    # rows of the sets' representatives (a repeated one has several, alike)
-    of = groups.select(F.col("set_key").alias("of_key"), "rep")
-    one = sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("rep", "signatures")
+    keyed = sets.where("set_key IS NOT NULL").groupBy("set_key")
+    groups = materialise(keyed.agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("rep"), F.min("doc_id").alias("known"), F.max("n_shingles").alias("size"), F.min("set_id").alias("set_id")), "set-groups")
     buckets = 8 + int(groups.agg(F.sum("size")).head()[0] or 0) // SHINGLES_PER_BUCKET
-
-    # blocks of several sets; each set that meets a block's first twice is tested against it
-    signed = materialise(shared_signatures(one, buckets).distinct(), "signed")
-    sketches = materialise(sets.join(of, (sets["set_key"] == of["of_key"]) & (sets["key"] == of["rep"])).select("rep", "n_shingles", "parities"), "sketches")
-    plain = materialise(sets.drop("signatures", "parities"), "set-keys")
+    answers = materialise(shared_shingles(sets.where("length(shingles) > 0"), buckets), "shared-shingles")
+    plain = materialise(sets.drop("shingles", "set_id"), "set-keys")
     discard(sets)
-    first = signed.groupBy("block").agg(F.min("rep").alias("first"))
+
+    # blocks of several sets; each set is tested against the first that it meets most often
+    sizes = groups.select("set_id", "rep", "size")
+    signed = materialise(short_lists(answers, sizes, percent), "short-lists")
+    discard(answers)
+    first = signed.groupBy("block").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(signed.join(first, "block"), "members")
     discard(signed)
-    pairs = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    pairs = possible(pairs, sketches, percent)
-    # of several firsts the one that a set meets most often
-    pairs = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("met"), -F.col("a"))).alias("a")).select("a", "b"), "star-pairs")
+    met = members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    sizes = sizes.select("rep", "size")
+    pairs = fitting(met, sizes, percent).groupBy("b").agg(F.max_by("a", F.struct(F.col("met"), -F.col("a"))).alias("a"))
+    pairs = materialise(pairs.select("a", "b"), "star-pairs")
     # only texts that share a block are read again, gathered once
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"]).drop("print"), "texts")
@@ -423,17 +365,17 @@ def keyed_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
         .agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("most"), F.bit_xor("who").alias("who"))
         .where("parts > 1")
         .groupBy("who", "members")
-        .agg(F.min("block").alias("block"), F.max("most").alias("most"), F.count(F.lit(1)).alias("alike"))
-        .select("block", "members", "alike", F.col("most.component").alias("most"), (F.col("members") - F.col("most.size")).alias("askers"))
+        .agg(F.min("block").alias("block"), F.max("most").alias("most"))
+        .select("block", "members", F.col("most.component").alias("most"), (F.col("members") - F.col("most.size")).alias("askers"))
     )
     open_rows = materialise(placed.join(mixed_blocks, "block"), "open-rows")
 
-    # few members: their untested pairs that meet often enough (a pair that meets in a larger block too is found there)
+    # few members: their untested pairs, each once
     few = open_rows.where(F.col("members") <= SMALL)
-    left = few.select("block", "alike", F.col("rep").alias("a"), F.col("component").alias("a_c"))
+    left = few.select("block", F.col("rep").alias("a"), F.col("component").alias("a_c"))
     right = few.select("block", F.col("rep").alias("b"), F.col("component").alias("b_c"))
-    met = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).groupBy("a", "b").agg(F.sum("alike").alias("met"))
-    untested = possible(often_enough(met.join(pairs, ["a", "b"], "left_anti"), sketches, percent), sketches, percent).select("a", "b")
+    open_pairs = left.join(right, "block").where((F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c"))).select("a", "b").distinct()
+    untested = fitting(open_pairs.join(pairs, ["a", "b"], "left_anti"), sizes, percent)
 
     # many members: all outside the largest component query the members, both in chunks
     many = open_rows.where(F.col("members") > SMALL).withColumn("asks", F.col("component") != F.col("most"))

@@ -104,54 +104,55 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_block_signatures_meet_for_all_pairs_at_the_threshold():
+@pytest.mark.parametrize("buckets", [1, 7])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_short_list(spark, percent, buckets):
+    """Every pair at the threshold meets in a block, whatever the lists' order."""
     import numpy as np
 
-    rng = np.random.default_rng(9)
-    for size in [9, 10, 12, 19, 20, 37, 100, 400]:
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-            for drop in range(size // 10 + 1):
-                b = np.sort(np.append(a[drop:], rng.integers(0, 2**63, drop // 2, dtype=np.uint64)))
-                if 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b)) and len(a) != len(b):
-                    assert set(ngram_join.signatures(a)) & set(ngram_join.signatures(b)), (size, drop)
-
-
-def test_linked_sets_meet_as_often_as_their_sizes_require():
-    import numpy as np
-
-    rng, seen = np.random.default_rng(6), 0
-    for _ in range(600):
-        size, percent = int(rng.integers(2, 200)), int(rng.choice([80, 90]))
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-        b = np.unique(np.append(a[int(rng.integers(0, size // 8 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, size // 8 + 1)), dtype=np.uint64)))
-        n, m = len(a), len(b)
-        if np.array_equal(a, b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
-            continue
-        seen += 1
-        met = len(set(ngram_join.signatures(a, percent)) & set(ngram_join.signatures(b, percent)))
-        (c, here, after), (e, there, _) = ngram_join.parts_of(n, percent), ngram_join.parts_of(m, percent)
-        differ = n + m - 2 * ngram_join.least_overlap(n, m, percent)
-        need = here + after - 2 * differ - 2 if c == e else (there if e > c else here) - differ - 1
-        assert abs(c - e) <= 1 and met >= max(need, 1), (n, m, percent, met, need)
-    assert seen > 150
-
-
-def test_parities_never_drop_a_link():
+    rng, sets = np.random.default_rng(percent), []
+    for size in [2, 5, 9, 10, 12, 19, 20, 37, 100, 400]:
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        common = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for _ in range(12):
+            cut, more = (int(rng.integers(0, size * (100 - percent) // 150 + 2)) for _ in range(2))
+            kept = rng.permutation(base)[cut:]
+            sets.append(np.unique(np.concatenate([kept, rng.permutation(common)[:more]])))
+    sets = [s for s in {s.tobytes(): s for s in sets}.values() if ngram_join.has_partners(len(s), percent)]
+    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows + rows[:9], "set_id long, shingles binary").repartition(3)
+    sizes = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "set_id long, rep long, size long")
+    blocks = defaultdict(set)
+    for r in ngram_join.short_lists(ngram_join.shared_shingles(frame, buckets), sizes, percent).collect():
+        blocks[r.rep].add(r.block)
+    seen = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(np.intersect1d(a, sets[j])) >= percent * len(np.union1d(a, sets[j])):
+                seen += 1
+                assert blocks[i] & blocks[j], (len(a), len(sets[j]))
+    assert seen > 30
+
+
+def test_shingles_that_agree_in_their_terms_lose_no_link(spark):
+    """Shingles of one set with the same 32 bits count each."""
     import numpy as np
 
-    rng, dropped = np.random.default_rng(8), 0
-    for _ in range(400):
-        size, percent = int(rng.integers(1, 300)), int(rng.choice([80, 90]))
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-        b = np.unique(np.append(a[int(rng.integers(0, size // 3 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, size // 2 + 2)), dtype=np.uint64)))
-        if not len(b):
-            continue
-        linked = 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
-        may = ngram_join.may_link(len(a), ngram_join.parities(a), len(b), ngram_join.parities(b), percent)
-        assert may or not linked
-        dropped += not may
-    assert dropped > 100
+    low = np.arange(10, dtype=np.uint64)
+    a = np.sort(np.concatenate([low, low[:9] + np.uint64(1 << 32)]))
+    b = np.sort(np.append(a, np.uint64(77)))
+    frame = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes()))], "set_id long, shingles binary")
+    sizes = spark.createDataFrame([(1, 1, len(a)), (2, 2, len(b))], "set_id long, rep long, size long")
+    found = ngram_join.short_lists(ngram_join.shared_shingles(frame, 1), sizes, 90).collect()
+    blocks = {k: {r.block for r in found if r.rep == k} for k in (1, 2)}
+    assert blocks[1] & blocks[2]
+
+
+def test_sets_without_partners():
+    for percent in (80, 90):
+        for n in range(1, 60):
+            want = any(m != n and 100 * min(n, m) >= percent * max(n, m) for m in range(1, 90))
+            assert ngram_join.has_partners(n, percent) == want
 
 
 def test_near_dedup_stage_against_brute_force(spark):

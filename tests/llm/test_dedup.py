@@ -148,6 +148,17 @@ def test_shingles_that_agree_in_their_terms_lose_no_link(spark):
     assert blocks[1] & blocks[2]
 
 
+def test_a_bucket_holds_more_sets_than_a_position_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, bytearray(rng.integers(0, 2**63, 3, dtype=np.uint64).tobytes())) for i in range(68_000)]
+    rows += [(68_000 + k, bytearray(np.arange(k, 20 + k, dtype=np.uint64).tobytes())) for k in range(2)]
+    frame = spark.createDataFrame(rows, "set_id long, shingles binary").coalesce(1)
+    found = ngram_join.shared_shingles(frame, 1).collect()
+    assert {r.set_id: sorted(r.terms) for r in found if r.set_id >= 68_000} == {68_000: list(range(1, 20)), 68_001: list(range(1, 20))}
+
+
 def test_sets_without_partners():
     for percent in (80, 90):
         for n in range(1, 60):

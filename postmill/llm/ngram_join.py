@@ -218,7 +218,7 @@ def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
         kept = np.zeros(sum(map(len, ids)), bool)
         kept[np.unique(np.concatenate(ids), return_index=True)[1]] = True
         starts = np.cumsum([0, *map(len, ids)])
-        position = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + k for x, k in zip(table.column("position").to_pylist(), starts.tolist())])
+        position = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int32) + k for x, k in zip(table.column("position").to_pylist(), starts.tolist())])
         hashes = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()])
         kept = kept[position]
         sets, hashes = np.concatenate(ids)[position[kept]], hashes[kept]

@@ -1,6 +1,6 @@
 """Registered queries of the reference operators, by name."""
 
-from postmill.plans import base, classify, people, positions, scalars, tables  # noqa: F401
+from postmill.plans import base, classify, declared, people, positions, scalars, tables  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -1,10 +1,12 @@
-"""Probe verdicts."""
+"""Probe verdicts and the freshness of listing pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.operators.numbering import numbered
+
 
 def classify_probe(status: Column, n_bytes: Column, links: Column, error: Column) -> Column:
     """struct(verdict, reason) of a source from its probe; an unresolved name
@@ -25,3 +27,26 @@ def classify_probe(status: Column, n_bytes: Column, links: Column, error: Column
         .when(F.coalesce(status, F.lit(0)) != 0, told("redirect_or_error", "HTTP ", status))
         .otherwise(told("failed", F.when(F.coalesce(error, F.lit("")) == "", "no response").otherwise(error)))
     )
+
+
+STATES = ("rolling", "open", "expired", "unknown")
+
+
+def page_counts(listing: DataFrame) -> DataFrame:
+    """Postings of each page (source, page_no) by their status, and what that
+    makes of the page."""
+    c = F.col
+    counts = listing.groupBy("source", "page_no").agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c("status") == s).alias(s) for s in STATES))
+    return counts.withColumns({"has_live": (c("open") > 0) | (c("rolling") > 0), "all_expired": c("expired") == c("total")})
+
+
+def stop_after(listing: DataFrame, run: int = 4) -> DataFrame:
+    """source, stop_after: the first page that ends ``run`` all-expired pages
+    in a row; ``listing``: source, page_no (without gaps), all_expired.
+
+    Expired pages in a row are those whose number less their number among the
+    expired ones is the same; a row's pages are then an aggregate.
+    """
+    stale = numbered(listing.where("all_expired").select("source", "page_no"), "page_no", keys=("source",), name="nth")
+    rows = stale.groupBy("source", (F.col("page_no") - F.col("nth")).alias("island")).agg(F.min("page_no").alias("first"), F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("n") >= run).groupBy("source").agg((F.min("first") + run - 1).alias("stop_after"))

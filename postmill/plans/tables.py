@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, gates, titles, urls
-from postmill.operators import dedupe, pages, ranking, scoring
+from postmill.operators import dedupe, health, numbering, pages, ranking, scoring
 from postmill.plans.base import AS_OF, query
 from postmill.plans.scalars import _DATE_ORACLE
 from postmill.sources.postings import CRAWL_LOGS_ORACLE, SOURCE_RUNS_ORACLE, crawl_logs, postings, source_runs, spread_postings, table
+from postmill.streaming import jobs
 
 C = F.col
 
@@ -63,20 +64,26 @@ w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY leng
 """
 
 
+def live(spark, d):
+    """What is published, one row per URL, not numbered yet.  Rows are dealt
+    out before the gates where the table is one file; only those that pass every
+    gate reach the shuffle by URL."""
+    kept = gated(spread_postings(spark, d)).where("reason = 'ok'").select(
+        "seq", "title", "university", "country", "url", "context", "fit", C("deadline.status").alias("deadline_status"), C("deadline.value").cast("string").alias("deadline_date")
+    )
+    return dedupe.longest_context(kept).withColumn("description", F.left("context", F.lit(400))).drop("context")
+
+
 @query("q_published_positions", _FINAL + """
 SELECT 'pd-' || printf('%03d', row_number() OVER (ORDER BY fit DESC, seq)) AS id, seq, title, university, country, url, fit,
        CASE WHEN fit >= 75 THEN 'HIGH' WHEN fit >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS tier, status AS deadline_status, CAST(value AS VARCHAR) AS deadline_date, left(context, 400) AS description
 FROM w
 """)
 def published(spark, d):
-    """Gates, longest-context dedupe, rank, number: the flagship query.  Only
-    rows that pass every gate reach the shuffle."""
-    kept = gated(spread_postings(spark, d)).where("reason = 'ok'").select("seq", "title", "university", "country", "url", "context", "fit", C("deadline.status").alias("status"), C("deadline.value").alias("value"))
-    best = dedupe.longest_context(kept)
-    n = F.row_number().over(Window.orderBy(F.desc("fit"), "seq"))  # the published list: one row per live URL, not per posting
-    return best.withColumn("n", n).select(
-        F.format_string("pd-%03d", "n").alias("id"), "seq", "title", "university", "country", "url", "fit", scoring.tier(C("fit"), 75, 55).alias("tier"),
-        C("status").alias("deadline_status"), C("value").cast("string").alias("deadline_date"), F.left("context", F.lit(400)).alias("description"),
+    """Gates, longest-context dedupe, rank, number: the flagship query."""
+    n = numbering.numbered(live(spark, d), F.desc("fit"), "seq")
+    return n.select(
+        F.format_string("pd-%03d", "n").alias("id"), "seq", "title", "university", "country", "url", "fit", scoring.tier(C("fit"), 75, 55).alias("tier"), "deadline_status", "deadline_date", "description",
     )
 
 
@@ -146,8 +153,8 @@ def top_list(spark, d):
 
 @query("w13_digest_batches", "SELECT c_custkey, CAST((rn - 1) // 50 AS BIGINT) AS batch FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer)", postings=False)
 def digest_batches(spark, d):
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", F.floor((n - 1) / 50).alias("batch"))
+    rows = numbering.numbered(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_custkey", keys=("c_nationkey",))
+    return rows.select("c_custkey", F.floor((C("n") - 1) / 50).alias("batch"))
 
 
 @query("j05_cache_merge", """
@@ -178,7 +185,7 @@ def histograms(spark, d):
 
 @query("g03_g04_publish_meta", _FINAL + "SELECT count(*) AS total, count(DISTINCT university) AS universities, count(value) AS with_deadline, count(*) FILTER (country <> '') AS with_country, count(*) FILTER (fit >= 75) AS high FROM w")
 def publish_meta(spark, d):
-    p = published(spark, d)
+    p = live(spark, d)
     return p.agg(row_count().alias("total"), F.countDistinct("university").alias("universities"), F.count("deadline_date").alias("with_deadline"), F.count_if(C("country") != "").alias("with_country"), F.count_if(C("fit") >= 75).alias("high"))
 
 
@@ -239,7 +246,7 @@ UNION ALL SELECT 'status_domain', count(*) FILTER (status NOT IN ('open', 'unkno
 UNION ALL SELECT 'repeated_url', CAST(count(*) - count(DISTINCT rtrim(split_part(url, '?', 1), '/')) AS BIGINT) FROM w
 """)
 def published_checks(spark, d):
-    p = published(spark, d)
+    p = live(spark, d)
     one = p.agg(
         F.count_if(C("title") == "").alias("a"), F.count_if(~C("url").startswith("https://")).alias("b"), F.count_if((C("fit") < 0) | (C("fit") > 100)).alias("c"),
         F.count_if(~C("deadline_status").isin("open", "unknown", "rolling")).alias("d"), (row_count() - F.countDistinct(urls.canonical(C("url"), True))).alias("e"),
@@ -283,12 +290,12 @@ g AS (SELECT source, page_no, count(*) AS total, count(*) FILTER (contains(conte
 SELECT source, page_no, total, rolling, open, expired, total - rolling - open - expired AS unknown, open > 0 OR rolling > 0 AS has_live, expired = total AS all_expired FROM g
 """)
 def page_freshness(spark, d):
-    rows = spread_postings(spark, d).select("source", "seq", "context")
-    page = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("seq")) - 1) / 20).cast("int") + 1
+    """Pages are the postings of a source by twenties.  Each posting's state is
+    settled where it is read, so that no text is sorted."""
     c = C("context")
-    listing = rows.withColumn("page_no", page).withColumn("status", F.when(dates.is_rolling(c), "rolling").otherwise(dates.deadline(c, as_of())["status"]))
-    counts = listing.groupBy("source", "page_no").agg(row_count().alias("total"), *(F.count_if(C("status") == s).alias(s) for s in ("rolling", "open", "expired", "unknown")))
-    return counts.withColumns({"has_live": (C("open") > 0) | (C("rolling") > 0), "all_expired": C("expired") == C("total")})
+    status = F.when(dates.is_rolling(c), "rolling").otherwise(dates.deadline(c, as_of())["status"])
+    listing = numbering.numbered(spread_postings(spark, d).select("source", "seq", status.alias("status")), "seq", keys=("source",))
+    return health.page_counts(listing.withColumn("page_no", F.floor((C("n") - 1) / 20).cast("int") + 1))
 
 
 @query("d16_stop_rule", """
@@ -299,11 +306,9 @@ SELECT source, CAST(min(page_no) AS INT) AS stop_after FROM k WHERE run >= 4 GRO
 """, postings=False)
 def stop_rule(spark, d):
     """First page that ends four all-expired pages in a row, per source."""
-    e = table(spark, d, "events")
-    order = Window.partitionBy("source").orderBy("page_no")
-    h = e.select((C("user_id") % 20).cast("int").alias("source"), "event_id", C("event_type").isin("view", "click").alias("all_expired")).withColumn("page_no", F.row_number().over(Window.partitionBy("source").orderBy("event_id")))
-    stale = F.min(C("all_expired").cast("int")).over(order.rowsBetween(-3, 0)) == 1
-    return h.withColumn("stop", stale & (C("page_no") >= 4)).where("stop").groupBy("source").agg(F.min("page_no").alias("stop_after"))
+    e = table(spark, d, "events").select((C("user_id") % 20).cast("int").alias("source"), "event_id", C("event_type").isin("view", "click").alias("all_expired"))
+    listing = numbering.numbered(e, "event_id", keys=("source",), name="page_no")
+    return health.stop_after(listing, 4).select("source", C("stop_after").cast("int").alias("stop_after"))
 
 
 @query("e01_e08_sets", """
@@ -396,7 +401,7 @@ SELECT c_custkey, seq, CAST(rank AS INT) AS rank FROM m WHERE rank <= 3
 def alerts(spark, d):
     """Subscriptions meet positions by country; what was sent stays out."""
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), C("c_nationkey") == C("n_nationkey")).select("c_custkey", C("n_name").alias("country"), (40 + C("c_custkey") % 50).alias("least"))
-    found = c.join(published(spark, d).select("seq", "country", "fit"), "country").where(C("fit") >= C("least"))
+    found = c.join(live(spark, d).select("seq", "country", "fit"), "country").where(C("fit") >= C("least"))
     fresh = found.where((C("c_custkey") + C("seq")) % 7 != 0)
     return ranking.top_per(fresh, "c_custkey", [F.desc("fit"), C("seq")], 3).select("c_custkey", "seq", "rank")
 
@@ -406,6 +411,6 @@ SELECT source, CAST(date_trunc('day', started_at) AS VARCHAR) AS day, count(*) A
 """, postings=False)
 def log_windows(spark, d):
     """Tumbling day windows of the logs that retention keeps."""
-    logs = crawl_logs(spark, d).where("started_at >= TIMESTAMP_NTZ '2024-01-05 00:00:00'")
+    logs = jobs.retained(crawl_logs(spark, d), F.lit("2024-01-31").cast("date"), 26)
     day = F.date_format(F.window("started_at", "1 day")["start"], "yyyy-MM-dd HH:mm:ss")
     return logs.groupBy("source", day.alias("day")).agg(row_count().alias("n"), F.count_if(C("success")).alias("ok"))

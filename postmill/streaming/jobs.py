@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postmill.functions.urls import canonical
+from postmill.sources.scratch import shared_folder
 
 
 def dedupe_stream(postings: DataFrame, within: str = "1 day") -> DataFrame:
@@ -26,21 +29,54 @@ def log_health(logs: DataFrame, window: str = "1 day", late: str = "2 days") ->
 
 
 def stale_stop(pages: DataFrame, run: int = 4) -> DataFrame:
-    """Pages of a source in arrival order; ``stop`` once ``run`` pages in a
-    row held nothing but expired postings.  State: one counter per source."""
+    """Pages of a source by number; ``stop`` once ``run`` pages in a row held
+    nothing but expired postings.  Pages that arrive before their turn wait in
+    the state, which is the next number, a counter and those pages."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (count,) = state.get if state.exists else (0,)
+        due, count, early = state.get if state.exists else (1, 0, "{}")
+        waiting = json.loads(early)
         for frame in frames:
-            frame = frame.sort_values("page_no")
-            stops = []
-            for total, expired in zip(frame["total"], frame["expired"]):
-                count = count + 1 if total > 0 and total == expired else 0
-                stops.append(count >= run)
-            yield pd.DataFrame({"source": key[0], "page_no": frame["page_no"], "stop": stops})
-        state.update((count,))
+            stale = (frame["total"] > 0) & (frame["total"] == frame["expired"])
+            waiting.update(zip(map(str, frame["page_no"].tolist()), stale.tolist()))
+        numbers, stops = [], []
+        while (now := waiting.pop(str(due), None)) is not None:
+            count = count + 1 if now else 0
+            numbers.append(due)
+            stops.append(count >= run)
+            due += 1
+        state.update((due, count, json.dumps(waiting)))
+        if numbers:
+            yield pd.DataFrame({"source": [key[0]] * len(numbers), "page_no": numbers, "stop": stops})
+
+    return pages.groupBy("source").applyInPandasWithState(step, "source string, page_no int, stop boolean", "due int, count int, early string", "append", GroupStateTimeout.NoTimeout)
+
+
+def last_good(runs: DataFrame) -> DataFrame:
+    """What a cache holds of each source after each batch of ``runs`` (source,
+    started_at, n, note): the newest run that returned rows stays (fetched_at,
+    n) whatever fails after it; last_error and last_error_at are those of the
+    newest failure since.  The order in which runs arrive does not matter.
+    """
+    schema = "source string, fetched_at timestamp, n long, last_error string, last_error_at timestamp"
 
-    return pages.groupBy("source").applyInPandasWithState(step, "source string, page_no int, stop boolean", "count int", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        good, n, bad, note = state.get if state.exists else (-1, 0, -1, "")
+        for frame in frames:
+            at = frame["started_at"].astype("datetime64[us]").astype("int64")
+            won = frame["n"] > 0
+            if won.any() and at[won].max() > good:
+                best = at[won].idxmax()
+                good, n = int(at[best]), int(frame["n"][best])
+            if (~won).any() and at[~won].max() > bad:
+                worst = at[~won].idxmax()
+                bad, note = int(at[worst]), str(frame["note"][worst])
+        state.update((good, n, bad, note))
+        when = lambda t: pd.Series([pd.Timestamp(t, unit="us") if t >= 0 else pd.NaT], dtype="datetime64[us]")
+        failing = bad > good
+        yield pd.DataFrame({"source": [key[0]], "fetched_at": when(good), "n": [n], "last_error": [note if failing else None], "last_error_at": when(bad if failing else -1)})
+
+    return runs.groupBy("source").applyInPandasWithState(step, schema, "good long, n long, bad long, note string", "update", GroupStateTimeout.NoTimeout)
 
 
 def keep_last_good(cached_path: str):
@@ -69,3 +105,31 @@ def new_alerts(positions: DataFrame, sent: DataFrame, least: int = 75, late: str
 def retained(logs: DataFrame, as_of, days: int = 90) -> DataFrame:
     """Rows young enough to keep."""
     return logs.where(F.datediff(as_of, F.to_date("started_at")) <= days)
+
+
+def arriving(table: DataFrame, order: str, files: int = 8, a_batch: int = 2) -> DataFrame:
+    """A table at rest as a stream of ``files`` files in the shared folder,
+    ``a_batch`` of them a micro-batch."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    table.repartitionByRange(files, order).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", a_batch).parquet(path)
+
+
+def drained(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all that has arrived and return its result.  Without
+    ``keys`` its rows are appended; with them the last row of each key counts
+    (update mode).  Each batch is a folder named by its number and written as a
+    whole, so that a batch that is run again replaces what it wrote before."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    run = stream.writeStream.foreachBatch(keep).outputMode("update" if keys else "append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{path}/rows")
+    if not keys:
+        return rows.drop("batch")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")

@@ -82,3 +82,46 @@ def test_cache_generations(spark, tmp_path):
     merge(spark.createDataFrame([("a", "3")], schema), 1)
     got = {(r.source, r.url) for r in spark.read.parquet(f"{tmp_path}/cache/1").collect()}
     assert got == {("a", "3"), ("b", "2")}
+
+
+def test_stream_stale_stop_waits_for_pages(spark, tmp_path):
+    """Pages arrive backwards, a batch for each file."""
+    for i in range(10, 0, -1):
+        spark.createDataFrame([("s", i, 20, 0 if i <= 2 else 20), ("t", i, 20, 0)], "source string, page_no int, total int, expired int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, page_no int, total int, expired int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.source, r.page_no): r.stop for r in jobs.drained(jobs.stale_stop(stream)).collect()}
+    assert len(got) == 20 and {k for k, stop in got.items() if stop} == {("s", i) for i in range(6, 11)}
+
+
+def test_stream_last_good_in_any_order(spark):
+    rows = [("a", 1, 5, ""), ("a", 3, 0, "down"), ("a", 2, 7, ""), ("b", 4, 0, "dns"), ("b", 2, 0, "old"), ("c", 1, 0, "x"), ("c", 2, 9, "")]
+    runs = spark.createDataFrame(rows, "source string, day int, n long, note string").withColumn("started_at", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, day)")).drop("day")
+    for order in ("started_at", "note"):
+        got = {r.source: (r.fetched_at and r.fetched_at.day, r.n, r.last_error, r.last_error_at and r.last_error_at.day) for r in jobs.drained(jobs.last_good(jobs.arriving(runs, order, files=4, a_batch=1)), keys=("source",)).collect()}
+        assert got == {"a": (3, 7, "down", 4), "b": (None, 0, "dns", 5), "c": (3, 9, None, None)}
+
+
+def test_stream_drops_late_copies_only_within_the_watermark(spark):
+    rows = [("https://a/1", 0), ("https://a/1?x", 1), ("https://a/2", 200), ("https://a/1", 201)]
+    df = spark.createDataFrame(rows, "url string, hour int").withColumn("event_time", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, hour)"))
+    kept = jobs.drained(jobs.dedupe_stream(jobs.arriving(df, "hour", files=4, a_batch=1).drop("hour")))
+    assert 2 <= kept.count() <= 3 and kept.where("key = 'https://a/2'").count() == 1
+
+
+def test_streams_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "source string, started_at timestamp, n long, note string")
+    assert jobs.drained(jobs.last_good(jobs.arriving(empty, "started_at")), keys=("source",)).count() == 0
+
+
+def test_retained(spark):
+    logs = spark.createDataFrame([("2024-01-01",), ("2024-01-31",)], "started_at string")
+    assert jobs.retained(logs, F.lit("2024-02-01").cast("date"), 30).count() == 1
+
+
+def test_stop_after(spark):
+    from postmill.operators import health
+
+    runs = {"a": "eeexeeee", "b": "eee", "c": "eeeeeeee", "d": "xxxx"}
+    rows = [(s, i + 1, c == "e") for s, text in runs.items() for i, c in enumerate(text)]
+    got = {r.source: r.stop_after for r in health.stop_after(spark.createDataFrame(rows, "source string, page_no int, all_expired boolean"), 4).collect()}
+    assert got == {"a": 8, "c": 4}

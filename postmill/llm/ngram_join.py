@@ -412,12 +412,14 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     doc_id (same columns).  Of a component whose doc_ids are all null one row
     is kept; texts without words are all kept, each a component of its own."""
     found = keyed_components(docs, words, percent)
-    firsts = materialise(found.where("key = first_key").select(F.col("key").alias("__kept"), F.col("doc_id").isNull().alias("__null")).distinct(), "kept")
-    known = docs.where("doc_id IS NOT NULL").join(firsts.where("NOT __null"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # few rows lose, so the table of those is the smaller side of the join
+    verdicts = found.groupBy(F.col("key").alias("__key"), F.col("doc_id").isNull().alias("__null")).agg(F.bool_or(F.col("key") == F.col("first_key")).alias("__first"))
+    firsts = materialise(verdicts.where("__null = __first"), "verdicts")  # losers that have a doc_id, winners that have none
+    known = docs.where("doc_id IS NOT NULL").join(firsts.where("NOT __null"), F.col("doc_id") == F.col("__key"), "left_anti")
     unnamed = docs.where("doc_id IS NULL")
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    keyed = unnamed.where(~wordless).withColumn("__key", F.xxhash64("text"))
-    once = keyed.join(firsts.where("__null"), F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    keyed = unnamed.where(~wordless).withColumn("__text_key", F.xxhash64("text"))
+    once = keyed.join(firsts.where("__null"), F.col("__text_key") == F.col("__key"), "left_semi").dropDuplicates(["__text_key"]).select(*docs.columns)
     return known.unionAll(once).unionAll(unnamed.where(wordless))
 
 

@@ -146,9 +146,12 @@ def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string"))))
     found = scan(keyed, findings, doc_id="__key").where("is_secret")
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets")).withColumnRenamed("doc_id", "__id")
-    joined = keyed.join(per_doc, F.col("__key") == F.col("__id"), "left")
-    clean = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK))))
-    return joined.withColumn("text", clean).withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    may = F.coalesce(F.col("text").rlike(RUN), F.lit(False))  # others have no candidate, so they need not travel
+    joined = keyed.where(may).join(per_doc, F.col("__key") == F.col("__id"), "left")
+    masked = F.aggregate("__secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    has = F.col("__secrets").isNotNull()
+    clean = joined.withColumn("text", F.when(has, masked).otherwise(F.col("text"))).withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return keyed.where(~may).select(*docs.columns).unionAll(clean.select(*docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

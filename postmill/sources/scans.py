@@ -16,6 +16,8 @@ POSTING = "title string, url string, source string, source_label string, context
 RUN = "n long, note string, method string, http_note string"
 SOURCE = "name string, label string, url string, search_url string, region string, country string, tier int, source_type string, needs_browser boolean, status string, is_board boolean, max_pages int, stale_page_run int"
 
+REGISTRY = "name string, label string, url string, search_url string, region string, country string, tier string, source_type string, needs_browser boolean, verify_tls boolean, status string, notes string, is_board boolean, max_pages int, stale_page_run int"
+
 
 def scan_postings(spark: SparkSession, artefacts: list[tuple[str, str, str]]) -> DataFrame:
     """Several artefacts (path, origin, default label) as one table: defaults
@@ -49,6 +51,24 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SOURCE).json(path)
 
 
+def scan_registry(spark: SparkSession, path: str, section: str = "sources") -> DataFrame:
+    """The source registry as YAML: a section that is a list of flat records.
+    One file is one row; its records, and then their fields, are cut out of it by
+    built-in functions.  A value may go on over further, deeper indented lines,
+    and may be quoted; a field that a record lacks is null."""
+    text = spark.read.text(path, wholetext=True).select(F.concat(F.lit("\n"), F.regexp_replace("value", "\r\n?", "\n"), F.lit("\n")).alias("t"))
+    body = F.regexp_extract("t", rf"(?s)\n{section}:[^\n]*\n(.*?)(?=\n[A-Za-z_]|$)", 1)
+    records = text.select(F.explode(F.filter(F.split(body, r"(?m)^ *- +(?=[a-z_]+:)"), lambda x: F.trim(x) != "")).alias("r"))
+    flat = records.select(F.regexp_replace("r", r"\n {3,}(?![a-z_]+: |[a-z_]+:\n)", " ").alias("r"))
+
+    def field(name: str, kind: str):
+        raw = F.regexp_extract("r", rf"(?m)^ *{name}: *(.*?) *$", 1)
+        bare = F.when(raw.rlike("^'.*'$"), F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))).when(raw.rlike('^".*"$'), F.substr(raw, F.lit(2), F.length(raw) - 2)).when((raw != "") & (raw != "null"), raw)
+        return (bare if kind == "string" else bare.try_cast(kind)).alias(name)
+
+    return flat.select(*(field(*f.split()) for f in REGISTRY.split(", ")))
+
+
 def boards_of(sources: DataFrame) -> DataFrame:
     return sources.where("coalesce(is_board, true)")
 

@@ -79,6 +79,12 @@ def absolute(url: Column, base: Column) -> Column:
     )
 
 
+def resolved(url: Column, base: Column) -> Column:
+    """A link's address as seen from the page at ``base``, its fragment kept."""
+    fragment = F.regexp_extract(url, "(#.*)$", 1)
+    return F.concat(absolute(url, base), fragment)
+
+
 def normalise(url: Column, base: Column) -> Column:
     """Absolute http(s) URL: lower-case host, no fragment, no tracking
     parameters, no trailing slash; empty where it is none."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postmill.functions import fixed, gates, titles, urls
 from postmill.functions.dates import deadline, is_rolling
 from postmill.functions.fixed import rule
+from postmill.operators.cards import linked_cards
 
 ANCHOR = r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a\s*>"
 
@@ -92,25 +93,37 @@ def careers_links(pages: DataFrame, most: int = 5) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most).select("page_id", "n", "url", "text")
 
 
-def harvest(pages: DataFrame, as_of: Column, limit: int = 80, around: int = 400) -> DataFrame:
-    """Postings of listing pages: links that look like postings in a relevant
-    card and are no furniture or banner; a title that is furniture comes from
-    the address; the deadline comes from the card; the first of each key, in
-    page order, at most ``limit``.  A link's card is what stands between it and
-    the next link, at most ``around`` characters."""
-    parts = F.split(F.col("html"), r"(?i)<a\b")
-    cards = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.left(plain(F.regexp_replace(F.concat(F.lit("<a"), x), "<[^>]*$", " ")), F.lit(around)))
-    # the n-th piece starts with the n-th <a, of which those with an address are anchors
-    own = pages.select("page_id", "url", F.posexplode(F.arrays_zip(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.lit("<a"), x)).alias("a"), cards.alias("card"))).alias("pos", "c"))
-    href = F.regexp_extract("c.a", r"(?is)^<a\b[^>]*href\s*=\s*[\"']([^\"'#]+)[\"'][^>]*>", 1)
-    found = own.select("page_id", "pos", urls.canonical(urls.normalise(href, F.col("url"))).alias("url"), plain(F.regexp_extract("c.a", r"(?is)^<a\b[^>]*>(.*?)(?:</a\s*>|$)", 1)).alias("text"), F.col("c.card").alias("card")).where("url <> ''")
-    t = F.col("text")
-    title = F.when(gates.is_chrome(t), titles.title_from_slug(F.col("url"), F.lit(""))).otherwise(t)
-    good = gates.is_posting_link(F.col("url"), t) & gates.relevance(F.concat_ws(" ", "text", "card")) & ~gates.is_banner(t)
-    rows = found.where(good).withColumn("title", title).where("title <> ''")
-    ranked = first_links(rows).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit)
-    d = deadline(F.col("card"), as_of)
-    return ranked.select("page_id", "n", "url", F.left("title", F.lit(180)).alias("title"), F.left("card", F.lit(700)).alias("context"), d["raw"].alias("deadline"), d["value"].alias("deadline_date"), d["status"].alias("deadline_status"))
+def harvest(pages: DataFrame, as_of: Column, limit: int = 80) -> DataFrame:
+    """Postings of listing pages, the first of each address, in page order, at
+    most ``limit`` a page.
+
+    A link's title is the heading of its card where that is 13 to 199 characters
+    long, else its own text; where that is no longer than 12, the first words of
+    the row around it.  It must look like a posting, its card must be relevant and
+    its title be no banner; a title of up to three words gives way to the address
+    where that spells one.  The deadline comes from title and card.
+    """
+    links = linked_cards(pages)
+    href, text, head, row = F.col("href"), F.col("text"), F.col("heading"), F.col("row_text")
+    link = links.withColumn("url", F.when(href.rlike("^(https?:)?//"), href).otherwise(urls.resolved(href, F.col("page_url"))))
+    own = F.when((F.length(head) > 12) & (F.length(head) < 200), head).otherwise(text)
+    short = (F.length(own) <= 12) & F.col("card").isNotNull() & (F.length(row) > 12)
+    title = F.when(short, F.coalesce("row_first", F.lit(""))).otherwise(own)
+    named = link.where(F.col("url").startswith("http") & ~F.col("url").rlike("(?i)#(main|content|accept|refuse|cookie)")).withColumn("title", title)
+    context = F.left(F.when((F.length("title") <= 12) & row.isNotNull(), row).otherwise(F.coalesce("card", "text")), F.lit(700))
+    shown = F.when(F.length("title") > 12, F.col("title")).otherwise(text)
+    rows = named.where(gates.is_posting_link(F.col("url"), shown)).withColumn("context", context).where(gates.relevance(F.col("context"))).withColumn("key", F.rtrim(F.substring_index("url", "?", 1), F.lit("/")))
+    told = F.coalesce(F.nullif("title", F.lit("")), "text")
+    kept = rows.withColumn("title", told).where(~gates.is_banner(F.trim("title")))
+    first = kept.groupBy("page_id", "key").agg(F.min(F.struct("pos", "url", "title", "context")).alias("f")).select("page_id", "f.*")
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= limit)
+    final = ranked.withColumn("title", titles.title_from_address(F.col("url"), F.col("title")))
+    whole = F.concat_ws(" ", "title", "context")
+    dated = final.withColumn("d", F.explode(F.array(deadline(whole, as_of)))).withColumn("rolling", is_rolling(whole))
+    return dated.select(
+        "page_id", "n", "url", F.left(F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")), F.lit(180)).alias("title"), "context", F.col("d.raw").alias("deadline"), F.col("d.value").alias("deadline_date"),
+        F.when(F.col("rolling"), "rolling").otherwise(F.col("d.status")).alias("deadline_status"),
+    )
 
 
 def verified_boards(pages: DataFrame, as_of: Column) -> DataFrame:

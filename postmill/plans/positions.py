@@ -242,8 +242,9 @@ def exclusions(spark, d):
 
 
 def _listing(spark, d):
-    """Listing pages made of the postings: one for each 40 of a source."""
-    p = postings(spark, d).select("seq", "url", "title", "context", ((C("seq") / 10_000_000_000).cast("long") % 997).alias("page_id"))
+    """Listing pages made of the postings: one for each ten orders, so that
+    pages grow in number and not in length."""
+    p = postings(spark, d).select("seq", "url", "title", "context", (C("seq") / 100_000_000_000).cast("long").alias("page_id"))
     link = F.format_string('<li><a href="%s">%s</a> %s</li>', "url", "title", "context")
     rows = p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", link.alias("h"))))["h"], "\n").alias("items"))
     page = F.concat(F.lit('<html><h1>Research jobs</h1><a href="/home">Home</a> <a href="/careers">Careers at Example</a> <a href="/about-us">About</a> <a href="https://other.net/jobs">Other jobs</a>'), "items", F.lit('<a href="?page='), (F.col("page_id") % 4 + 2).cast("string"), F.lit('">Next page</a></html>'))
@@ -257,7 +258,7 @@ def harvest(spark, d):
 
 @query("f23_verified_boards", None)
 def verified_boards(spark, d):
-    return pages.verified_boards(_listing(spark, d).unionByName(table(spark, d, "pages").select((C("page_id") + 1000).alias("page_id"), "url", "html")), as_of())
+    return pages.verified_boards(_listing(spark, d).unionByName(table(spark, d, "pages").select((-1 - C("page_id")).alias("page_id"), "url", "html")), as_of())
 
 
 @query("h02_board_links", None)
@@ -265,14 +266,24 @@ def board_links(spark, d):
     return pages.board_links(_listing(spark, d)).select("page_id", "rank", "url", "text", "score")
 
 
-@query("h04_h10_vacancy_next", None)
+_LINKED = f"""
+, l AS (SELECT seq, seq // 100000000000 AS page_id, title, url AS raw, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) || '?page=2' ELSE rtrim(url, '/') END AS u FROM p WHERE NOT contains(url, '#')),
+v AS (SELECT page_id, arg_min(title, seq) AS title FROM l WHERE length(title) BETWEEN 15 AND 240 AND {sql_like('u', fixed.DETAIL_LINK)} AND {sql_like('title', fixed.ROLE_TITLE)} AND NOT {sql_like('title', fixed.BROWSE_TEXT)} AND NOT {sql_like('title', fixed.STUDENT_SUPPORT)} GROUP BY page_id, u),
+n AS (SELECT page_id, count(*) AS vacancies, count(*) FILTER ({sql_like('title', fixed.DOCTORAL_ROLE)}) AS doctoral FROM v GROUP BY page_id), g AS (SELECT DISTINCT seq // 100000000000 AS page_id FROM p)
+"""
+
+
+@query("h04_h10_vacancy_next", _LINKED + "SELECT page_id, coalesce(vacancies, 0) AS vacancies, coalesce(doctoral, 0) AS doctoral, 'https://list.example.org/jobs?page=' || CAST(page_id % 4 + 2 AS VARCHAR) AS next_url FROM g LEFT JOIN n USING (page_id)")
 def vacancy_next(spark, d):
     p = _listing(spark, d)
     v = pages.vacancy_links(p).groupBy("page_id").agg(row_count().alias("vacancies"), F.count_if("is_phd").alias("doctoral"))
     return p.select("page_id").join(v, "page_id", "left").join(pages.next_page(pages.anchors(p)), "page_id", "left").select("page_id", F.coalesce("vacancies", F.lit(0).cast("long")).alias("vacancies"), F.coalesce("doctoral", F.lit(0).cast("long")).alias("doctoral"), "next_url")
 
 
-@query("h05_h07_links", None)
+@query("h05_h07_links", _LINKED + f"""
+SELECT page_id, count(DISTINCT u) FILTER (length(title) >= 20 AND NOT {sql_like('title', fixed.NOISE_TEXT)} AND ({sql_like('title', fixed.DOCTORAL_TEXT)} OR {sql_like('title', fixed.JOB_TEXT)})) AS recovered, 2 AS careers, 4 + count(DISTINCT split_part(raw, '&', 1)) AS results
+FROM g LEFT JOIN l USING (page_id) GROUP BY page_id
+""")
 def other_links(spark, d):
     p = _listing(spark, d)
     hits = p.withColumn("html", F.regexp_replace("html", 'href="https://board', 'href="https://duck.example/l/?uddg=https%3A%2F%2Fboard'))
@@ -312,7 +323,11 @@ def enrichment_counts(spark, d):
     return pages.enrichment_counts(enrich(spark, d))
 
 
-@query("h24_g18_best_page", None)
+@query("h24_g18_best_page", _LINKED + """
+, c AS (SELECT page_id, page_id % 9 AS university, coalesce(vacancies, 0) AS vacancies FROM g LEFT JOIN n USING (page_id)),
+b AS (SELECT university, arg_max(page_id, vacancies * 1000000000 - page_id) AS page_id, max(vacancies) AS vacancies, CAST(sum(vacancies) AS BIGINT) AS total FROM c GROUP BY university)
+SELECT *, CASE WHEN vacancies >= 3 THEN 'JOB_LIST' WHEN vacancies > 0 THEN 'LANDING' ELSE 'NONE' END AS status FROM b
+""")
 def best_page(spark, d):
     """The page with most vacancies for each university."""
     p = _listing(spark, d)

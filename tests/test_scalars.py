@@ -91,10 +91,10 @@ def test_board_links_are_ranked(spark):
 
 
 def test_harvest_and_next_page(spark):
-    html = '<a href="/job/1">PhD in Gait</a> at a university, deadline 2030-01-01<a href="/job/1#x">again</a><a href="/job/2/">Doctoral candidate in X</a> research<a href="/home">Home</a><a href="/list?page=2">Next</a>'
+    html = '<ul><li><a href="/job/1">PhD in Gait</a> at a university, deadline 2030-01-01<li><a href="/job/1?x">again</a></li><li><a href="/job/2/">Doctoral candidate in X</a> research</ul><a href="/home">Home</a><a href="/list?page=2">Next</a>'
     df = spark.createDataFrame([(1, "https://www.uni.org/list", html)], "page_id long, url string, html string")
     got = pages.harvest(df, F.lit("2026-06-01").cast("date")).orderBy("n").collect()
-    assert [(r.url, r.deadline_status) for r in got] == [("https://www.uni.org/job/1", "open"), ("https://www.uni.org/job/2", "unknown")]
+    assert [(r.url, r.deadline_status) for r in got] == [("https://www.uni.org/job/1", "open"), ("https://www.uni.org/job/2/", "unknown")]
     assert pages.next_page(pages.anchors(df)).head().next_url == "https://www.uni.org/list?page=2"
 
 

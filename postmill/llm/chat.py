@@ -1,10 +1,10 @@
 """Operator 2, chat formatting with schema fingerprints.
 
 Records arrive as JSON text or as variants, in whatever layout their source
-uses.  A record's fingerprint is the hash of its nested field paths, types and
-optional fields left out; a small declarative table maps fingerprints to the
-fields that make turns, so that a new layout is a new row of that table, not new
-code.  Each matched record
+uses.  A record's fingerprint is the hash of its nested field paths and of the
+kinds of their scalars (integer, string, null, other), optional fields left out;
+a small declarative table maps fingerprints to the fields that make turns, so
+that a new layout is a new row of that table, not new code.  Each matched record
 becomes canonical turns (conv_id, turn, role, text), and a conversation's
 turns become one training sample in the template
 
@@ -24,8 +24,12 @@ their number (null first), then role, then text; repeated rows repeat their
 turns; a record of an unknown layout, or whose JSON cannot be read (such as one
 with a string beyond the reader's 20 million characters, which as a variant
 is no limit), ends the job with an error unless the caller asks to skip such
-records, and ``unknown_layouts`` counts them; a record with an empty array of
-turns has none; rows with a null conv_id are one conversation; a text may be as
+records, and ``unknown_layouts`` counts them (a record whose turns are texts or
+numbers instead of objects, or that lacks the id that its layout asks for, is of
+an unknown layout); a record with an empty array of turns has none, one with a
+turn that is null ends the job; ids are integers, or texts where ``ids`` asks for
+them (an integer and the text of its digits are then one id), and a text where
+integers are asked for ends the job; rows with a null conv_id are one conversation; a text may be as
 long as a variant, 128 MB, and longer ones end the job; an empty table gives an
 empty result; further columns of the conversations table are ignored.
 """
@@ -33,6 +37,8 @@ empty result; further columns of the conversations table are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,17 +49,19 @@ from postmill.llm.shared import bounded_batches
 
 OPEN, CLOSE = "<s>[INST] ", "[/INST]</s>"
 
-#: Declarative mappings by shape (field names in order, types as ``_``): the
-#: conversation's id and either one turn per record, an array of turns, or
-#: single fields with their roles in order.
+#: Declarative mappings by shape: field names in order, the kinds of scalar that
+#: each may hold (n: integer, s: string, v: null), then the conversation's id and
+#: either one turn per record, an array of turns, or single fields with their
+#: roles in order.  Only a turn's record may lack an id; ``ARRAY<v>`` is an array
+#: without turns.
 LAYOUTS = (
-    {"shape": "OBJECT<conv_id: _, role: _, text: _, turn: _>", "id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
-    {"shape": "OBJECT<id: _, messages: ARRAY<OBJECT<content: _, role: _>>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
-    {"shape": "OBJECT<conversations: ARRAY<OBJECT<from: _, value: _>>, id: _>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
-    {"shape": "OBJECT<id: _, messages: ARRAY<_>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
-    {"shape": "OBJECT<conversations: ARRAY<_>, id: _>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
-    {"shape": "OBJECT<id: _, input: _, instruction: _, output: _>", "id": "id", "fields": (("system", "instruction"), ("user", "input"), ("assistant", "output"))},
-    {"shape": "OBJECT<id: _, prompt: _, response: _>", "id": "id", "fields": (("user", "prompt"), ("assistant", "response"))},
+    {"shape": "OBJECT<conv_id: nsv, role: sv, text: sv, turn: nv>", "id": "conv_id", "turn": "turn", "role": "role", "text": "text"},
+    {"shape": "OBJECT<id: ns, messages: ARRAY<OBJECT<content: sv, role: sv>>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
+    {"shape": "OBJECT<conversations: ARRAY<OBJECT<from: sv, value: sv>>, id: ns>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
+    {"shape": "OBJECT<id: ns, messages: ARRAY<v>>", "id": "id", "array": "messages", "role": "role", "text": "content"},
+    {"shape": "OBJECT<conversations: ARRAY<v>, id: ns>", "id": "id", "array": "conversations", "role": "from", "text": "value"},
+    {"shape": "OBJECT<id: ns, input: sv, instruction: sv, output: sv>", "id": "id", "fields": (("system", "instruction"), ("user", "input"), ("assistant", "output"))},
+    {"shape": "OBJECT<id: ns, prompt: sv, response: sv>", "id": "id", "fields": (("user", "prompt"), ("assistant", "response"))},
 )
 
 #: Scalar fields that a record or a turn may carry besides those of its layout.
@@ -62,24 +70,36 @@ OPTIONAL = ("created", "created_at", "lang", "language", "metadata", "model", "n
 #: Names of the same role in the layouts that have their own.
 ROLES = {"human": "user", "gpt": "assistant"}
 
-_SCALAR = r"(?<=[:<] ?)(BIGINT|STRING|VOID|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT|DECIMAL\(\d+, ?\d+\))(?=[,>])"
+_TYPE = r"(?<=[:<] ?)(?:{})(?=[,>])"
+_KINDS = (("n", r"BIGINT|DECIMAL\(\d+, ?0\)"), ("s", "STRING"), ("v", "VOID"), ("x", r"DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT|DECIMAL\(\d+, ?\d+\)"))
 
 
-def fingerprint_of(shape: str) -> str:
-    return hashlib.sha256(shape.encode()).hexdigest()[:16]
+def fingerprints_of(shape: str) -> list[str]:
+    """The fingerprints of all records that a layout's shape allows."""
+    parts = re.split(r"(?<=[:<])( ?)([nsvx]+)(?=[,>])", shape)
+    fixed, kinds = parts[::3], parts[2::3]
+    gaps = parts[1::3]
+    shapes = ("".join(x for i, k in enumerate(some) for x in (fixed[i], gaps[i], k)) + fixed[-1] for some in itertools.product(*kinds))
+    return [hashlib.sha256(x.encode()).hexdigest()[:16] for x in shapes]
 
 
 def with_fingerprint(records: DataFrame, body: str = "body") -> DataFrame:
     """``records`` with ``record``, a variant (parsed from ``body`` where the
-    table has none), and its ``fingerprint``."""
+    table has none), and its ``fingerprint``: nested field paths and the kinds of
+    their scalars, hashed."""
     if dict(records.dtypes).get("record") != "variant":
         records = records.withColumn("record", F.try_parse_json(F.col(body)))
     names = "|".join(OPTIONAL)
-    shape = F.regexp_replace(F.schema_of_variant("record"), _SCALAR, "_")
-    shape = F.regexp_replace(shape, rf"(?<=<)((?:{names}): _, )+|(, (?:{names}): _)+(?=[,>])", "")
+    shape = F.schema_of_variant("record")
+    for kind, types in _KINDS:
+        shape = F.regexp_replace(shape, _TYPE.format(types), kind)
+    shape = F.regexp_replace(shape, rf"(?<=<)((?:{names}): [nsvx], )+|(, (?:{names}): [nsvx])+(?=[,>])", "")
     return records.withColumn("fingerprint", F.left(F.sha2(shape, 256), F.lit(16)))
 
 
+_TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
 def _mapped(layout: dict):
     """The layout's turns as array<struct<turn, role, text>>."""
     get = lambda path, kind: F.try_variant_get("record", f"$.{path}", kind)
@@ -88,34 +108,43 @@ def _mapped(layout: dict):
         return F.array(*(turn(F.lit(i), F.lit(role), get(field, "string")) for i, (role, field) in enumerate(layout["fields"])))
     if "array" in layout:
         items = get(layout["array"], f"array<struct<{layout['role']}:string,{layout['text']}:string>>")
-        return F.transform(items, lambda x, i: turn(i, x[layout["role"]], x[layout["text"]]))
+        lost = F.raise_error(F.lit("a record has a turn that is null")).cast(_TURNS)
+        return F.when(items.isNull() | F.exists(items, lambda x: x.isNull()), lost).otherwise(F.transform(items, lambda x, i: turn(i, x[layout["role"]], x[layout["text"]])))
     return F.array(turn(get(layout["turn"], "long"), get(layout["role"], "string"), get(layout["text"], "string")))
 
 
-def canonical_turns(records: DataFrame, layouts: tuple = LAYOUTS, body: str = "body", unknown: str = "error") -> DataFrame:
+def _id_of(layout: dict, kind: str):
+    """The conversation's id; one that is there but is not of the kind ends
+    the job, as it would otherwise be lost."""
+    value, text = (F.try_variant_get("record", f"$.{layout['id']}", k) for k in (kind, "string"))
+    lost = F.raise_error(F.concat(F.lit("an id is no integer: "), text, F.lit("; ask for ids as strings"))).cast(kind)
+    return F.when(value.isNull() & text.isNotNull(), lost).otherwise(value)
+
+
+def canonical_turns(records: DataFrame, layouts: tuple = LAYOUTS, body: str = "body", unknown: str = "error", ids: str = "long") -> DataFrame:
     """conv_id, turn, role, text of every record.  ``unknown``: "error" or
-    "skip", what happens at a record whose layout no mapping takes."""
-    if unknown not in ("error", "skip"):
-        raise ValueError("unknown is error or skip")
+    "skip", what happens at a record whose layout no mapping takes; ``ids``:
+    "long", or "string" where some ids are no integers."""
+    if unknown not in ("error", "skip") or ids not in ("long", "string"):
+        raise ValueError("unknown is error or skip, ids are long or string")
     known = with_fingerprint(records, body)
-    empty = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     name = F.coalesce("fingerprint", F.lit("unreadable"))
-    turns = empty if unknown == "skip" else F.raise_error(F.concat(F.lit("no mapping takes a record of the layout "), name)).cast("array<struct<turn:bigint,role:string,text:string>>")
-    conv = F.lit(None).cast("long")
+    turns = F.lit(None).cast(_TURNS) if unknown == "skip" else F.raise_error(F.concat(F.lit("no mapping takes a record of the layout "), name)).cast(_TURNS)
+    conv = F.lit(None).cast(ids)
     for layout in layouts:
-        same = F.col("fingerprint") == fingerprint_of(layout["shape"])
+        same = F.col("fingerprint").isin(fingerprints_of(layout["shape"]))
         renamed = _mapped(layout)
         if layout.get("role") == "from":
             names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
             renamed = F.transform(renamed, lambda t: t.withField("role", F.coalesce(F.element_at(names, t["role"]), t["role"])))
         turns = F.when(same, renamed).otherwise(turns)
-        conv = F.when(same, F.try_variant_get("record", f"$.{layout['id']}", "long")).otherwise(conv)
+        conv = F.when(same, _id_of(layout, ids)).otherwise(conv)
     return known.select(conv.alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def unknown_layouts(records: DataFrame, layouts: tuple = LAYOUTS, body: str = "body") -> DataFrame:
     """fingerprint, n of the records that no mapping takes."""
-    known = [fingerprint_of(x["shape"]) for x in layouts]
+    known = [f for x in layouts for f in fingerprints_of(x["shape"])]
     print_of = F.coalesce("fingerprint", F.lit("unreadable"))
     return with_fingerprint(records, body).select(print_of.alias("fingerprint")).where(~F.col("fingerprint").isin(known)).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
@@ -151,7 +180,9 @@ def read_turns(sample: str) -> list[tuple[str, str]]:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask (array of start, stop) per conversation."""
+    """conv_id (of the turns' type), formatted, loss_mask (array of start, stop)
+    per conversation."""
+    kind = dict(turns.dtypes)["conv_id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +193,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([f for f, _ in made], pa.string()), pa.array(mask, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["conv_id", "formatted", "loss_mask"])
 
     gathered = bounded_batches(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return gathered.mapInArrow(rows, "conv_id long, formatted string, loss_mask array<struct<start: long, stop: long>>")
+    return gathered.mapInArrow(rows, f"conv_id {kind}, formatted string, loss_mask array<struct<start: long, stop: long>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -182,7 +213,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = f"conv_id {dict(formatted.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [x.split()[0] for x in schema.split(", ")]
     return formatted.mapInArrow(rows, schema)
 
@@ -202,7 +233,14 @@ def records_of(conversations: DataFrame) -> DataFrame:
 
     t, roles = F.col("t"), F.transform("t", lambda x: F.coalesce(x["role"], F.lit("")))
     same = lambda *names: roles == F.array(*map(F.lit, names))
-    record = lambda *fields: F.to_variant_object(F.struct(F.col("conv_id").alias("id"), *fields))
+    # every third id is a text, every fifth record has fields that no layout needs
+    extra = (F.lit("en").alias("lang"), F.lit(0.5).alias("score"))
+
+    def record(*fields):
+        made = lambda ident, more: F.to_variant_object(F.struct(ident.alias("id"), *fields, *more))
+        number, words, more = F.col("conv_id"), F.col("conv_id").cast("string"), F.col("conv_id") % 5 == 0
+        return F.when(F.col("conv_id") % 3 == 1, F.when(more, made(words, extra)).otherwise(made(words, ()))).otherwise(F.when(more, made(number, extra)).otherwise(made(number, ())))
+
     text = lambda i, name: t[i]["text"].alias(name)
     given = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"), F.lit("system"), F.lit("system"))
     whole = (
@@ -216,7 +254,8 @@ def records_of(conversations: DataFrame) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(format_chat(canonical_turns(records_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))))
+    turns = canonical_turns(records_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")), ids="string")
+    return read_back(format_chat(turns)).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 OP2_SQL = r"""

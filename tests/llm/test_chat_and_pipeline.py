@@ -65,6 +65,41 @@ def test_optional_fields_and_empty_arrays(spark):
     assert chat.unknown_layouts(df).count() == 0
 
 
+def records(spark, *rows):
+    return spark.createDataFrame([(json.dumps(r),) for r in rows], "body string")
+
+
+def test_ids_of_any_kind(spark):
+    turn = [{"role": "user", "content": "hi"}]
+    df = records(spark, {"id": "a1", "messages": turn}, {"id": "b2", "messages": turn}, {"id": 3, "messages": turn}, {"id": "3", "prompt": "x", "response": None, "lang": "en"}, {"conv_id": None, "turn": 0, "role": "user", "text": "t"})
+    made = chat.format_chat(chat.canonical_turns(df, ids="string"))
+    assert sorted(map(str, ((r.conv_id, r.formatted.count(chat.OPEN)) for r in made.collect()))) == sorted(map(str, [("a1", 1), ("b2", 1), ("3", 3), (None, 1)]))
+    with pytest.raises(Exception, match="an id is no integer: a1"):
+        chat.canonical_turns(records(spark, {"id": "a1", "messages": turn})).collect()
+    assert [r.conv_id for r in chat.canonical_turns(records(spark, {"id": "12", "messages": turn})).collect()] == [12]
+
+
+@pytest.mark.parametrize(
+    "record",
+    [
+        {"id": 3, "messages": ["hello", "there"]}, {"id": 3, "messages": [1, 2]}, {"id": None, "messages": [{"role": "user", "content": "hi"}]}, {"messages": [{"role": "user", "content": "hi"}]}, {"id": 1.5, "prompt": "x", "response": "y"},
+        {"id": 3, "messages": [{"role": "user", "content": 5}]}, {"id": 3, "messages": [{"role": "user", "content": "hi"}, "x"]}, {"id": 3, "conversations": ["a"]}, {"id": {"a": 1}, "prompt": "x", "response": "y"}, {"conv_id": 1, "turn": "first", "role": "user", "text": "t"},
+    ],
+)
+def test_what_no_layout_takes_ends_the_job(spark, record):
+    df = records(spark, record)
+    with pytest.raises(Exception, match="no mapping takes a record"):
+        chat.canonical_turns(df, ids="string").collect()
+    assert chat.canonical_turns(df, ids="string", unknown="skip").count() == 0 and chat.unknown_layouts(df).head().n == 1
+
+
+def test_turns_that_are_null_end_the_job(spark):
+    with pytest.raises(Exception, match="a turn that is null"):
+        chat.canonical_turns(records(spark, {"id": 3, "messages": [None, None]})).collect()
+    with pytest.raises(Exception, match="a turn that is null"):
+        chat.canonical_turns(records(spark, {"id": 3, "messages": [{"role": "user", "content": "a"}, None]})).collect()
+
+
 def test_very_long_turns_are_kept(spark):
     rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "assistant")], "conv_id long, turn long, role string")
     long = rows.withColumn("text", F.when(F.expr("conv_id = 1"), F.expr("repeat('ab[<', 5250000)")).otherwise("short"))

@@ -13,24 +13,10 @@ from pyspark.sql import functions as F
 
 from postmill.functions import fixed
 
-_MONTHS = "january|february|march|april|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-_CUE = (
-    r"deadline|closing\s+date|closes?\s+(?:on|in)?|application\s+deadline|apply\s+(?:by|before|until)|applications?\s+(?:are\s+)?due|"
-    r"submit\s+(?:by|before)|registration\s+deadline|applications?\s+open\s+until|closing\s+on"
-)
-_LABEL = (
-    r"date\s+placed|placed\s+on|posted|published|advertised|date\s+posted|created|updated|last\s+updated|start\s+date|end\s+date|"
-    r"project\s+(?:start|end|runs?)|project\s+period|contract\s+period"
-)
-_ISO = r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b"
-_DMY = rf"\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_MONTHS})\.?\s*(?:\d{{4}})?\b"
-_MDY = rf"\b(?:{_MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s*(?:\d{{4}})?\b"
-_NUM = r"\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b"
-_RECURS = r"(?i)\b(each\s+year|annually|every\s+year|recurring|next\s+occurrence|until\s+filled|on\s+a\s+rolling\s+basis)\b"
-_ROLLING = (
-    r"(?i)(rolling|open\s+until\s+filled|until\s+(filled|closed)|no\s+(application\s+)?deadline|applications?\s+reviewed\s+on\s+a\s+rolling\s+basis|"
-    r"as\s+long\s+as\s+(funds?|budget)\s+(last|remain))"
-)
+_MONTHS, _CUE, _LABEL, _ISO, _DMY, _MDY, _NUM, _RECURS, _ROLLING = fixed.MONTHS, fixed.DEADLINE_CUE, fixed.OTHER_DATE_LABEL, fixed.ISO_DATE, fixed.DAY_MONTH, fixed.MONTH_DAY, fixed.NUMERIC_DATE, fixed.RECURS, fixed.ROLLING
+#: What every date holds: two numbers with a mark between them, or a number
+#: beside a month.
+_MAYBE = r"(?i)\d[-/.]\d|\d(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d"
 KIND = "struct<raw:string,value:date,status:string,confidence:double>"
 
 
@@ -116,6 +102,7 @@ def all_dates(text: Column) -> Column:
 
 def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
     """Application deadline of a text: struct(raw, value, status, confidence)."""
+    # most texts without a date are told by one look
     none = F.struct(F.lit("").alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence"))
     found = F.struct(
         F.filter(all_dates(text), lambda d: ~_labelled(d["before"])).alias("dates"),
@@ -143,7 +130,7 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
         unresolved = F.when(F.size(s["dates"]) > 0, F.struct(F.get(s["dates"], F.lit(0))["raw"].alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence")))
         return F.coalesce(by_iso, by_cue, by_any, unresolved, none)
 
-    return bind(found, best)
+    return F.when(text.rlike(_MAYBE), bind(found, best)).otherwise(none)
 
 
 def deadline_line(status: Column, value: Column, as_of: Column) -> Column:

@@ -35,9 +35,9 @@ def merge_cache(fresh: DataFrame, cached: DataFrame, runs: DataFrame, now: Colum
     """Fresh rows of sources that returned some; cached rows, tagged with
     their age, of sources that failed.  ``runs``: source, n."""
     ok = runs.where("n > 0").select("source")
-    kept = fresh.join(F.broadcast(ok), "source", "left_semi").select("*", F.lit(False).alias("from_cache"), F.lit(None).cast("int").alias("cache_age_days"), F.lit(False).alias("stale"))
+    kept = fresh.join(ok, "source", "left_semi").select("*", F.lit(False).alias("from_cache"), F.lit(None).cast("int").alias("cache_age_days"), F.lit(False).alias("stale"))
     age = F.datediff(now, "fetched_at")
-    old = cached.join(F.broadcast(ok), "source", "left_anti").withColumns({"from_cache": F.lit(True), "cache_age_days": age, "stale": age > stale_days}).drop("fetched_at")
+    old = cached.join(ok, "source", "left_anti").withColumns({"from_cache": F.lit(True), "cache_age_days": age, "stale": age > stale_days}).drop("fetched_at")
     return kept.unionByName(old)
 
 

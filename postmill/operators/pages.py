@@ -45,9 +45,7 @@ def board_links(pages: DataFrame, limit: int = 120) -> DataFrame:
 
 def rank_links(links: DataFrame) -> DataFrame:
     low = F.lower(F.concat_ws(" ", "url", "text"))
-    specific = ("vacanc", "job", "stellen", "offres", "ofertas", "vagas", "phd", "doctoral", "doktorat", "position", "opening", "recruit", "announcement", "tender")
-    generic = ("career", "karriere", "arbeitsplatz", "emploi", "carriere", "empleo", "lavoro", "vocation", "jobb", "praca", "kariyer", "employment", "work-with-us", "werken-bij")
-    kind = F.when(gates.any_of(low, specific), 0).when(gates.any_of(low, generic), 1).otherwise(3)
+    kind = F.when(gates.any_of(low, fixed.SPECIFIC_BOARD_WORDS), 0).when(gates.any_of(low, fixed.GENERIC_BOARD_WORDS), 1).otherwise(3)
     depth = F.least(F.size(urls.segments(F.col("url"))), F.lit(3))
     home = urls.path(F.col("url")).rlike(r"(?i)^/?$|^/[a-z]{2}(-[a-z]{2})?$")
     scored = links.where(~home).withColumn("score", kind * 10 + depth)

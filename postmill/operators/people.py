@@ -220,3 +220,21 @@ def sub_institutions(authors: DataFrame) -> DataFrame:
     (array)."""
     named = authors.select("institution", F.explode(F.array_distinct("places")).alias("part")).where("part <> institution")
     return named.groupBy("institution", "part").agg(F.count(F.lit(1)).alias("authors"))
+
+
+def target_concepts(*lists: Column) -> Column:
+    """The concepts of a profile's lists, lower case and trimmed, each once."""
+    return F.array_distinct(F.filter(F.transform(F.concat(*lists), lambda x: F.lower(F.trim(x))), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def target_countries(countries: DataFrame, most: int = 5) -> DataFrame:
+    """Countries whose priority is at most ``most``."""
+    return countries.where(F.coalesce("priority", F.lit(99)) <= most)
+
+
+def largest_silent(boards: DataFrame, most: int) -> DataFrame:
+    """Boards that were crawled, gave nothing and have no note that says why,
+    the largest universities first; ``boards``: board, found, note, papers.  The
+    first ``most`` are a report."""
+    silent = (F.coalesce("found", F.lit(0)) == 0) & (F.coalesce("note", F.lit("")) == "")
+    return boards.where(silent).orderBy(F.desc_nulls_last("papers"), "board").limit(most)

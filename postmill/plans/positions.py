@@ -86,13 +86,12 @@ def keyword_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.keyword_score(C("text"), _WORDS, 25).alias("score"))
 
 
-def _supplied(spark, d):
-    """Suppliers as people whose keywords and text are names of parts that they
-    deliver at the highest discount."""
-    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("kind"))
-    supplied = table(spark, d, "lineitem").where("l_discount >= 0.09 AND l_linenumber <= 3 AND l_quantity > 40").select(C("l_suppkey").alias("pi_id"), "l_partkey").distinct()
-    rows = supplied.join(parts, C("l_partkey") == C("p_partkey")).groupBy("pi_id").agg(F.array_sort(F.collect_set("kind")).alias("keywords"), F.array_join(F.array_sort(F.collect_list("name")), " ").alias("text"))
-    return rows.select("pi_id", "keywords", "text")
+def _specialists(spark, d):
+    """Parts as people: name, name with type and brand are their keywords, and
+    their text names them as often as their size tells."""
+    name = F.lower("p_name")
+    keywords = F.array(name, F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lower("p_brand"))
+    return table(spark, d, "part").select(C("p_partkey").alias("pi_id"), keywords.alias("keywords"), F.repeat(F.concat(name, F.lit(" ")), C("p_size") % 14).alias("text"))
 
 
 PROFILE = {
@@ -103,17 +102,17 @@ PROFILE = {
 
 @query("j07_s15_s17_research_fit", None)
 def research_fit(spark, d):
-    return scoring.research_fit(_supplied(spark, d), PROFILE)
+    return scoring.research_fit(_specialists(spark, d), PROFILE)
 
 
 @query("s16_fitting_people", None)
 def fitting(spark, d):
-    return scoring.fitting_people(scoring.research_fit(_supplied(spark, d), PROFILE), 15.0)
+    return scoring.fitting_people(scoring.research_fit(_specialists(spark, d), PROFILE))
 
 
 @query("g17_fit_bands", None)
 def fit_bands(spark, d):
-    return scoring.band_counts(scoring.research_fit(_supplied(spark, d), PROFILE))
+    return scoring.band_counts(scoring.research_fit(_specialists(spark, d), PROFILE))
 
 
 _TEXTS = ("We are open. Deadline: 3/4/1999, fully funded.", "Position filled; a stipend was paid", "The deadline was in May", "Apply now! due 1-2-99", "nothing here", "closed, salary 30k, apply by: 5/6/1999")
@@ -221,9 +220,10 @@ def target_selection(spark, d):
     return select_targets(u, boards, "Nation_1", 25, only_missing=True).select("c_custkey", C("openalex_papers").alias("papers"))
 
 
-@query("w14_largest_silent", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 4 = 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 20", postings=False)
+@query("w14_largest_silent", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 3 <> 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 20", postings=False)
 def largest_silent(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey % 4 = 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey", "s_acctbal")
+    boards = table(spark, d, "supplier").select(C("s_suppkey").alias("board"), C("s_acctbal").alias("papers"), (C("s_suppkey") % 4).alias("found"), F.when(C("s_suppkey") % 3 == 0, "skipped").alias("note"))
+    return people.largest_silent(boards, 20).select(C("board").alias("s_suppkey"), C("papers").alias("s_acctbal"))
 
 
 _V07 = (("NATION_1", ("stipend",)), ("NATION_12", ("funded", "eur")), ("NATION_7", ("scholarship",)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, gates, titles, urls
-from postmill.operators import dedupe, health, numbering, pages, ranking, scoring
+from postmill.operators import dedupe, health, numbering, pages, people, ranking, scoring
 from postmill.plans.base import AS_OF, query
 from postmill.plans.scalars import _DATE_ORACLE
 from postmill.sources.postings import CRAWL_LOGS_ORACLE, SOURCE_RUNS_ORACLE, crawl_logs, postings, source_runs, spread_postings, table
@@ -331,8 +331,13 @@ def sets(spark, d):
 
 @query("e05_e06_targets", "SELECT p_partkey, array_to_string(list_sort(list_distinct([lower(trim(p_name)), lower(p_brand), lower(p_type), lower(p_brand)])), '|') AS concepts, p_size <= 5 AS priority FROM part", postings=False)
 def targets(spark, d):
-    all_ = F.array_distinct(F.transform(F.array("p_name", "p_brand", "p_type", "p_brand"), lambda x: F.lower(F.trim(x))))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(all_), "|").alias("concepts"), (C("p_size") <= 5).alias("priority"))
+    lists = F.array("p_name", "p_brand"), F.array("p_type"), F.array("p_brand")
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(people.target_concepts(*lists)), "|").alias("concepts"), (C("p_size") <= 5).alias("priority"))
+
+
+@query("e06_target_countries", "SELECT p_partkey FROM part WHERE p_size <= 5", postings=False)
+def target_countries(spark, d):
+    return people.target_countries(table(spark, d, "part").select("p_partkey", C("p_size").alias("priority"))).select("p_partkey")
 
 
 @query("e07_k10_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Renamed ' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS c_name, c_mktsegment FROM customer", postings=False)
@@ -357,6 +362,13 @@ def missing_only(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
+@query("j11_missing_boards", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)", postings=False)
+def missing_boards(spark, d):
+    """Universities whose board no crawl has found."""
+    known = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 150000").select(C("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(known, "c_custkey", "left_anti")
+
+
 @query("h02_h03_anchors", r"""
 WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href\s*=\s*["''][^"''#]+["''][^>]*>.*?</a\s*>')) AS a FROM pages)
 SELECT page_id, count(*) AS n FROM a GROUP BY page_id
@@ -388,6 +400,18 @@ def trigram_names(spark, d):
     return trigram_pairs(table(spark, d, "supplier").select(C("s_suppkey").alias("id"), C("s_name").alias("name")), 0.9)
 
 
+@query("v02_trigram_parts", """
+WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), g AS (SELECT name, list_distinct([substring('  ' || lower(name) || ' ', CAST(i AS INT), 3) FOR i IN range(1, length(name) + 2)]) AS t FROM n),
+x AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.t, b.t)) AS both_n, len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS all_n FROM g a JOIN g b ON a.name < b.name)
+SELECT a, b, round(both_n / CAST(all_n AS DOUBLE), 6) AS similarity FROM x WHERE both_n >= 0.6 * all_n
+""", postings=False)
+def trigram_parts(spark, d):
+    from postmill.operators.similarity import trigram_pairs
+
+    name = F.concat_ws(" ", "p_name", "p_type")
+    return trigram_pairs(table(spark, d, "part").select(name.alias("id"), name.alias("name")).distinct(), 0.6)
+
+
 @query("v03_state_funnel", "SELECT o_orderstatus AS state, count(*) AS n, o_orderstatus IN ('O', 'F', 'P') AS allowed FROM orders GROUP BY 1", postings=False)
 def state_funnel(spark, d):
     return table(spark, d, "orders").groupBy(C("o_orderstatus").alias("state")).agg(row_count().alias("n")).withColumn("allowed", C("state").isin("O", "F", "P"))

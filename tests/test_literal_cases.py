@@ -1,4 +1,7 @@
-"""Literal cases of gates, boards, pagers and people fits."""
+"""Literal cases of gates, boards, pagers and people fits.
+
+Fixed values: the inputs and what must come of them.
+"""
 
 
 import pytest

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from postmill.functions import fixed
 
 _MONTHS, _CUE, _LABEL, _ISO, _DMY, _MDY, _NUM, _RECURS, _ROLLING = fixed.MONTHS, fixed.DEADLINE_CUE, fixed.OTHER_DATE_LABEL, fixed.ISO_DATE, fixed.DAY_MONTH, fixed.MONTH_DAY, fixed.NUMERIC_DATE, fixed.RECURS, fixed.ROLLING
-#: What every date holds: two numbers with a mark between them, or a number
-#: beside a month.
-_MAYBE = r"(?i)\d[-/.]\d|\d(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d"
 KIND = "struct<raw:string,value:date,status:string,confidence:double>"
 
 
@@ -52,10 +49,11 @@ def typed(raw: Column, text: Column, as_of: Column, day_first: bool, sure: float
     """A matched date as (raw, value, status, confidence); null for no match.
     ``raw``, ``text`` and ``as_of`` should be cheap references."""
     iso = raw.rlike(rf"^{_ISO}$")
+    dated_by_itself = raw.rlike(r"^\d{4}[-/]|\d{4}$|[-/.]\d{2,4}$")  # whether it recurs does not matter then
     numbers = F.struct(
         iso.alias("iso"), (raw.rlike(rf"^{_NUM}$") & ~iso).alias("numeric"),
         _number(raw, r"^(\d{1,2})\D", 1).alias("a"), _number(raw, r"^\d{1,2}\D(\d{1,2})", 1).alias("b"),
-        _number(raw, r"(\d{2,4})$", 1).alias("y"), _number(raw, r"(\d{4})$", 1).alias("y4"), text.rlike(_RECURS).alias("recurs"),
+        _number(raw, r"(\d{2,4})$", 1).alias("y"), _number(raw, r"(\d{4})$", 1).alias("y4"), (~dated_by_itself & text.rlike(_RECURS)).alias("recurs"),
     )
 
     def parts(n: Column) -> Column:
@@ -91,24 +89,25 @@ def _labelled(before: Column) -> Column:
     return near.rlike(f"(?i)({_LABEL})") | (window.rlike(f"(?i)({_LABEL})") & ~window.rlike(f"(?i)({_CUE})"))
 
 
+_DATE = f"(?i){_ISO}|{_DMY}|{_MDY}|{_NUM}"
+
+
+def _placed(raws: Column, text: Column) -> Column:
+    gaps = F.split(text, _DATE)
+    return F.transform(raws, lambda raw, i: F.struct(F.trim(raw).alias("raw"), F.get(gaps, i).alias("before")))
+
+
 def all_dates(text: Column) -> Column:
     """Dates in order of position, none overlapping, as array<struct<raw,
     before>>; ``before`` is the text up to the date."""
-    pattern = f"(?i){_ISO}|{_DMY}|{_MDY}|{_NUM}"
-    raws = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    return F.transform(raws, lambda raw, i: F.struct(F.trim(raw).alias("raw"), F.get(gaps, i).alias("before")))
+    return _placed(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), text)
 
 
 def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
-    """Application deadline of a text: struct(raw, value, status, confidence)."""
-    # most texts without a date are told by one look
+    """Application deadline of a text: struct(raw, value, status, confidence).
+    Each step looks at the text only where those before it settled nothing: a
+    text without a date is done after one pattern."""
     none = F.struct(F.lit("").alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence"))
-    found = F.struct(
-        F.filter(all_dates(text), lambda d: ~_labelled(d["before"])).alias("dates"),
-        F.regexp_extract(text, f"(?i)({_CUE})", 0).alias("cue"),
-        F.regexp_extract_all(text, F.lit(f"(?is)({_CUE})(?=(.{{0,60}}))"), F.lit(2)).alias("windows"),
-    )
 
     def first_settled(results: Column) -> Column:
         return F.get(F.filter(results, lambda d: d["status"] != "unknown"), F.lit(0))
@@ -120,17 +119,21 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
     def graded(d: Column, raw: Column, confidence: Column) -> Column:
         return F.when(d.isNotNull(), F.struct(raw.alias("raw"), d["value"].alias("value"), d["status"].alias("status"), confidence.alias("confidence")))
 
-    def best(s: Column) -> Column:
+    def best(dates: Column) -> Column:
         is_iso = lambda d: d["raw"].rlike(rf"^{_ISO}$")
-        by_iso = bind(F.get(F.filter(s["dates"], is_iso), F.lit(0)), lambda d: bind(d["raw"], lambda raw: typed(raw, text, as_of, day_first, 0.95, 0.95)))
-        by_cue = bind(first_settled(F.transform(s["windows"], near_cue)), lambda d: graded(d, F.concat_ws(" ", s["cue"], d["raw"]), F.least(F.round(d["confidence"] + 0.05, 2), F.lit(1.0))))
+        by_iso = bind(F.get(F.filter(dates, is_iso), F.lit(0)), lambda d: bind(d["raw"], lambda raw: typed(raw, text, as_of, day_first, 0.95, 0.95)))
+        cue, windows = F.regexp_extract(text, f"(?i)({_CUE})", 0), F.regexp_extract_all(text, F.lit(f"(?is)({_CUE})(?=(.{{0,60}}))"), F.lit(2))
+        by_cue = bind(first_settled(F.transform(windows, near_cue)), lambda d: graded(d, F.concat_ws(" ", cue, d["raw"]), F.least(F.round(d["confidence"] + 0.05, 2), F.lit(1.0))))
         spoken = lambda raw: F.when(raw.rlike(r"^[\d/.-]+$"), text).otherwise(F.lit(""))
-        plain = F.transform(s["dates"], lambda d: bind(d["raw"], lambda raw: typed(raw, spoken(raw), as_of, day_first, 0.9, 0.6)))
+        plain = F.transform(dates, lambda d: bind(d["raw"], lambda raw: typed(raw, spoken(raw), as_of, day_first, 0.9, 0.6)))
         by_any = bind(first_settled(plain), lambda d: graded(d, d["raw"], F.greatest(F.round(d["confidence"] - 0.15, 2), F.lit(0.3))))
-        unresolved = F.when(F.size(s["dates"]) > 0, F.struct(F.get(s["dates"], F.lit(0))["raw"].alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence")))
+        unresolved = F.when(F.size(dates) > 0, F.struct(F.get(dates, F.lit(0))["raw"].alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence")))
         return F.coalesce(by_iso, by_cue, by_any, unresolved, none)
 
-    return F.when(text.rlike(_MAYBE), bind(found, best)).otherwise(none)
+    def unlabelled(raws: Column) -> Column:
+        return F.when(F.size(raws) > 0, bind(F.filter(_placed(raws, text), lambda d: ~_labelled(d["before"])), best)).otherwise(none)
+
+    return bind(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), unlabelled)
 
 
 def deadline_line(status: Column, value: Column, as_of: Column) -> Column:

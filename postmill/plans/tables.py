@@ -10,6 +10,7 @@ from postmill.operators import dedupe, health, numbering, pages, people, ranking
 from postmill.plans.base import AS_OF, query
 from postmill.plans.scalars import _DATE_ORACLE
 from postmill.sources.postings import CRAWL_LOGS_ORACLE, SOURCE_RUNS_ORACLE, crawl_logs, postings, source_runs, spread_postings, table
+from postmill.sources.scratch import stored
 from postmill.streaming import jobs
 
 C = F.col
@@ -294,7 +295,8 @@ def page_freshness(spark, d):
     settled where it is read, so that no text is sorted."""
     c = C("context")
     status = F.when(dates.is_rolling(c), "rolling").otherwise(dates.deadline(c, as_of())["status"])
-    listing = numbering.numbered(spread_postings(spark, d).select("source", "seq", status.alias("status")), "seq", keys=("source",))
+    settled = stored(spread_postings(spark, d).select("source", "seq", status.alias("status")), "settled")  # ranges are sampled first, which would settle all twice
+    listing = numbering.numbered(settled, "seq", keys=("source",))
     return health.page_counts(listing.withColumn("page_no", F.floor((C("n") - 1) / 20).cast("int") + 1))
 
 

@@ -2,32 +2,36 @@
 
 Every run of sixteen or more key characters in a text is a candidate.  Its
 features are its length, its character transitions, how much of it a
-dictionary of the corpus covers, its path and its neighbouring words.  A random
-forest (``pyspark.ml``, a DataFrame transformer) trained on labelled findings
-scores all candidates.  The dictionary is the set of three-letter sequences of
-all words that several documents use: at most 26 ** 3 entries whatever the
-corpus, which bounds its broadcast.  Built-in expressions throughout.
-
-No table of the corpus labels findings, so the query labels its training
-candidates by a stated rule (``rule_label``): documents of the held-out fold
-(crc32(doc_id) mod 5 = 0) are never trained on.  A caller with reviewed
-findings passes them to ``train`` instead.
+dictionary of the corpus covers, the pieces of its path and its neighbouring
+words (hashed).  A random forest (``pyspark.ml``, a DataFrame transformer) trained
+on labelled findings scores all candidates.  The dictionary is the set of
+three-letter sequences of all words that several documents use: at most
+26 ** 3 entries whatever the corpus, which bounds its broadcast.  Built-in
+expressions throughout.
+
+A caller passes reviewed findings to ``scan``; without them the forest learns
+from those in ``findings``, which were labelled by where they stood and what they
+meant.  The texts that are scanned are never trained on.  ``rule_label`` is the
+plain rule that scanners use; the tests hold the forest against it on places that
+it has not seen.
 
 Defined results: null text counts as empty; a text without candidates gives no
 row; a candidate that occurs at several places of a text gives a row for each;
-repeated rows repeat their findings; a null path counts as empty; an empty
-table, or one whose candidates are all of one kind, gives the rule's own
-decision as score; further columns are ignored.
+repeated rows repeat their findings; a null path counts as empty, and a null
+doc_id stays null; a very long text is split into its words in one task; an empty
+table gives no row; findings of one kind only give the rule's own decision as
+score; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.llm.findings import reviewed
 from postmill.llm.shared import documents, materialise
 
 RUN = r"[A-Za-z0-9+/_-]{16,}"
@@ -35,10 +39,13 @@ KEYWORD = r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|private.?key
 MASK = "<SECRET>"
 
 #: Bound on the labelled findings that the forest reads, and its shape.
-MOST_FINDINGS, TREES, DEPTH = 20_000, 20, 6
+MOST_FINDINGS, TREES, DEPTH = 20_000, 40, 8
 THRESHOLD = 0.5
 
-FEATURES = ("n", "digits", "uppers", "lowers", "marks", "kind_changes", "case_changes", "distinct", "hex_only", "covered", "keyword", "assigned", "quoted", "left_length", "right_length", "test_path", "config_path")
+FEATURES = ("n", "digits", "uppers", "lowers", "marks", "kind_changes", "case_changes", "distinct", "hex_only", "covered", "keyword", "assigned", "quoted", "left_length", "right_length")
+
+#: Buckets of hashed words around a candidate and of pieces of its path.
+WORD_BUCKETS, PATH_BUCKETS = 128, 64
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = "source") -> DataFrame:
@@ -68,7 +75,7 @@ def _share(pattern: str):
 def dictionary(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 3) -> DataFrame:
     """The three-letter sequences, at most 26 ** 3, of words that at least
     ``least`` rows hold."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z]+"))).alias("word")).where("length(word) >= 3 AND length(word) <= 12")
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z]+"))).alias("word")).where("length(word) >= 3")
     common = words.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
     threes = common.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.col("word").substr(i, F.lit(3)))).alias("three"))
     return threes.distinct()
@@ -96,29 +103,35 @@ def with_features(found: DataFrame, threes: DataFrame) -> DataFrame:
         .withColumn("quoted", F.col("before").rlike("[\"'`]$").cast("double"))
         .withColumn("left_length", F.length("left_1").cast("double"))
         .withColumn("right_length", F.length("right_1").cast("double"))
-        .withColumn("test_path", F.col("path").rlike("(?i)(test|example|sample|mock|fixture|docs?/)").cast("double"))
-        .withColumn("config_path", F.col("path").rlike(r"(?i)\.(env|ya?ml|ini|cfg|conf|toml|properties|json)$").cast("double"))
+        .withColumn("near_words", F.filter(F.split(F.lower(near), "[^a-z]+"), lambda w: F.length(w) > 1))
+        .withColumn("path_words", F.filter(F.split(F.lower("path"), "[^a-z]+"), lambda w: w != ""))
     )
 
 
 def rule_label():
-    """The stated labelling rule of the query: random-looking characters that
-    are assigned or named as a secret."""
+    """A scanner's plain rule: random-looking characters that are assigned or
+    named as a secret."""
     random_like = (F.col("digits") >= 0.1) & (F.col("digits") <= 0.95) & (F.col("kind_changes") >= 0.1) & (F.col("n") >= 20)
     return F.when(random_like & ((F.col("keyword") + F.col("assigned") + F.col("quoted")) >= 1), 1.0).otherwise(0.0)
 
 
+def with_vector(found: DataFrame) -> DataFrame:
+    """``found`` with its features as one vector."""
+    hashed = HashingTF(inputCol="near_words", outputCol="near_vector", numFeatures=WORD_BUCKETS, binary=True).transform(found)
+    hashed = HashingTF(inputCol="path_words", outputCol="path_vector", numFeatures=PATH_BUCKETS, binary=True).transform(hashed)
+    return VectorAssembler(inputCols=[*FEATURES, "near_vector", "path_vector"], outputCol="features").transform(hashed)
+
+
 def train(findings: DataFrame, most: int = MOST_FINDINGS):
-    """A forest over labelled findings (``FEATURES`` and ``label``), the
-    ``most`` with the smallest hashes of each label; None where a label is
-    missing."""
-    few = findings.select(*FEATURES, "label", F.xxhash64("value", "word_no").alias("chance"))
+    """A forest over labelled findings (as ``with_features`` gives them, and
+    ``label``), the ``most`` with the smallest hashes of each label; None where a
+    label is missing."""
+    few = findings.select(*FEATURES, "near_words", "path_words", "label", F.xxhash64("value", "word_no").alias("chance"))
     sample = few.where("label = 1").orderBy("chance").limit(most // 2).unionAll(few.where("label = 0").orderBy("chance").limit(most // 2)).drop("chance")
     sample = materialise(sample, "findings")
     if sample.select("label").distinct().count() < 2:
         return None
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(table)
+    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=7, cacheNodeIds=False).fit(with_vector(sample))
 
 
 def scored(found: DataFrame, forest) -> DataFrame:
@@ -126,18 +139,17 @@ def scored(found: DataFrame, forest) -> DataFrame:
     if forest is None:
         rows = found.withColumn("score", rule_label())
     else:
-        rows = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+        rows = forest.transform(with_vector(found)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
     return rows.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", path: str = "source") -> DataFrame:
-    """Every candidate of every text, scored.  ``findings``: candidates with
-    ``FEATURES`` and ``label``; without them the labelling rule is used."""
-    found = materialise(with_features(candidates(docs, text, doc_id, path), materialise(dictionary(docs, text, doc_id), "dictionary")), "candidates")
-    if findings is None:
-        seen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, F.lit(True))
-        findings = found.where(seen).withColumn("label", rule_label())
-    return scored(found, train(findings)).select("doc_id", "path", "word_no", "value", "left_1", *FEATURES, "score", "is_secret")
+    """Every candidate of every text, scored.  ``findings``: candidates (as
+    ``candidates`` gives them) with ``label``; without them the reviewed ones."""
+    threes = materialise(dictionary(docs, text, doc_id), "dictionary")
+    found = materialise(with_features(candidates(docs, text, doc_id, path), threes), "candidates")
+    known = with_features(reviewed(docs.sparkSession) if findings is None else findings, threes)
+    return scored(found, train(known)).select("doc_id", "path", "word_no", "value", "left_1", *FEATURES, "score", "is_secret")
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:

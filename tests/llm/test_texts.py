@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -7,8 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from messy import ROWS
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from postmill.llm.findings import reviewed
 from postmill.llm import lexicon, license_scan, lm_score, media, packing, quality, secret_scan
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -167,6 +170,54 @@ def test_forest_removes_false_positives(spark):
     assert hexes.any() and (got.is_secret == hexes).mean() > 0.98
 
 
+def brute_features(value, before, left_1, left_2, threes):
+    low, n = value.lower(), len(value)
+    count = lambda pattern: len(re.findall(pattern, value)) / n
+    parts = [p for p in (low[i : i + 3] for i in range(n - 2)) if re.fullmatch("[a-z]{3}", p)]
+    near = " ".join((left_2, left_1, before))
+    return {
+        "n": n, "digits": count("[0-9]"), "uppers": count("[A-Z]"), "lowers": count("[a-z]"), "marks": count("[+/_-]"), "kind_changes": count("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), "case_changes": count("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
+        "distinct": len(set(low)) / n, "hex_only": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", value))), "covered": sum(p in threes for p in parts) / (n - 2), "keyword": float(bool(re.search(secret_scan.KEYWORD, near))),
+        "assigned": float(bool(re.search("[=:]", f"{left_1} {before}"))), "quoted": float(before[-1:] in ("'", '"', "`") and before != ""), "left_length": len(left_1),
+    }
+
+
+def test_secret_features_like_brute_force(spark):
+    docs = spark.createDataFrame([(i, "common words here token") for i in range(4)], "doc_id long, text string")
+    threes = secret_scan.dictionary(docs)
+    known = {r.three for r in threes.collect()}
+    assert known == {w[i : i + 3] for w in ("common", "words", "here", "token") for i in range(len(w) - 2)}
+    for r in secret_scan.with_features(reviewed(spark, each=3), threes).collect():
+        for name, wanted in brute_features(r.value, r.before, r.left_1, r.left_2, known).items():
+            assert r[name] == pytest.approx(wanted), (name, r)
+
+
+def test_forest_beats_the_rule_on_unseen_places(spark):
+    """Folds are of places, so no place that is scored was trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = secret_scan.materialise(secret_scan.with_features(reviewed(spark), secret_scan.materialise(secret_scan.dictionary(docs), "threes")), "known")
+    seen = []
+    for fold in range(4):
+        forest = secret_scan.train(known.where(F.col("place") % 4 != fold))
+        seen += secret_scan.scored(known.where(F.col("place") % 4 == fold), forest).select("label", "is_secret", (secret_scan.rule_label() == 1).alias("rule")).collect()
+
+    def measured(name):
+        hits = [r.label for r in seen if r[name]]
+        return sum(hits) / len(hits), sum(hits) / sum(r.label for r in seen)
+
+    (precision, recall), (rule_precision, rule_recall) = measured("is_secret"), measured("rule")
+    assert precision > rule_precision + 0.1 and recall > rule_recall + 0.1
+
+
+def test_reviewed_findings_of_a_caller(spark):
+    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ends'
+    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, source string")
+    none = secret_scan.candidates(df).withColumn("label", F.lit(0.0))
+    both = none.unionByName(none.withColumns({"label": F.lit(1.0), "value": F.lit("aaaaaaaaaaaaaaaaaaaaaaaa")}))
+    assert secret_scan.scan(df).head().is_secret and not secret_scan.scan(df, both).head().is_secret
+    assert secret_scan.scan(df, none).head().score == 1.0  # findings of one kind: the rule decides
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = quality.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()

@@ -90,10 +90,10 @@ def checks(sources: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str) -> dict:
-    """Number ``rows`` by fit, write their records as JSON and return meta data
+    """Number ``rows`` by fit (then seq, then context), write their records as JSON and return meta data
     and violations of what was written.  Only the repeated addresses are counted
     afterwards, from the written file."""
-    listed = numbered(rows, F.desc_nulls_last("fit"), "seq")
+    listed = numbered(rows, F.desc_nulls_last("fit"), "seq", "context")
     seen, kept = Observation(), Observation()
     watched = listed.observe(seen, *(c.alias(n) for n, c in meta(rows).items()))
     records = site_records(watched).observe(kept, *(c.alias(n) for n, c in record_checks().items()))

@@ -39,7 +39,7 @@ e AS (SELECT seq, title, url, {sql_pick(_SOURCES, 'day')} AS source, source_labe
         CASE WHEN day % 4 = 0 THEN university ELSE '' END AS org_hint, CASE WHEN day % 5 = 0 THEN 'Guessed' END AS guess_org, CASE WHEN day % 2 = 0 THEN university END AS university, CASE WHEN day % 6 <> 0 THEN country ELSE '' END AS country,
         CASE WHEN day % 7 < 3 THEN ' ' || CAST(event_date AS VARCHAR) || ' ' ELSE '' END AS deadline, CASE WHEN day % 7 < 2 THEN CAST(event_date AS VARCHAR) END AS deadline_date, {sql_pick(_STATUSES, 'day')} AS deadline_status,
         CASE WHEN day % 11 <> 0 THEN CAST(seq % 101 AS INT) END AS fit, day % 3 = 0 AS enriched, contains(context, 'Fully') AS funded FROM y),
-s AS (SELECT 'pd-' || printf('%03d', row_number() OVER (ORDER BY fit DESC NULLS LAST, seq)) AS id, seq, title, url, coalesce(nullif(org_hint, ''), guess_org, university, source_label) AS university, coalesce(nullif(country, ''), 'N/A') AS country,
+s AS (SELECT 'pd-' || printf('%03d', row_number() OVER (ORDER BY fit DESC NULLS LAST, seq, context)) AS id, seq, title, url, coalesce(nullif(org_hint, ''), guess_org, university, source_label) AS university, coalesce(nullif(country, ''), 'N/A') AS country,
         CASE WHEN funded THEN 'Funding evidence on page' ELSE 'See official posting' END AS funding, coalesce(nullif(trim(deadline), ''), 'See official posting') AS application_deadline, coalesce(deadline_date, '') AS deadline_date, coalesce(nullif(deadline_status, ''), 'unknown') AS deadline_status,
         coalesce(fit, 0) AS research_fit_score, CASE WHEN coalesce(fit, 0) >= 75 THEN 'HIGH' WHEN coalesce(fit, 0) >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS contact_priority, left(coalesce(nullif(description_full, ''), context), 420) AS description,
         1 + CAST(enriched AS INT) + CAST(trim(deadline) <> '' AS INT) + CAST(funded AS INT) AS n_evidence FROM e)

@@ -9,7 +9,7 @@ from postmill.operators import evidence, pages, people, scoring
 from postmill.plans.base import AS_OF, query, sql_first, sql_hits, sql_like, sql_list
 from postmill.plans.classify import _NAMES, pick, sql_pick
 from postmill.plans.tables import _GATED, _hits, as_of, gated, row_count
-from postmill.sources.postings import POSTINGS_ORACLE, postings, spread_postings, table
+from postmill.sources.postings import POSTINGS_ORACLE, postings, spread_postings, table, whole
 
 C = F.col
 
@@ -130,7 +130,7 @@ SELECT seq, position_status, funding_confirmed, source_priority, CASE WHEN posit
 FROM z
 """)
 def verify(spark, d):
-    rows = postings(spark, d).select("seq", pick(_URLS, C("seq")).alias("source_url"), F.concat_ws(" ", pick(_TEXTS, F.floor(C("seq") / 5)), "context").alias("text"))
+    rows = postings(spark, d).select("seq", pick(_URLS, C("seq")).alias("source_url"), F.concat_ws(" ", pick(_TEXTS, whole(C("seq"), 5)), "context").alias("text"))
     told = F.array_join(F.transform("evidence", lambda e: F.concat_ws("=", e["claim"], e["value"])), "|")
     return evidence.verify_positions(rows).select("seq", "position_status", "funding_confirmed", "source_priority", "verification_level", told.alias("evidence"))
 
@@ -244,7 +244,7 @@ def exclusions(spark, d):
 def _listing(spark, d):
     """Listing pages made of the postings: one for each ten orders, so that
     pages grow in number and not in length."""
-    p = postings(spark, d).select("seq", "url", "title", "context", (C("seq") / 100_000_000_000).cast("long").alias("page_id"))
+    p = postings(spark, d).select("seq", "url", "title", "context", whole(C("seq"), 100_000_000_000).alias("page_id"))
     link = F.format_string('<li><a href="%s">%s</a> %s</li>', "url", "title", "context")
     rows = p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", link.alias("h"))))["h"], "\n").alias("items"))
     page = F.concat(F.lit('<html><h1>Research jobs</h1><a href="/home">Home</a> <a href="/careers">Careers at Example</a> <a href="/about-us">About</a> <a href="https://other.net/jobs">Other jobs</a>'), "items", F.lit('<a href="?page='), (F.col("page_id") % 4 + 2).cast("string"), F.lit('">Next page</a></html>'))

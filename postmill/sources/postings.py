@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POSTINGS = """
@@ -58,6 +58,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(POSTINGS, **{t: table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")})
 
 
+def whole(key: Column, by: int) -> Column:
+    """Whole part of a division of whole numbers.  Keys of large tables are
+    beyond the 2 ** 53 up to which a double tells them apart."""
+    return F.call_function("div", key, F.lit(by))
+
+
 def spread(rows: DataFrame, fact: DataFrame) -> DataFrame:
     """Rows dealt out before costly expressions, where the fact table lies in
     fewer files than there are cores (one file is often one row group, and so

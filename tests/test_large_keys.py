@@ -25,3 +25,8 @@ def changed(folder, change):
 @pytest.mark.parametrize("name", ["s19_s23_verify_positions", "k02_site_records", "h04_h10_vacancy_next"])
 def test_keys_beyond_a_double(spark, tmp_path, name):
     compare(spark, registry.QUERIES[name], registry.ORACLES[name], changed(tmp_path, FAR))
+
+
+@pytest.mark.parametrize("name", ["a12_declared_rules", "t01_last_good"])
+def test_fractions_and_good_runs_without_rows(spark, tmp_path, name):
+    compare(spark, registry.QUERIES[name], registry.ORACLES[name], changed(tmp_path, ODD))

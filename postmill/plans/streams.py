@@ -30,7 +30,7 @@ FROM g
 def last_good(spark, d):
     """The cache that never loses a source's last good run, as state."""
     logs = _stamped(crawl_logs(spark, d))
-    runs = logs.select("event_id", "source", "started_at", F.when(C("success"), F.floor("duration_ms")).otherwise(0).cast("long").alias("n"), F.coalesce("error_message", F.lit("")).alias("note"))
+    runs = logs.select("event_id", "source", "started_at", "success", F.when(C("success"), F.floor("duration_ms")).otherwise(0).cast("long").alias("n"), F.coalesce("error_message", F.lit("")).alias("note"))
     held = jobs.drained(jobs.last_good(jobs.arriving(runs, "event_id").drop("event_id")), keys=("source",))
     stale = C("fetched_at").isNull() | (C("fetched_at") < F.lit("2024-01-29 12:00:00").cast("timestamp"))
     return held.select("source", C("fetched_at").cast("string").alias("fetched_at"), "n", "last_error", stale.alias("stale"))

@@ -39,10 +39,11 @@ def verify_positions(found: DataFrame) -> DataFrame:
     return known.withColumn("funding_confirmed", funding.isNotNull()).withColumn("verification_level", level).withColumn("evidence", evidence)
 
 
-def published_evidence() -> Column:
+def published_evidence(chars: Column | None = None) -> Column:
     """Up to four pieces of evidence of a published row: source, source_label,
     title, url, enriched, description_full, country, deadline,
-    has_funding_evidence."""
+    has_funding_evidence; ``chars``: the full description's length, where the
+    row does not hold all of it."""
     deadline, enriched, funded = F.coalesce("deadline", F.lit("")), F.coalesce("enriched", F.lit(False)), F.coalesce("has_funding_evidence", F.lit(False))
     country = F.coalesce("country", F.lit(""))
 
@@ -50,7 +51,8 @@ def published_evidence() -> Column:
         return F.struct(claim.alias("claim"), value.alias("value"), F.col("url").alias("source_url"), kind.alias("source_type"), confidence.cast("double").alias("confidence"))
 
     official, own = F.col("source").isin(*fixed.OFFICIAL_SOURCES), F.lit("official")
-    parsed = F.concat(F.length(F.coalesce("description_full", F.lit(""))).cast("string"), F.lit(" chars of description"), F.when(country != "", F.concat(F.lit(", country="), country)).otherwise(""))
+    length = F.length(F.coalesce("description_full", F.lit(""))) if chars is None else chars
+    parsed = F.concat(length.cast("string"), F.lit(" chars of description"), F.when(country != "", F.concat(F.lit(", country="), country)).otherwise(""))
     return F.array_compact(F.array(
         item(F.concat(F.lit("Listed as a doctoral opening on "), F.coalesce("source_label", "source")), F.col("title"), F.when(official, "official").otherwise("aggregator"), record_confidence(F.col("source"), enriched, deadline != "", funded)),
         F.when(enriched, item(F.lit("Detail page fetched and parsed"), parsed, own, F.lit(0.9))),

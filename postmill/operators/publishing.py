@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postmill.functions import gates
+from postmill.functions.dates import bind
 from postmill.functions.urls import canonical
 from postmill.operators.evidence import published_evidence
 from postmill.operators.numbering import numbered
@@ -19,13 +20,26 @@ from postmill.operators.scoring import tier
 
 C = F.col
 STATUSES = ("open", "rolling", "unknown")
+#: Characters of a description that a record shows.
+SHOWN = 420
+_USED = (
+    "title", "url", "source", "source_label", "context", "org_hint", "guess_org", "university", "country", "deadline", "deadline_date", "deadline_status", "fit", "posted", "enriched", "has_funding_evidence",
+)
+
+
+def _carried(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` what their order, records and meta data need: of a full
+    description the shown characters and its length."""
+    full = F.coalesce("description_full", F.lit(""))
+    return rows.select("seq", *_USED, F.left(full, F.lit(SHOWN)).alias("description_full"), F.length(full).alias("full_chars"))
 
 
 def site_records(rows: DataFrame) -> DataFrame:
     """The records of the site; ``rows``: n (their place in the list), title,
     url, source, source_label, context, description_full, org_hint, guess_org,
     university, country, deadline, deadline_date, deadline_status, fit, posted,
-    enriched, has_funding_evidence."""
+    enriched, has_funding_evidence; where full_chars is there, description_full
+    is only the beginning of a text of that length."""
     given = lambda *names: F.coalesce(*(F.nullif(C(n), F.lit("")) for n in names))
     said = lambda name: F.trim(F.coalesce(C(name), F.lit("")))
     label, fit = F.coalesce("source_label", "source", F.lit("")), F.coalesce("fit", F.lit(0))
@@ -35,8 +49,8 @@ def site_records(rows: DataFrame) -> DataFrame:
         F.lit("N/A").alias("department"), F.lit("See official posting").alias("pi_name"), F.lit("").alias("pi_email"), F.when(funded, "Funding evidence on page").otherwise("See official posting").alias("funding"),
         F.coalesce(F.nullif(said("deadline"), F.lit("")), F.lit("See official posting")).alias("application_deadline"), said("deadline_date").alias("deadline_date"), F.coalesce(F.nullif(said("deadline_status"), F.lit("")), F.lit("unknown")).alias("deadline_status"),
         F.lit("FUNDED_PHD").alias("opportunity_type"), F.lit("Biomechanics / Human Movement").alias("research_domain"), fit.alias("research_fit_score"), tier(fit, 75, 55).alias("contact_priority"),
-        F.coalesce("url", F.lit("")).alias("url"), F.coalesce("url", F.lit("")).alias("source_url"), F.coalesce("posted", F.lit("")).alias("posted"), F.left(F.coalesce(given("description_full", "context"), F.lit("")), F.lit(420)).alias("description"),
-        label.alias("source"), published_evidence().alias("evidence"),
+        F.coalesce("url", F.lit("")).alias("url"), F.coalesce("url", F.lit("")).alias("source_url"), F.coalesce("posted", F.lit("")).alias("posted"), F.left(F.coalesce(given("description_full", "context"), F.lit("")), F.lit(SHOWN)).alias("description"),
+        label.alias("source"), published_evidence(C("full_chars") if "full_chars" in rows.columns else None).alias("evidence"),
     )
 
 
@@ -67,7 +81,7 @@ def record_checks() -> dict[str, Column]:
     return {
         "no_positions": (F.count(F.lit(1)) == 0).cast("long"), "without_url": F.count_if(blank("url")), "without_evidence": F.count_if(F.coalesce(F.size("evidence"), F.lit(0)) <= 0), "without_fit": F.count_if(C("research_fit_score").isNull()),
         "expired_published": F.count_if(C("deadline_status") == "expired"), "open_without_date": F.count_if((C("deadline_status") == "open") & blank("deadline_date")),
-        "unexpected_status": F.count_if(~F.coalesce("deadline_status", F.lit("none")).isin(*STATUSES)), "secrets": F.count_if(gates.secret_shape(told)),
+        "unexpected_status": F.count_if(~F.coalesce("deadline_status", F.lit("none")).isin(*STATUSES)), "secrets": F.count_if(bind(told, gates.secret_shape)),
     }
 
 
@@ -90,15 +104,16 @@ def checks(sources: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str) -> dict:
-    """Number ``rows`` by fit (then seq, then context), write their records as JSON and return meta data
-    and violations of what was written.  Only the repeated addresses are counted
-    afterwards, from the written file."""
-    listed = numbered(rows, F.desc_nulls_last("fit"), "seq", "context")
+    """Number ``rows`` by fit (then seq, then context), write their records as
+    gzipped JSON (their evidence repeats itself, so that plain JSON is many times
+    as large) and return meta data and violations of what was written.  Only the
+    repeated addresses are counted apart, in one column of the numbered rows."""
+    listed = numbered(_carried(rows), F.desc_nulls_last("fit"), "seq", "context")
     seen, kept = Observation(), Observation()
     watched = listed.observe(seen, *(c.alias(n) for n, c in meta(rows).items()))
     records = site_records(watched).observe(kept, *(c.alias(n) for n, c in record_checks().items()))
-    records.write.mode("overwrite").json(path)
-    again = repeated_urls(rows.sparkSession.read.schema("url string").json(path)).head()[0]
+    records.write.mode("overwrite").json(path, compression="gzip")
+    again = repeated_urls(listed.select(F.coalesce("url", F.lit("")).alias("url"))).head()[0]
     return {**seen.get, "violations": {**kept.get, "repeated_urls": again}}
 
 

@@ -26,5 +26,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     in a form that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)

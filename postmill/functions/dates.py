@@ -18,7 +18,7 @@ KIND = "struct<raw:string,value:date,status:string,confidence:double>"
 
 
 def is_rolling(text: Column) -> Column:
-    return text.rlike(_ROLLING)
+    return text.rlike("(?i)(?=[rouna][opns])" + _ROLLING)
 
 
 def days_left(value: Column, as_of: Column) -> Column:
@@ -85,15 +85,21 @@ def _labelled(before: Column) -> Column:
     """Does a posting-date label stand in the forty characters before a date,
     after the last sentence stop (or before it, where no cue follows)?"""
     window = F.right(before, F.lit(40))
-    near = F.regexp_extract(window, r"(?s)(?:.*(?:\. |\n|; | \| ))?(.*)$", 1)
-    return near.rlike(f"(?i)({_LABEL})") | (window.rlike(f"(?i)({_LABEL})") & ~window.rlike(f"(?i)({_CUE})"))
 
+    def stands(w: Column) -> Column:
+        near = F.regexp_extract(w, r"(?s)(?:.*(?:\. |\n|; | \| ))?(.*)$", 1)
+        return w.rlike(_ANY_LABEL) & (near.rlike(_ANY_LABEL) | ~w.rlike(_ANY_CUE))
 
-_DATE = f"(?i){_ISO}|{_DMY}|{_MDY}|{_NUM}"
+    return bind(window, stands)
+
+
+# what a match can begin with is looked at first: most places of a text are left after one or two characters
+_ANY_CUE, _ANY_LABEL = f"(?i)(?=[dcasr][elpu][aopbg])({_CUE})", f"(?i)(?=[dpaculse][adlourtn])({_LABEL})"
+_DATE = rf"(?i)\b(?=[\djfmasond])(?:{_ISO}|{_DMY}|{_MDY}|{_NUM})"
 
 
 def _placed(raws: Column, text: Column) -> Column:
-    gaps = F.split(text, _DATE)
+    gaps = F.regexp_extract_all(text, F.lit(rf"\G([\s\S]*?){_DATE}"), F.lit(1))  # split would compile its pattern for each row; \G keeps what follows the last date linear
     return F.transform(raws, lambda raw, i: F.struct(F.trim(raw).alias("raw"), F.get(gaps, i).alias("before")))
 
 
@@ -122,7 +128,7 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
     def best(dates: Column) -> Column:
         is_iso = lambda d: d["raw"].rlike(rf"^{_ISO}$")
         by_iso = bind(F.get(F.filter(dates, is_iso), F.lit(0)), lambda d: bind(d["raw"], lambda raw: typed(raw, text, as_of, day_first, 0.95, 0.95)))
-        cue, windows = F.regexp_extract(text, f"(?i)({_CUE})", 0), F.regexp_extract_all(text, F.lit(f"(?is)({_CUE})(?=(.{{0,60}}))"), F.lit(2))
+        cue, windows = F.regexp_extract(text, _ANY_CUE, 0), F.regexp_extract_all(text, F.lit(f"(?s){_ANY_CUE}(?=(.{{0,60}}))"), F.lit(2))
         by_cue = bind(first_settled(F.transform(windows, near_cue)), lambda d: graded(d, F.concat_ws(" ", cue, d["raw"]), F.least(F.round(d["confidence"] + 0.05, 2), F.lit(1.0))))
         spoken = lambda raw: F.when(raw.rlike(r"^[\d/.-]+$"), text).otherwise(F.lit(""))
         plain = F.transform(dates, lambda d: bind(d["raw"], lambda raw: typed(raw, spoken(raw), as_of, day_first, 0.9, 0.6)))
@@ -133,7 +139,7 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
     def unlabelled(raws: Column) -> Column:
         return F.when(F.size(raws) > 0, bind(F.filter(_placed(raws, text), lambda d: ~_labelled(d["before"])), best)).otherwise(none)
 
-    return bind(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), unlabelled)
+    return F.when(text.rlike("[0-9]"), bind(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), unlabelled)).otherwise(none)
 
 
 def deadline_line(status: Column, value: Column, as_of: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.dates import bind
+
 # Query parameters that only track, by prefix.
 TRACKING = ("utm_", "fbclid", "gclid", "msclkid", "_ga", "ref", "referrer", "source", "campaign")
 
@@ -65,18 +67,21 @@ def url_pattern(url: Column) -> Column:
 
 def absolute(url: Column, base: Column) -> Column:
     """A link's address as seen from the page at ``base``, without fragment."""
-    raw = F.substring_index(F.trim(url), "#", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z]+):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
-    return (
-        F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
-        .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
-        .when(raw.startswith("/"), F.concat(root, raw))
-        .when(raw.startswith("?"), F.concat(root, path(base), raw))
-        .when(raw == "", F.substring_index(base, "#", 1))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), raw))
-    )
+
+    def seen(raw: Column) -> Column:
+        return (
+            F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
+            .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
+            .when(raw.startswith("/"), F.concat(root, raw))
+            .when(raw.startswith("?"), F.concat(root, path(base), raw))
+            .when(raw == "", F.substring_index(base, "#", 1))
+            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), raw))
+        )
+
+    return bind(F.substring_index(F.trim(url), "#", 1), seen)
 
 
 def resolved(url: Column, base: Column) -> Column:
@@ -88,17 +93,19 @@ def resolved(url: Column, base: Column) -> Column:
 def normalise(url: Column, base: Column) -> Column:
     """Absolute http(s) URL: lower-case host, no fragment, no tracking
     parameters, no trailing slash; empty where it is none."""
-    whole = absolute(url, base)
-    kept = F.filter(
-        F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"),
-        lambda kv: (kv != "") & ~F.lower(F.trim(F.substring_index(kv, "=", 1))).rlike("^(" + "|".join(TRACKING) + ")"),
-    )
-    bare = F.rtrim(path(whole), F.lit("/"))
-    clean = F.concat(
-        F.lower(F.regexp_extract(whole, r"^([A-Za-z]+)://", 1)), F.lit("://"), host(whole), F.when(bare == "", F.lit("/")).otherwise(bare),
-        F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")),
-    )
-    return F.when(url.isNull() | (F.trim(url) == ""), F.lit("")).when(whole.rlike(r"(?i)^https?://[^/?#]+"), clean).otherwise(F.lit(""))
+    tracks = lambda kv: F.lower(F.trim(F.substring_index(kv, "=", 1))).rlike("^(" + "|".join(TRACKING) + ")")
+
+    def query(whole: Column) -> Column:
+        kept = F.filter(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"), lambda kv: (kv != "") & ~tracks(kv))
+        joined = bind(F.array_join(kept, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+        return F.when(whole.contains("?"), joined).otherwise(F.lit(""))
+
+    def clean(whole: Column) -> Column:
+        bare = bind(F.rtrim(path(whole), F.lit("/")), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
+        return F.concat(F.lower(F.regexp_extract(whole, r"^([A-Za-z]+)://", 1)), F.lit("://"), host(whole), bare, query(whole))
+
+    normal = bind(absolute(url, base), lambda w: F.when(w.rlike(r"(?i)^https?://[^/?#]+"), clean(w)).otherwise(F.lit("")))
+    return F.when(url.isNull() | (F.trim(url) == ""), F.lit("")).otherwise(normal)
 
 
 def unwrap_redirect(url: Column) -> Column:

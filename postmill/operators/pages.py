@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import fixed, gates, titles, urls
-from postmill.functions.dates import deadline, is_rolling
+from postmill.functions.dates import bind, deadline, is_rolling
 from postmill.functions.fixed import rule
 from postmill.operators.cards import linked_cards
 
@@ -24,9 +24,13 @@ def plain(html: Column) -> Column:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, text, url of every link."""
-    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("pos", "a"))
-    href = F.regexp_extract("a", ANCHOR, 1)
-    return found.select("page_id", "page_url", "pos", href.alias("href"), plain(F.regexp_extract("a", ANCHOR, 2)).alias("text"), urls.normalise(href, F.col("page_url")).alias("url"))
+    def link(a: Column) -> Column:
+        text = plain(F.regexp_extract(a, ANCHOR, 2))
+        return bind(F.regexp_extract(a, ANCHOR, 1), lambda href: F.struct(href.alias("href"), text.alias("text"), urls.normalise(href, F.col("url")).alias("url")))
+
+    # inside the generator, where a filter on an address does not compute it again
+    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)), link)).alias("pos", "a"))
+    return found.select("page_id", "page_url", "pos", "a.href", "a.text", "a.url")
 
 
 def first_links(links: DataFrame) -> DataFrame:
@@ -103,7 +107,8 @@ def harvest(pages: DataFrame, as_of: Column, limit: int = 80) -> DataFrame:
     """
     links = linked_cards(pages)
     href, text, head, row = F.col("href"), F.col("text"), F.col("heading"), F.col("row_text")
-    link = links.withColumn("url", F.when(href.rlike("^(https?:)?//"), href).otherwise(urls.resolved(href, F.col("page_url"))))
+    address = F.when(href.rlike("^(https?:)?//"), href).otherwise(urls.resolved(href, F.col("page_url")))
+    link = links.withColumn("url", F.explode(F.array(address)))  # computed once, whatever filters ask for it
     own = F.when((F.length(head) > 12) & (F.length(head) < 200), head).otherwise(text)
     short = (F.length(own) <= 12) & F.col("card").isNotNull() & (F.length(row) > 12)
     title = F.when(short, F.coalesce("row_first", F.lit(""))).otherwise(own)
@@ -137,10 +142,12 @@ def enrich(postings: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     page's where it states one), funding flag, country, organisation and
     heading.  ``postings``: url, title, context, country and any others;
     ``pages``: url, html, one row for each url."""
-    detail = pages.select(F.col("url").alias("page_url"), "html")
-    rows = postings.join(detail, postings["url"] == detail["page_url"], "left")
-    text = rows.withColumn("enriched", F.col("page_url").isNotNull()).withColumn("description_full", description(F.coalesce("html", F.lit(""))))
-    blob = text.withColumn("blob", F.concat_ws(" ", "title", "context", "description_full"))
+    site = F.left(F.regexp_extract("html", r"(?is)<meta\b[^>]*(?:og:site_name|application-name)[^>]*content\s*=\s*[\"']([^\"']*)", 1), F.lit(90))
+    # a page is read once, before it meets its postings, however many they are; exploded arrays stay below the join
+    read = F.explode(F.array(F.struct(description(F.coalesce("html", F.lit(""))).alias("description_full"), site.alias("org_hint"), heading(F.col("html")).alias("page_heading"))))
+    detail = pages.select(F.col("url").alias("page_url"), read.alias("page")).select("page_url", "page.*")
+    rows = postings.join(detail, postings["url"] == detail["page_url"], "left").withColumn("enriched", F.col("page_url").isNotNull())
+    blob = rows.withColumn("description_full", F.coalesce("description_full", F.lit(""))).withColumn("blob", F.concat_ws(" ", "title", "context", "description_full"))
     found = F.when(F.col("enriched"), deadline(F.col("blob"), as_of))
     dated = blob.withColumn("page_deadline", F.explode(F.array(found)))
     status = F.when(is_rolling(F.col("blob")), F.lit("rolling")).otherwise(F.col("page_deadline.status"))
@@ -148,7 +155,7 @@ def enrich(postings: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
         *postings.drop("country").columns, "enriched", "description_full", F.col("page_deadline.raw").alias("page_deadline_raw"), F.col("page_deadline.value").alias("page_deadline_date"),
         F.when(F.col("page_deadline.raw") != "", status).otherwise("unknown").alias("page_deadline_status"), F.when(F.col("enriched"), titles.has_funding(F.col("blob"))).otherwise(False).alias("has_funding_evidence"),
         F.coalesce(F.nullif(F.when(F.col("enriched"), titles.infer_country(F.col("url"), F.col("blob"))), F.lit("")), "country").alias("country"),
-        F.left(F.regexp_extract("html", r"(?is)<meta\b[^>]*(?:og:site_name|application-name)[^>]*content\s*=\s*[\"']([^\"']*)", 1), F.lit(90)).alias("org_hint"), heading(F.col("html")).alias("page_heading"),
+        "org_hint", "page_heading",
     )
 
 

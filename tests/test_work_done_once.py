@@ -1,8 +1,10 @@
 """What large tables need: costly work is done once, and little is written."""
 
+from pyspark.sql import functions as F
 from test_publishing import GOOD, ROWS
 
-from postmill.operators import publishing
+from postmill.functions import dates
+from postmill.operators import pages, publishing
 
 
 def optimized(df):
@@ -17,3 +19,20 @@ def test_records_are_compressed_and_whole(spark, tmp_path):
     assert files and all(f.endswith(".json.gz") for f in files)
     back = spark.read.json(f"file://{tmp_path}/site").head()
     assert back.description == long[:420] and back.evidence[1].value.startswith("1000 chars of description")
+
+
+def test_pages_are_read_before_they_meet_their_postings(spark):
+    rows = spark.createDataFrame([("u", "PhD", "", "")], "url string, title string, context string, country string")
+    found = pages.enrich(rows, spark.createDataFrame([("u", "<h1>x</h1>")], "url string, html string"), F.lit("2026-06-01").cast("date"))
+    above = optimized(found).split("Join LeftOuter")[0]
+    assert "script|style" not in above and "og:site_name" not in above
+
+
+def test_addresses_of_links_are_computed_once(spark):
+    plan = optimized(pages.vacancy_links(spark.createDataFrame([(1, "https://x.org/", "<a href='/phd/1'>PhD</a>")], "page_id long, url string, html string")))
+    assert plan.count("fbclid") == 1
+
+
+def test_dates_need_no_pattern_compiled_for_each_row(spark):
+    plan = optimized(spark.createDataFrame([("Deadline: 1 May 2027",)], "t string").select(dates.deadline(F.col("t"), F.lit("2026-06-01").cast("date"))))
+    assert "split(" not in plan

@@ -168,23 +168,32 @@ def cache_age_days(fetched_at: Column, now: Column) -> Column:
 DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "yyyy-M-d", "d MMM yyyy", "d MMMM yyyy")
 
 
+#: What a text must look like to be a date in a format at all: a format that
+#: does not fit costs an exception, so it is tried only where it may.
+_SHAPES = {
+    "d/M/yyyy": r"^\d+/\d+/[+-]?\d{4,}$", "d-M-yyyy": r"^\d+-\d+-[+-]?\d{4,}$", "d/M/yy": r"^\d+/\d+/\d\d$", "d-M-yy": r"^\d+-\d+-\d\d$",
+    "yyyy-M-d": r"^[+-]?\d{4,}-\d+-\d+$", "d MMM yyyy": r"^\d+ [A-Za-z]{3} [+-]?\d{4,}$", "d MMMM yyyy": r"^\d+ (?:(?i:may)|[A-Za-z]{4,}) [+-]?\d{4,}$",
+}
+
+
 def date_by_formats(text: Column, formats=DAY_FIRST) -> Column:
     """A date in the first of the formats that fits; two-digit years are 1969
     to 2068."""
-    one = F.regexp_replace(F.trim(text), r"\s+", " ")
 
-    def read(form: str) -> Column:
+    def read(one: Column, form: str) -> Column:
         found = F.try_to_date(one, form)
-        return F.when(F.year(found) > 2068, F.add_months(found, -1200)).otherwise(found) if form.endswith("/yy") or form.endswith("-yy") else found
+        if form.endswith(("/yy", "-yy")):
+            found = bind(found, lambda d: F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d))
+        return F.when(one.rlike(_SHAPES[form]), found) if form in _SHAPES else found
 
-    return F.coalesce(*map(read, formats))
+    return bind(F.regexp_replace(F.trim(text), r"\s+", " "), lambda one: F.coalesce(*(read(one, form) for form in formats)))
 
 
 def stated_deadline(text: Column, patterns=fixed.STATED_DEADLINES, formats=DAY_FIRST) -> Column:
     """The date of the first pattern whose match is a date in one of the
     formats, null without one."""
-    found = (F.nullif(F.regexp_extract(text, fixed.rule(p), 1), F.lit("")) for p in patterns)
-    return F.coalesce(*(date_by_formats(x, formats) for x in found))
+    found = (F.regexp_extract(text, fixed.rule(p), 1) for p in patterns)
+    return F.when(text.rlike("[0-9]"), F.coalesce(*(date_by_formats(x, formats) for x in found)))  # the formats read these digits only
 
 
 def element_deadline(text: Column) -> Column:

@@ -5,6 +5,7 @@ from test_publishing import GOOD, ROWS
 
 from postmill.functions import dates
 from postmill.operators import pages, publishing
+from postmill.sources import postings
 
 
 def optimized(df):
@@ -36,3 +37,26 @@ def test_addresses_of_links_are_computed_once(spark):
 def test_dates_need_no_pattern_compiled_for_each_row(spark):
     plan = optimized(spark.createDataFrame([("Deadline: 1 May 2027",)], "t string").select(dates.deadline(F.col("t"), F.lit("2026-06-01").cast("date"))))
     assert "split(" not in plan
+
+
+DATES = (
+    "5/6/1999", "05/06/99", "5-6-1999", "5-6-69", "5/6/68", "1999-6-5", "1999-06-31", "31/2/1999", "5 Jun 1999", "5 june  1999", " 5 May 1999 ", "5 Marc 1999", "5 mAY 20001", "+5/6/1999", "5/6/+20001", "5/6/-1999",
+    "-1999-6-5", "0005/6/1999", "5/6/199", "5/6/19999", "1999-6-5 x", "٥/٦/١٩٩٩", "", None, "soon",
+)
+
+
+def test_a_format_is_tried_only_where_it_may_fit(spark):
+    """A format that does not fit costs an exception a row."""
+    rows = spark.createDataFrame([(x,) for x in DATES], "t string")
+    one = F.regexp_replace(F.trim("t"), r"\s+", " ")
+    late = lambda form, d: F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d) if form.endswith(("/yy", "-yy")) else d
+    plain = F.coalesce(*(late(form, F.try_to_date(one, form)) for form in dates.DAY_FIRST))
+    got = rows.select("t", dates.date_by_formats(F.col("t")).cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+    assert [(r.t, r.a) for r in got] == [(r.t, r.b) for r in got] and sum(r.a is not None for r in got) >= 11
+    plan = optimized(rows.select(dates.date_by_formats(F.col("t"))))
+    assert plan.count("RLIKE") >= len(dates.DAY_FIRST)
+
+
+def test_numbers_are_dealt_out_and_not_the_texts_made_of_them(spark):
+    plan = optimized(postings.spread_postings(spark, "/root/testdata/sf0.001"))
+    assert plan.index("Join") < plan.index("Repartition")

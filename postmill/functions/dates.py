@@ -26,12 +26,15 @@ def days_left(value: Column, as_of: Column) -> Column:
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
-    """The date, null where it is impossible."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    """The date, null where it is impossible; the parts should be cheap
+    references.  Checked by numbers, since a text that is no date costs an
+    exception."""
+    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(year.between(0, 9999) & month.between(1, 12) & (day >= 1), F.when((day <= 28) | (day <= last), F.make_date(year, month, day)))
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
+    return bind(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x.try_cast("int")))  # no number costs an exception
 
 
 def _month(text: Column) -> Column:
@@ -41,32 +44,40 @@ def _month(text: Column) -> Column:
 
 
 def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)`` with ``value`` computed once, however often it is used.
+    The one element is taken by ``array_max``: ``get`` would derive the type
+    of the whole expression again for each row."""
+    return F.array_max(F.transform(F.array(value), use))
 
 
 def typed(raw: Column, text: Column, as_of: Column, day_first: bool, sure: float, guess: float) -> Column:
     """A matched date as (raw, value, status, confidence); null for no match.
     ``raw``, ``text`` and ``as_of`` should be cheap references."""
-    iso = raw.rlike(rf"^{_ISO}$")
     dated_by_itself = raw.rlike(r"^\d{4}[-/]|\d{4}$|[-/.]\d{2,4}$")  # whether it recurs does not matter then
-    numbers = F.struct(
-        iso.alias("iso"), (raw.rlike(rf"^{_NUM}$") & ~iso).alias("numeric"),
-        _number(raw, r"^(\d{1,2})\D", 1).alias("a"), _number(raw, r"^\d{1,2}\D(\d{1,2})", 1).alias("b"),
-        _number(raw, r"(\d{2,4})$", 1).alias("y"), _number(raw, r"(\d{4})$", 1).alias("y4"), (~dated_by_itself & text.rlike(_RECURS)).alias("recurs"),
+    never = F.lit(False).alias("recurs")
+
+    # each kind of date looks for its own parts only
+    numbers = F.struct(_number(raw, r"^(\d{1,2})\D", 1).alias("a"), _number(raw, r"^\d{1,2}\D(\d{1,2})", 1).alias("b"), _number(raw, r"(\d{2,4})$", 1).alias("y"))
+    by_iso = F.struct(
+        _number(raw, r"^(\d{4})", 1).alias("year"), _number(raw, r"^\d{4}\D(\d{1,2})", 1).alias("month"), _number(raw, r"(\d{1,2})$", 1).alias("day"), F.lit(sure).alias("sureness"), never,
     )
 
-    def parts(n: Column) -> Column:
+    def by_numbers(n: Column) -> Column:
         certain = ((n["a"] > 12) & (n["b"] <= 12)) | ((n["b"] > 12) & (n["a"] <= 12))
         day_is_a = F.when((n["a"] > 12) & (n["b"] <= 12), True).when((n["b"] > 12) & (n["a"] <= 12), False).otherwise(F.lit(day_first))
         return F.struct(
-            F.when(n["iso"], _number(raw, r"^(\d{4})", 1)).when(n["numeric"], F.when(n["y"] < 100, n["y"] + 2000).otherwise(n["y"])).otherwise(n["y4"]).alias("year"),
-            F.when(n["iso"], _number(raw, r"^\d{4}\D(\d{1,2})", 1)).when(n["numeric"], F.when(day_is_a, n["b"]).otherwise(n["a"])).otherwise(_month(raw)).alias("month"),
-            F.when(n["iso"], _number(raw, r"(\d{1,2})$", 1)).when(n["numeric"], F.when(day_is_a, n["a"]).otherwise(n["b"])).otherwise(_number(raw, r"(?:^|\D)(\d{1,2})(?:st|nd|rd|th)?(?:\D|$)", 1)).alias("day"),
-            F.when(n["numeric"] & ~F.coalesce(certain, F.lit(False)), F.lit(guess)).otherwise(F.lit(sure)).alias("sureness"),
-            n["recurs"].alias("recurs"),
+            F.when(n["y"] < 100, n["y"] + 2000).otherwise(n["y"]).alias("year"), F.when(day_is_a, n["b"]).otherwise(n["a"]).alias("month"), F.when(day_is_a, n["a"]).otherwise(n["b"]).alias("day"),
+            F.when(~F.coalesce(certain, F.lit(False)), F.lit(guess)).otherwise(F.lit(sure)).alias("sureness"), never,
         )
 
+    def by_words(year: Column) -> Column:
+        return F.struct(
+            year.alias("year"), _month(raw).alias("month"), _number(raw, r"(?:^|\D)(\d{1,2})(?:st|nd|rd|th)?(?:\D|$)", 1).alias("day"), F.lit(sure).alias("sureness"),
+            (year.isNull() & ~dated_by_itself & text.rlike(_RECURS)).alias("recurs"),
+        )
+
+    parts = F.when(raw.rlike(rf"^{_ISO}$"), by_iso).when(raw.rlike(rf"^{_NUM}$"), bind(numbers, by_numbers)).otherwise(bind(_number(raw, r"(\d{4})$", 1), by_words))
+
     def dated(p: Column) -> Column:
         this_year = safe_date(F.year(as_of), p["month"], p["day"])
         implied = bind(this_year, lambda d: F.when(d >= as_of, d).otherwise(safe_date(F.year(as_of) + 1, p["month"], p["day"])))
@@ -78,7 +89,7 @@ def typed(raw: Column, text: Column, as_of: Column, day_first: bool, sure: float
         confidence = F.when(v["value"].isNull() & ~v["unresolved"], F.lit(0.0)).otherwise(v["sureness"])
         return F.struct(raw.alias("raw"), v["value"].alias("value"), status.alias("status"), confidence.alias("confidence"))
 
-    return F.when(raw.isNotNull() & (raw != ""), bind(bind(bind(numbers, parts), dated), result))
+    return F.when(raw.isNotNull() & (raw != ""), bind(bind(parts, dated), result))
 
 
 def _labelled(before: Column) -> Column:
@@ -95,7 +106,7 @@ def _labelled(before: Column) -> Column:
 
 # what a match can begin with is looked at first: most places of a text are left after one or two characters
 _ANY_CUE, _ANY_LABEL = f"(?i)(?=[dcasr][elpu][aopbg])({_CUE})", f"(?i)(?=[dpaculse][adlourtn])({_LABEL})"
-_DATE = rf"(?i)\b(?=[\djfmasond])(?:{_ISO}|{_DMY}|{_MDY}|{_NUM})"
+_DATE = rf"(?i)(?=\d|[jfmasond][aepuco][nbrylgptvc])\b(?:{_ISO}|{_DMY}|{_MDY}|{_NUM})"
 
 
 def _placed(raws: Column, text: Column) -> Column:
@@ -116,7 +127,7 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
     none = F.struct(F.lit("").alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence"))
 
     def first_settled(results: Column) -> Column:
-        return F.get(F.filter(results, lambda d: d["status"] != "unknown"), F.lit(0))
+        return bind(results, lambda all_of: F.get(F.filter(all_of, lambda d: d["status"] != "unknown"), F.lit(0)))
 
     def near_cue(w: Column) -> Column:
         part = lambda pattern: F.nullif(F.trim(F.regexp_extract(w, pattern, 0)), F.lit(""))
@@ -137,7 +148,10 @@ def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
         return F.coalesce(by_iso, by_cue, by_any, unresolved, none)
 
     def unlabelled(raws: Column) -> Column:
-        return F.when(F.size(raws) > 0, bind(F.filter(_placed(raws, text), lambda d: ~_labelled(d["before"])), best)).otherwise(none)
+        """Where no label stands anywhere, none stands before a date."""
+        placed = F.filter(_placed(raws, text), lambda d: ~_labelled(d["before"]))
+        all_of = F.transform(raws, lambda raw: F.struct(F.trim(raw).alias("raw"), F.lit("").alias("before")))
+        return F.when(F.size(raws) > 0, bind(F.when(text.rlike(_ANY_LABEL), placed).otherwise(all_of), best)).otherwise(none)
 
     return F.when(text.rlike("[0-9]"), bind(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), unlabelled)).otherwise(none)
 

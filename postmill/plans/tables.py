@@ -32,15 +32,18 @@ def _hits(text: str, terms) -> str:
     return f"len(list_filter({_sql(terms)}, lambda x: contains({text}, x)))"
 
 
-def gated(rows):
+def gated(rows, rate_expired=False):
     """Postings with the reason that a gate rejects them for, or ``ok``; in
-    gate order: title, deadline, topic with its thin-context deferral."""
+    gate order: title, deadline, topic with its thin-context deferral.  Each
+    gate looks at what those before it let pass; the fit of expired rows, which
+    no later gate needs, is 0 unless asked for."""
     title, context = C("title"), C("context")
-    named = rows.select("*", F.split_part(gates.gate_title(title), F.lit(":"), F.lit(1)).alias("title_reason"))
+    live = C("title_reason") == "ok"
+    named = rows.select("*", gates.title_reason(title).alias("title_reason"))
     # exploding a one-element array keeps a costly column from being computed again wherever it is used
-    step = named.select("*", F.explode(F.array(F.struct(
-        F.when(C("title_reason") == "ok", dates.deadline(context, as_of())).alias("deadline"), F.when(C("title_reason") == "ok", gates.topic_fit(title, context)).otherwise(0).alias("fit"),
-    ))).alias("found")).select("*", "found.*").drop("found")
+    dated = named.select("*", F.explode(F.array(F.when(live, dates.deadline(context, as_of())))).alias("deadline"))
+    rated = live if rate_expired else live & (C("deadline.status") != "expired")
+    step = dated.select("*", F.explode(F.array(F.when(rated, gates.topic_fit(title, context)).otherwise(0))).alias("fit"))
     thin = gates.thin_context(C("source"), title, context)
     why = (
         F.when(C("title_reason") != "ok", C("title_reason")).when(C("deadline.status") == "expired", "deadline")
@@ -96,7 +99,7 @@ def funnel(spark, d):
 
 @query("s01_topic_fit", _GATED + "SELECT seq, CASE WHEN reason IN ('role', 'field', 'not-doctoral') THEN 0 ELSE fit END AS fit, reason FROM g")
 def topic_fit(spark, d):
-    return gated(spread_postings(spark, d)).select("seq", "fit", "reason")
+    return gated(spread_postings(spark, d), rate_expired=True).select("seq", "fit", "reason")
 
 
 @query("f02_f03_deadline_thin_gates", _DATE_ORACLE + "SELECT seq, status <> 'expired' AS live, seq % 3 = 0 AND regexp_matches(lower(title), 'phd|doctoral|studentship') AND NOT contains(title, 'Chemistry') AND length(context) < 120 AS waits FROM dl")

@@ -5,6 +5,7 @@ from test_publishing import GOOD, ROWS
 
 from postmill.functions import dates
 from postmill.operators import pages, publishing
+from postmill.plans import tables
 from postmill.sources import postings
 
 
@@ -60,3 +61,28 @@ def test_a_format_is_tried_only_where_it_may_fit(spark):
 def test_numbers_are_dealt_out_and_not_the_texts_made_of_them(spark):
     plan = optimized(postings.spread_postings(spark, "/root/testdata/sf0.001"))
     assert plan.index("Join") < plan.index("Repartition")
+
+
+def test_a_bound_value_is_taken_without_deriving_its_type(spark):
+    """``get`` of an array that an expression makes walks the expression for its type, a row at a time."""
+    rows = spark.createDataFrame([("a",), (None,)], "t string")
+    bound = dates.bind(F.upper("t"), lambda x: F.struct(x.alias("x"), F.coalesce(x, F.lit("none")).alias("y")))
+    assert [tuple(r[0]) for r in rows.select(bound).collect()] == [("A", "A"), (None, "none")]
+    assert "array_max" in optimized(rows.select(bound))
+
+
+def test_impossible_dates_are_null(spark):
+    parts = [(2027, 2, 29), (2028, 2, 29), (2027, 4, 31), (2027, 13, 1), (2027, 0, 1), (2027, 1, 0), (2027, 12, 31), (None, 3, 1), (2027, None, 1), (2027, 3, None), (199, 6, 5)]
+    rows = spark.createDataFrame(parts, "y int, m int, d int").select(dates.safe_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("v"))
+    assert [r.v for r in rows.collect()] == [None, "2028-02-29", None, None, None, None, "2027-12-31", None, None, None, "0199-06-05"]
+    assert "try_to_date" not in optimized(rows)
+
+
+def test_later_gates_see_only_what_earlier_ones_let_pass(spark):
+    rows = spark.createDataFrame(
+        [(1, "s", "PhD in Gait", "Deadline: 1997-01-01"), (2, "s", "PhD in Gait", "Deadline: 1999-01-01"), (3, "s", "Lecturer in Gait", ""), (4, "s", "PhD in Polymer", ""), (5, "s", "Gait", "")],
+        "seq int, source string, title string, context string",
+    )
+    found = lambda df: [(r.reason, r.fit) for r in df.orderBy("seq").collect()]
+    assert found(tables.gated(rows)) == [("deadline", 0), ("ok", 71), ("role", 0), ("field", 0), ("not-doctoral", 0)]
+    assert found(tables.gated(rows, rate_expired=True))[0] == ("deadline", 71)

@@ -105,14 +105,15 @@ def record_confidence(source: Column, enriched: Column, has_deadline: Column, fu
     return F.least(hundredths, F.lit(98)) / 100.0
 
 
-def token_sets(a: Column, b: Column) -> Column:
-    """Sorted distinct word sets: struct(common, only_a, only_b)."""
-    left, right = (F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != "")) for x in (a, b))
-    return F.struct(
-        F.array_join(F.array_sort(F.array_intersect(left, right)), " ").alias("common"),
-        F.array_join(F.array_sort(F.array_except(left, right)), " ").alias("only_a"),
-        F.array_join(F.array_sort(F.array_except(right, left)), " ").alias("only_b"),
-    )
+def word_set(text: Column) -> Column:
+    """Distinct words of a text, as an array."""
+    return F.array_remove(F.array_distinct(F.split(text, r"\s+")), "")
+
+
+def set_parts(left: Column, right: Column) -> Column:
+    """Two word sets, each part sorted: struct(common, only_a, only_b)."""
+    parts = (F.array_intersect(left, right), F.array_except(left, right), F.array_except(right, left))
+    return F.struct(*(F.array_join(F.sort_array(x), " ").alias(name) for x, name in zip(parts, ("common", "only_a", "only_b"))))
 
 
 def shared_length(a: str, b: str) -> int:
@@ -133,14 +134,18 @@ def _shared_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared_length(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two names by their word sets, 0 to 100: 100 where one set
-    holds the other, else the best insert-and-delete ratio among the common
-    words and the common words with each remainder.  Its only step in Python,
-    the common subsequence of the remainders, runs in Arrow batches."""
-    t = token_sets(a, b)
+def most_shared(a: Column, b: Column) -> Column:
+    """No common subsequence is longer: the letters of either text that the
+    other has at all."""
+    met = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    return F.least(met(a, b), met(b, a))
+
+
+def parts_ratio(t: Column, shared: Column) -> Column:
+    """Similarity, 0 to 100, of two word sets in ``set_parts`` whose remainders
+    have a common subsequence of ``shared`` letters; it grows with ``shared``."""
     common, left, right = F.length(t["common"]), F.length(t["only_a"]), F.length(t["only_b"])
-    edits = left + right - 2 * _shared_lengths(t["only_a"], t["only_b"])
+    edits = left + right - 2 * shared
     gap = F.when(common > 0, 1).otherwise(0)
     whole_a, whole_b = common + gap + left, common + gap + right
     ratio = lambda n, total: 100.0 * (1 - n / F.greatest(total, F.lit(1)))
@@ -150,15 +155,35 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.round(F.when(nothing, 0.0).when(subset, 100.0).otherwise(best), 4)
 
 
+def _true_ratio(t: Column) -> Column:
+    return parts_ratio(t, _shared_lengths(t["only_a"], t["only_b"]))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Similarity of two names by their word sets, 0 to 100: 100 where one set
+    holds the other, else the best insert-and-delete ratio among the common
+    words and the common words with each remainder.  Its only step in Python,
+    the common subsequence of the remainders, runs in Arrow batches."""
+    return _true_ratio(set_parts(word_set(a), word_set(b)))
+
+
 def best_concept_match(people: DataFrame, concepts: tuple, least: float = 75.0) -> DataFrame:
     """Per person and wanted concept the best matching keyword at ``least``
     similarity, the first of equals; ``people``: pi_id, keywords.  The wanted
-    concepts are a short literal list, so each keyword is compared within its row."""
-    wanted = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("concept")) for i, c in enumerate(concepts)))
-    pairs = people.select("pi_id", F.posexplode("keywords").alias("at", "keyword")).select("pi_id", "at", "keyword", F.explode(wanted).alias("w")).select("pi_id", "at", "keyword", "w.*")
-    scored = pairs.withColumn("similarity", token_set_ratio(normal_text(F.col("concept")), normal_text(F.col("keyword"))))
-    good = scored.where(F.col("similarity") >= least).groupBy("pi_id", "pos", "concept")
-    return good.agg(F.max("similarity").alias("similarity"), F.max_by("keyword", F.struct(F.col("similarity"), -F.col("at"))).alias("keyword")).drop("pos")
+    concepts are a short literal list, so each keyword is compared within its
+    row: its words are taken once, the parts of each pair once (``explode``
+    keeps Catalyst from copying them), and only pairs whose letters allow the
+    similarity at all go to Python."""
+    keywords = people.select("pi_id", F.posexplode("keywords").alias("at", "keyword")).withColumn("words", word_set(normal_text(F.col("keyword"))))
+    wanted = (F.struct(F.lit(i).alias("pos"), F.lit(c).alias("concept"), set_parts(word_set(normal_text(F.lit(c))), F.col("words")).alias("t")) for i, c in enumerate(concepts))
+    pairs = keywords.select("pi_id", "at", "keyword", F.explode(F.array(*wanted)).alias("w")).select("pi_id", "at", "keyword", "w.*")
+    t = F.col("t")
+    near = pairs.where(parts_ratio(t, most_shared(t["only_a"], t["only_b"])) >= least)
+    best = near.withColumn("similarity", _true_ratio(t)).groupBy("pi_id", "pos", "concept").agg(
+        F.max("similarity").alias("similarity"), F.max_by("keyword", F.struct(F.col("similarity"), -F.col("at"))).alias("keyword")
+    )
+    # a filter on single pairs would be pushed down with a second call of Python
+    return best.where(F.col("similarity") >= least).drop("pos")
 
 
 def keyword_score(text: Column, keywords: tuple, weight: float) -> Column:

@@ -9,7 +9,7 @@ from postmill.operators import evidence, pages, people, scoring
 from postmill.plans.base import AS_OF, query, sql_first, sql_hits, sql_like, sql_list
 from postmill.plans.classify import _NAMES, pick, sql_pick
 from postmill.plans.tables import _GATED, _hits, as_of, gated, row_count
-from postmill.sources.postings import POSTINGS_ORACLE, postings, spread_postings, table, whole
+from postmill.sources.postings import POSTINGS_ORACLE, postings, spread, spread_postings, table, whole
 
 C = F.col
 
@@ -91,7 +91,8 @@ def _specialists(spark, d):
     their text names them as often as their size tells."""
     name = F.lower("p_name")
     keywords = F.array(name, F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lower("p_brand"))
-    return table(spark, d, "part").select(C("p_partkey").alias("pi_id"), keywords.alias("keywords"), F.repeat(F.concat(name, F.lit(" ")), C("p_size") % 14).alias("text"))
+    parts = table(spark, d, "part")
+    return spread(parts, parts, "p_partkey").select(C("p_partkey").alias("pi_id"), keywords.alias("keywords"), F.repeat(F.concat(name, F.lit(" ")), C("p_size") % 14).alias("text"))
 
 
 PROFILE = {

@@ -1,11 +1,13 @@
 """What large tables need: costly work is done once, and little is written."""
 
+import pytest
 from pyspark.sql import functions as F
+from test_literal_cases import brute_ratio
 from test_publishing import GOOD, ROWS
 
 from postmill.functions import dates
-from postmill.operators import pages, publishing
-from postmill.plans import tables
+from postmill.operators import pages, publishing, scoring
+from postmill.plans import positions, tables
 from postmill.sources import postings
 
 
@@ -86,3 +88,38 @@ def test_later_gates_see_only_what_earlier_ones_let_pass(spark):
     found = lambda df: [(r.reason, r.fit) for r in df.orderBy("seq").collect()]
     assert found(tables.gated(rows)) == [("deadline", 0), ("ok", 71), ("role", 0), ("field", 0), ("not-doctoral", 0)]
     assert found(tables.gated(rows, rate_expired=True))[0] == ("deadline", 71)
+
+
+KEYWORDS = (
+    "Motor-Control", "control of motor learning", "gait", "gaits", "gait analysis in water", "tiag", "polymer", "", " ", "neural coding", "neural  decoding", "human gait", "motor", "sensorimotor control", "gait \U0001f6b6 analysis",
+    "\U0001f6b6 gait", "\u00e9tude du gait", "coding\tneural neural", "contorl motor",
+)
+CONCEPTS = ("motor control", "gait analysis", "neural coding", "\U0001f6b6 gait", "contoll motrr")
+
+
+def test_pairs_that_cannot_be_alike_do_not_reach_python(spark):
+    people = spark.createDataFrame([(i, [k, None]) for i, k in enumerate(KEYWORDS)] + [(99, list(KEYWORDS)), (100, []), (101, None)], "pi_id long, keywords array<string>")
+    norm = lambda x: x.lower().strip().replace("-", " ")
+    for least in (75.0, 40.0, 0.0):
+        found = scoring.best_concept_match(people, CONCEPTS, least)
+        got = {(r.pi_id, r.concept): (r.keyword, r.similarity) for r in found.collect()}
+        wanted = {}
+        for i, names in [*((i, [k]) for i, k in enumerate(KEYWORDS)), (99, KEYWORDS)]:
+            for c in CONCEPTS:
+                best = max(brute_ratio(c, norm(k)) for k in names)
+                if best >= least:
+                    wanted[i, c] = next(k for k in names if brute_ratio(c, norm(k)) == best), pytest.approx(best, abs=1e-3)
+        assert got == wanted
+    plan = optimized(found)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("split(") == 1 and "translate(" in plan.split("ArrowEvalPython")[1]
+
+
+def test_similarity_of_the_most_shared_letters_is_no_less(spark):
+    rows = spark.createDataFrame([(a, b) for a in (*KEYWORDS, None) for b in (*KEYWORDS, None)], "a string, b string")
+    t = scoring.set_parts(scoring.word_set(F.col("a")), scoring.word_set(F.col("b")))
+    got = rows.select(scoring.parts_ratio(t, scoring.most_shared(t["only_a"], t["only_b"])).alias("most"), scoring.token_set_ratio(F.col("a"), F.col("b")).alias("ratio")).collect()
+    assert all(r.most >= r.ratio for r in got) and sum(r.most < 75 for r in got) > len(got) / 2
+
+
+def test_parts_in_one_file_are_dealt_out(spark):
+    assert "RepartitionByExpression [p_partkey" in optimized(positions.fit_bands(spark, "/root/testdata/sf0.001"))

@@ -8,10 +8,11 @@ label.  Year-less dates stay unknown unless the text says they recur.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions import fixed
+from postmill.functions import fixed, scan
 
 _MONTHS, _CUE, _LABEL, _ISO, _DMY, _MDY, _NUM, _RECURS, _ROLLING = fixed.MONTHS, fixed.DEADLINE_CUE, fixed.OTHER_DATE_LABEL, fixed.ISO_DATE, fixed.DAY_MONTH, fixed.MONTH_DAY, fixed.NUMERIC_DATE, fixed.RECURS, fixed.ROLLING
 KIND = "struct<raw:string,value:date,status:string,confidence:double>"
@@ -120,10 +121,26 @@ def all_dates(text: Column) -> Column:
     return _placed(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), text)
 
 
+def _day_first(texts: pa.Array, as_of: pa.Array) -> pa.Array:
+    return scan.deadlines(texts, as_of, True)
+
+
+def _month_first(texts: pa.Array, as_of: pa.Array) -> pa.Array:
+    return scan.deadlines(texts, as_of, False)
+
+
 def deadline(text: Column, as_of: Column, day_first: bool = True) -> Column:
-    """Application deadline of a text: struct(raw, value, status, confidence).
-    Each step looks at the text only where those before it settled nothing: a
-    text without a date is done after one pattern."""
+    """Application deadline of a text, a cheap reference: struct(raw, value,
+    status, confidence).  ASCII texts are read in Arrow batches, others, whose
+    letters bound words differently, by expressions."""
+    plain = F.octet_length(text) == F.length(text)
+    by_batch = F.arrow_udf(_day_first if day_first else _month_first, KIND)(F.when(plain, text), as_of)
+    return F.when(plain, by_batch).otherwise(deadline_by_expressions(text, as_of, day_first))
+
+
+def deadline_by_expressions(text: Column, as_of: Column, day_first: bool = True) -> Column:
+    """``deadline`` of any text.  Each step looks at it only where those before
+    it settled nothing: a text without a date is done after one pattern."""
     none = F.struct(F.lit("").alias("raw"), F.lit(None).cast("date").alias("value"), F.lit("unknown").alias("status"), F.lit(0.0).alias("confidence"))
 
     def first_settled(results: Column) -> Column:

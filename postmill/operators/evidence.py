@@ -72,11 +72,11 @@ def rescued(rows: DataFrame, alive: Column, least: int = 180) -> DataFrame:
     description puts on topic and whose deadline has not passed, with ``fit``."""
     blob = F.concat_ws(" ", "title", "context", "description_full")
     long = rows.where((F.length("description_full") >= least) & alive)
-    return long.withColumn("fit", gates.topic_fit(F.col("title"), blob)).where("fit > 0")
+    return long.withColumn("fit", F.explode(F.array(gates.topic_fit(F.col("title"), blob)))).where("fit > 0")  # exploded, so that the filter does not compute it again
 
 
 def rescored(rows: DataFrame, alive: Column) -> DataFrame:
     """Enriched rows judged again on the full text: expired and off-topic ones
     go, ``fit`` is new."""
     text = F.coalesce(F.nullif(F.col("description_full"), F.lit("")), "context")
-    return rows.where(alive).withColumn("fit", gates.topic_fit(F.col("title"), F.concat_ws(" ", "title", text))).where("fit > 0")
+    return rows.where(alive).withColumn("fit", F.explode(F.array(gates.topic_fit(F.col("title"), F.concat_ws(" ", "title", text))))).where("fit > 0")

@@ -41,9 +41,9 @@ def gated(rows, rate_expired=False):
     live = C("title_reason") == "ok"
     named = rows.select("*", gates.title_reason(title).alias("title_reason"))
     # exploding a one-element array keeps a costly column from being computed again wherever it is used
-    dated = named.select("*", F.explode(F.array(F.when(live, dates.deadline(context, as_of())))).alias("deadline"))
+    dated = named.select("*", F.explode(F.array(F.when(live, dates.deadline(F.when(live, context), as_of())))).alias("deadline"))
     rated = live if rate_expired else live & (C("deadline.status") != "expired")
-    step = dated.select("*", F.explode(F.array(F.when(rated, gates.topic_fit(title, context)).otherwise(0))).alias("fit"))
+    step = dated.select("*", F.explode(F.array(F.when(rated, gates.topic_fit(F.when(rated, title), F.when(rated, context))).otherwise(0))).alias("fit"))
     thin = gates.thin_context(C("source"), title, context)
     why = (
         F.when(C("title_reason") != "ok", C("title_reason")).when(C("deadline.status") == "expired", "deadline")

@@ -112,11 +112,12 @@ _DAYS = (0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 NONE = ("", None, "unknown", 0.0)
 
 
-def _for_batch(pattern: str) -> str:
+def for_batch(pattern: str) -> str:
+    """The pattern for ASCII texts of a batch."""
     return pattern.replace(r"\s", r"[\t\n\x0b\f\r ]")  # the batch's engine leaves one out
 
 
-_SOME_DATE, _SOME_LABEL, _SOME_CUE, _SOME_RECURRENCE = (_for_batch(p) for p in (_ANY, _OTHER_LABEL, fixed.DEADLINE_CUE, fixed.RECURS))
+_SOME_DATE, _SOME_LABEL, _SOME_CUE, _SOME_RECURRENCE = (for_batch(p) for p in (_ANY, _OTHER_LABEL, fixed.DEADLINE_CUE, fixed.RECURS))
 
 
 def day_number(year: int, month: int, day: int) -> int | None:
@@ -197,9 +198,9 @@ def deadline_of(text: str, as_of: int | None, day_first: bool, some_label: bool
     return (dates[0], None, "unknown", 0.0) if dates else NONE
 
 
-_NEXT, _BEFORE = _for_batch(rf"(?is)(?P<raw>{_ANY})(?P<after>.*)"), _for_batch(rf"(?is)^(?P<before>.*?)(?:{_ANY})")
-_NEXT_CUE = _for_batch(rf"(?is)(?P<cue>{fixed.DEADLINE_CUE})(?P<after>.*)")
-_NEAR = tuple(_for_batch(f"(?i)(?P<raw>{p})") for p in (fixed.DAY_MONTH, fixed.MONTH_DAY, fixed.NUMERIC_DATE))
+_NEXT, _BEFORE = for_batch(rf"(?is)(?P<raw>{_ANY})(?P<after>.*)"), for_batch(rf"(?is)^(?P<before>.*?)(?:{_ANY})")
+_NEXT_CUE = for_batch(rf"(?is)(?P<cue>{fixed.DEADLINE_CUE})(?P<after>.*)")
+_NEAR = tuple(for_batch(f"(?i)(?P<raw>{p})") for p in (fixed.DAY_MONTH, fixed.MONTH_DAY, fixed.NUMERIC_DATE))
 _ISO_PARTS, _NUMERIC_PARTS = r"^(?P<y>\d{4})[-/](?P<m>\d{1,2})[-/](?P<d>\d{1,2})$", r"^(?P<a>\d{1,2})[-/.](?P<b>\d{1,2})[-/.](?P<y>\d{2,4})$"
 #: How often a batch looks for a further date or cue; texts with more are read one by one.
 ROUNDS = 5

@@ -13,6 +13,7 @@ from postmill.functions import fixed, gates, titles, urls
 from postmill.functions.dates import bind, deadline, is_rolling
 from postmill.functions.fixed import rule
 from postmill.operators.cards import linked_cards
+from postmill.operators.links import Wanted, links_of
 
 ANCHOR = r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a\s*>"
 
@@ -22,15 +23,25 @@ def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href, text, url of every link."""
-    def link(a: Column) -> Column:
+def links_by_expressions(html: Column, url: Column) -> Column:
+    """pos, href, text, url of each link of a page, not tested yet."""
+    def link(a: Column, i: Column) -> Column:
         text = plain(F.regexp_extract(a, ANCHOR, 2))
-        return bind(F.regexp_extract(a, ANCHOR, 1), lambda href: F.struct(href.alias("href"), text.alias("text"), urls.normalise(href, F.col("url")).alias("url")))
+        return bind(F.regexp_extract(a, ANCHOR, 1), lambda href: F.struct(i.cast("int").alias("pos"), href.alias("href"), text.alias("text"), urls.normalise(href, url).alias("url"), F.lit(False).alias("tested")))
 
+    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), link)
+
+
+def anchors(pages: DataFrame, wanted: Wanted | None = None) -> DataFrame:
+    """page_id, page_url, pos, href, text, url of every link, or of those
+    ``wanted``.  ASCII pages are read in Arrow batches, others by expressions."""
+    html, url = F.col("html"), F.col("url")
+    ascii_only = F.coalesce((F.octet_length(html) == F.length(html)) & (F.octet_length(url) == F.length(url)), F.lit(False))
+    by_batch = links_of(F.when(ascii_only, html), F.when(ascii_only, url), ANCHOR, wanted)
     # inside the generator, where a filter on an address does not compute it again
-    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)), link)).alias("pos", "a"))
-    return found.select("page_id", "page_url", "pos", "a.href", "a.text", "a.url")
+    found = pages.select("page_id", url.alias("page_url"), F.explode(F.when(ascii_only, by_batch).otherwise(links_by_expressions(html, url))).alias("a"))
+    kept = found.select("page_id", "page_url", "a.*")
+    return (kept if wanted is None else kept.where(F.col("tested") | wanted.condition())).drop("tested")
 
 
 def first_links(links: DataFrame) -> DataFrame:
@@ -59,12 +70,8 @@ def rank_links(links: DataFrame) -> DataFrame:
 def vacancy_links(pages: DataFrame) -> DataFrame:
     """Links whose address and text read like a vacancy, the first of each;
     ``is_phd`` tells doctoral roles."""
-    t = F.col("text")
-    good = (
-        (F.length(t) >= 15) & (F.length(t) <= 240) & ~t.rlike(rule(fixed.BROWSE_TEXT)) & ~t.rlike(rule(fixed.STUDENT_SUPPORT))
-        & F.col("url").rlike(rule(fixed.DETAIL_LINK)) & t.rlike(rule(fixed.ROLE_TITLE))
-    )
-    kept = anchors(pages).where("url <> ''").where(good).withColumn("key", urls.vacancy_key(F.col("url")))
+    good = Wanted(15, 240, text=(fixed.ROLE_TITLE,), no_text=(fixed.BROWSE_TEXT, fixed.STUDENT_SUPPORT), url=(fixed.DETAIL_LINK,))
+    kept = anchors(pages, good).withColumn("key", urls.vacancy_key(F.col("url")))
     first = kept.groupBy("page_id", "key").agg(F.min(F.struct("pos", "url", "text")).alias("f")).select("page_id", "f.*")
     return first.withColumn("is_phd", F.col("text").rlike(rule(fixed.DOCTORAL_ROLE)))
 
@@ -72,9 +79,7 @@ def vacancy_links(pages: DataFrame) -> DataFrame:
 def recovered_links(pages: DataFrame, most: int = 200) -> DataFrame:
     """Links with a job-like title of 20 characters or more and no noise, the
     first of each address, at most ``most`` a page."""
-    t = F.col("text")
-    good = (F.length(t) >= 20) & ~t.rlike(rule(fixed.NOISE_TEXT)) & (t.rlike(rule(fixed.DOCTORAL_TEXT)) | t.rlike(rule(fixed.JOB_TEXT)))
-    first = first_links(anchors(pages).where("url <> ''").where(good))
+    first = first_links(anchors(pages, Wanted(20, text=(f"(?:{fixed.DOCTORAL_TEXT}|{fixed.JOB_TEXT})",), no_text=(fixed.NOISE_TEXT,))))
     ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most)
     return ranked.select("page_id", "n", "url", F.left("text", F.lit(200)).alias("title"))
 
@@ -90,8 +95,7 @@ def result_links(pages: DataFrame, base_host: Column) -> DataFrame:
 
 def careers_links(pages: DataFrame, most: int = 5) -> DataFrame:
     """The first links of a homepage whose text names careers."""
-    t = F.col("text")
-    first = first_links(anchors(pages).where("url <> ''").where(t.rlike(rule(fixed.CAREERS_TEXT)) & ~t.rlike(rule(fixed.NOT_CAREERS_TEXT))))
+    first = first_links(anchors(pages, Wanted(text=(fixed.CAREERS_TEXT,), no_text=(fixed.NOT_CAREERS_TEXT,))))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= most).select("page_id", "n", "url", "text")
 
 
@@ -185,14 +189,15 @@ def next_page(links: DataFrame) -> DataFrame:
     """Per page the first link to a following page: a pager word or a page
     number in the address; never a template, the page itself, a page before it
     or, from a numbered page, another listing."""
-    own, href = F.col("page_url"), F.col("href")
-    u = urls.absolute(href, own)
+    own, href, u = F.col("page_url"), F.col("href"), F.col("next")
     pager = F.trim("text").rlike(rule(fixed.PAGER_WORDS)) | href.rlike(r"[?&](page|p|offset|start)=\d+") | href.rlike(r"/page/\d+")
     template = href.rlike(r"[?&](page|p|offset|start)=\s*(#|$)") | href.rlike(r"/page/\s*(#|$)")
     here, there = urls.page_number(own), urls.page_number(u)
     backward = F.coalesce(there <= here, F.lit(False))
     elsewhere = here.isNotNull() & (F.rtrim(urls.unpaged(u), F.lit("/")) != F.rtrim(urls.unpaged(own), F.lit("/")))
-    good = links.withColumn("next", u).where(u.startswith("http") & (u != own) & pager & ~template & ~backward & ~elsewhere)
+    # addresses of what may be a pager only, exploded so that the filter does not compute them again
+    named = links.where(pager & ~template).withColumn("next", F.explode(F.array(urls.absolute(href, own))))
+    good = named.where(u.startswith("http") & (u != own) & ~backward & ~elsewhere)
     return good.groupBy("page_id").agg(F.min_by("next", "pos").alias("next_url"))
 
 

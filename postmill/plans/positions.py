@@ -246,8 +246,9 @@ def _listing(spark, d):
     """Listing pages made of the postings: one for each ten orders, so that
     pages grow in number and not in length."""
     p = postings(spark, d).select("seq", "url", "title", "context", whole(C("seq"), 100_000_000_000).alias("page_id"))
-    link = F.format_string('<li><a href="%s">%s</a> %s</li>', "url", "title", "context")
-    rows = p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", link.alias("h"))))["h"], "\n").alias("items"))
+    said = lambda name: F.coalesce(name, F.lit("null"))
+    link = F.concat(F.lit('<li><a href="'), said("url"), F.lit('">'), said("title"), F.lit("</a> "), said("context"), F.lit("</li>"))
+    rows = p.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", link.alias("h"))))["h"], "\n").alias("items"))
     page = F.concat(F.lit('<html><h1>Research jobs</h1><a href="/home">Home</a> <a href="/careers">Careers at Example</a> <a href="/about-us">About</a> <a href="https://other.net/jobs">Other jobs</a>'), "items", F.lit('<a href="?page='), (F.col("page_id") % 4 + 2).cast("string"), F.lit('">Next page</a></html>'))
     return rows.select("page_id", F.concat(F.lit("https://list.example.org/jobs?page="), (F.col("page_id") % 4).cast("string")).alias("url"), page.alias("html"))
 

@@ -19,7 +19,7 @@ KIND = "struct<raw:string,value:date,status:string,confidence:double>"
 
 
 def is_rolling(text: Column) -> Column:
-    return text.rlike("(?i)(?=[rouna][opns])" + _ROLLING)
+    return scan.like(text, _ROLLING, text.rlike("(?i)(?=[rouna][opns])" + _ROLLING))
 
 
 def days_left(value: Column, as_of: Column) -> Column:

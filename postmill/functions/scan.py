@@ -13,6 +13,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from postmill.functions import fixed
 
@@ -117,6 +119,18 @@ def for_batch(pattern: str) -> str:
     return pattern.replace(r"\s", r"[\t\n\x0b\f\r ]")  # the batch's engine leaves one out
 
 
+def like(text: Column, pattern: str, by_expression: Column) -> Column:
+    """Does the pattern, in any case, occur in the text?  ASCII texts are looked
+    at in Arrow batches, others by the expression."""
+    for_ascii = for_batch(pattern)
+
+    def met(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, for_ascii, ignore_case=True)
+
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.arrow_udf(met, "boolean")(F.when(plain, text))).otherwise(by_expression)
+
+
 _SOME_DATE, _SOME_LABEL, _SOME_CUE, _SOME_RECURRENCE = (for_batch(p) for p in (_ANY, _OTHER_LABEL, fixed.DEADLINE_CUE, fixed.RECURS))
 
 

@@ -152,7 +152,7 @@ def enrich(postings: DataFrame, pages: DataFrame, as_of: Column) -> DataFrame:
     detail = pages.select(F.col("url").alias("page_url"), read.alias("page")).select("page_url", "page.*")
     rows = postings.join(detail, postings["url"] == detail["page_url"], "left").withColumn("enriched", F.col("page_url").isNotNull())
     blob = rows.withColumn("description_full", F.coalesce("description_full", F.lit(""))).withColumn("blob", F.concat_ws(" ", "title", "context", "description_full"))
-    found = F.when(F.col("enriched"), deadline(F.col("blob"), as_of))
+    found = F.when(F.col("enriched"), deadline(F.when(F.col("enriched"), F.col("blob")), as_of))
     dated = blob.withColumn("page_deadline", F.explode(F.array(found)))
     status = F.when(is_rolling(F.col("blob")), F.lit("rolling")).otherwise(F.col("page_deadline.status"))
     return dated.select(

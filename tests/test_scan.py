@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from test_work_done_once import optimized
 
-from postmill.functions import dates, gates, scan
+from postmill.functions import dates, fixed, gates, scan, titles
 from postmill.plans import positions
 
 PIECES = (
@@ -64,3 +64,21 @@ def test_phrases_do_not_run_into_the_next_text(monkeypatch):
 
 def test_the_fit_is_computed_once(spark):
     assert optimized(positions.rescore(spark, "/root/testdata/sf0.001")).count("_topic_points") == 1
+
+
+def test_funding_rolling_and_country_of_a_batch_are_those_of_the_expressions(spark):
+    words = ("rolling", "Open until filled", "until  closed", "no deadline", "no application deadline", "as long as\x0bfunds last", "fully-funded", "SALARY", "€ 30,000", "EUR 30,000", "EUR30,00", "4 year", "3 years", "per month", "ſalary", "ETH Zurich", "oslo", "Karolinska", "Utrecht", "ktH", "é", " ", ".", "x")
+    rows = spark.createDataFrame([(t,) for t in (None, "", *some(words, 6, 600))], "t string")
+    t = F.col("t")
+    pairs = (
+        (titles.has_funding(t), t.rlike(fixed.rule(fixed.FUNDING_EVIDENCE))), (dates.is_rolling(t), t.rlike(fixed.ROLLING)),
+        (titles.infer_country(F.lit("https://x.org/a"), t), titles.first_containing(F.lower(t), titles.COUNTRY_HINTS)), (gates.relevance(t, ("salary", "sal", "oslo", "filled")), gates.how_many(F.lower(t), ("salary", "sal", "oslo", "filled")) >= 2),
+    )
+    for a, b in pairs:
+        got = rows.select("t", a.alias("a"), b.alias("b")).collect()
+        assert [(r.t, r.a) for r in got] == [(r.t, r.b) for r in got] and len({r.a for r in got}) > 1
+
+
+def test_texts_of_details_are_not_matched_by_expressions_alone(spark):
+    plan = optimized(positions.enrich(spark, "/root/testdata/sf0.001"))
+    assert plan.count("met(") >= 2 and "_hinted(" in plan
